@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, sharding
+from weft.llm import mixing, packing, sharding, token_files
 
 
 def queries() -> dict:
     return {
         "op1_entropy_mix": mixing.op1_entropy_mix,
         "op3_histogram_shard": sharding.op3_histogram_shard,
+        "op4_slack_pack": packing.op4_slack_pack,
+        "op8_patched_blocks": token_files.op8_patched_blocks,
     }
 
 
