@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing, sharding, token_files
+from weft.llm import mixing, packing, quality, sharding, simhash, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_entropy_mix": mixing.op1_entropy_mix,
         "op3_histogram_shard": sharding.op3_histogram_shard,
         "op4_slack_pack": packing.op4_slack_pack,
+        "op5_simhash_mih": simhash.op5_simhash_mih,
+        "op6_repetition_rules": quality.op6_repetition_rules,
         "op8_patched_blocks": token_files.op8_patched_blocks,
     }
 
