@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing, quality, sharding, simhash, token_files
+from weft.llm import mixing, packing, quality, sharding, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash_mih": simhash.op5_simhash_mih,
         "op6_repetition_rules": quality.op6_repetition_rules,
         "op8_patched_blocks": token_files.op8_patched_blocks,
+        "op10_kneser_ney_toxicity": toxicity.op10_kneser_ney_toxicity,
     }
 
 
