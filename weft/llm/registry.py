@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing, quality, sharding, simhash, token_files, toxicity
+from weft.llm import mixing, packing, quality, sharding, simhash, token_files, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_entropy_mix": mixing.op1_entropy_mix,
+        "op2_host_reputation": urls.op2_host_reputation,
         "op3_histogram_shard": sharding.op3_histogram_shard,
         "op4_slack_pack": packing.op4_slack_pack,
         "op5_simhash_mih": simhash.op5_simhash_mih,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_host_reputation": urls.ORACLE}
