@@ -36,12 +36,22 @@ def word_pieces(text: str) -> list[bytes]:
     return (data if b"\xcc" in data or b"\xcd" in data else data.lower()).split()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
 #: A blank between two words: a place where either tokenizer's text can be cut.
 CUT = re.compile(rf"(?<=[^{SPACE}])(?= [^{SPACE}])")
 
 
 class PieceEncoder:
-    def __init__(self, path: str, by_words: bool, most: int = 1_000_000, chunk: int = 1 << 20):
+    def __init__(self, path: str, by_words: bool, most: int = 600_000, chunk: int = 1 << 20):
         """by_words: the tokenizer drops white space, so words are independent; else ``BYTE_PIECES`` are.
         most: pieces remembered before all are forgotten. chunk: characters handled at once."""
         from tokenizers import Tokenizer
@@ -53,7 +63,8 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.number: dict = {}
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n_pieces = self.n_ids = 0
+        self.start, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _parts(self, text: str) -> Iterator[str]:
         at = 0
@@ -73,27 +84,53 @@ class PieceEncoder:
         for mark in (b",", b".") if self.by_words else (",", "."):
             if mark not in self.number:
                 whole[mark] = mark.decode() if self.by_words else mark
-        got = [e.ids for e in self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False)]
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        self._add(list(whole), np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum())), length)
+        tokenize, got, others = self.library.model.tokenize, {}, []
+        for p, t in whole.items():
+            if (seen := self._letters(t)) is None:
+                others.append(p)
+            else:
+                got[p] = [x.id for x in tokenize(seen)]
+        got |= zip(others, (e.ids for e in self.library.encode_batch_fast([whole[p] for p in others], add_special_tokens=False)), strict=True)
+        length = np.fromiter(map(len, got.values()), np.int64, len(got))
+        self._add(list(got), np.fromiter(chain.from_iterable(got.values()), np.uint32, int(length.sum())), length)
         number = self.number
         stem = np.fromiter((number[x] for x in ended.values()), np.int64, len(ended))
         mark = np.fromiter((number[x[-1:]] for x in ended), np.int64, len(ended))
-        length = self.length[stem] + 1
+        length = self.length[stem].astype(np.int64) + 1
         ids, last = np.empty(int(length.sum()), np.uint32), np.cumsum(length) - 1
         inner = np.ones(len(ids), bool)
         inner[last] = False
         ids[inner], ids[last] = self._spread(stem), self.ids[self.start[mark]]
         self._add(list(ended), ids, length)
 
+    def _letters(self, text: str) -> str | None:
+        """What the library's model sees of a piece that is one word of letters (after a blank); None for others."""
+        blank = not self.by_words and text[0] == " "
+        word = text[1:] if blank else text
+        if not word.isalpha():
+            return None
+        if self.by_words:
+            word = word.lower()
+        if not word.isascii():
+            if self.by_words and max(word) >= "\u0250":  # Latin letters are composed already and lower-case alike everywhere
+                return None
+            word = word.encode().decode("latin-1").translate(LETTERS)
+        return LETTERS[32] + word if blank else word
+
     def _add(self, pieces: list, ids: np.ndarray, length: np.ndarray) -> None:
-        self.number.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
-        self.start, self.length = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length]), np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, ids])
+        n, m = self.n_pieces + len(pieces), self.n_ids + len(ids)
+        if n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(max(n, len(x)), np.int32)]) for x in (self.start, self.length))
+        if m > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(m, len(self.ids)), np.uint32)])
+        self.number.update(zip(pieces, range(self.n_pieces, n), strict=True))
+        self.start[self.n_pieces : n], self.length[self.n_pieces : n] = self.n_ids + np.cumsum(length) - length, length
+        self.ids[self.n_ids : m] = ids
+        self.n_pieces, self.n_ids = n, m
 
     def _spread(self, n: np.ndarray) -> np.ndarray:
         """The ids of the pieces numbered ``n``, one after the other."""
-        length = self.length[n]
+        length = self.length[n].astype(np.int64)
         ends = np.cumsum(length)
         return self.ids[np.repeat(self.start[n] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing, quality, sharding, simhash, token_files, toxicity, urls
+from weft.llm import chat, mixing, packing, quality, sharding, simhash, token_files, toxicity, urls, vectors
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_slack_pack": packing.op4_slack_pack,
         "op5_simhash_mih": simhash.op5_simhash_mih,
         "op6_repetition_rules": quality.op6_repetition_rules,
+        "op7_quotation_links": chat.op7_quotation_links,
         "op8_patched_blocks": token_files.op8_patched_blocks,
+        "op9_metric_range_join": vectors.op9_metric_range_join,
         "op10_kneser_ney_toxicity": toxicity.op10_kneser_ney_toxicity,
     }
 
