@@ -114,6 +114,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return simhash_components(docs, text, key, shingle=5, words=2, distance=24, segment_bits=16)
 
 
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id names its component of ``near_duplicates``, with their columns unchanged.
+
+    Rows that repeat an id are one document: one of them stays. Rows without an id stay as they are.
+    """
+    found = near_duplicates(docs.filter(F.col(key).isNotNull()), text, key)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([key])
+    return named.unionByName(docs.filter(F.col(key).isNull()))
+
+
 def op5_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
