@@ -1,13 +1,16 @@
-"""Registered queries over the reference's operators, with the SQL that checks them."""
+"""Registered queries over the operators, with the SQL that checks them."""
 
 from __future__ import annotations
 
-FLAGSHIP = "session_stats"
+from weft.plans import relational, sessions, texts  # noqa: F401  they register themselves
+from weft.plans.base import QUERIES, SQL
+
+FLAGSHIP = "bm25_top20"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
