@@ -1,0 +1,34 @@
+"""Every registered query of the operators against its SQL in DuckDB."""
+
+import duckdb
+import pytest
+
+from weft.plans import registry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+def canonical(df):
+    df = df[sorted(df.columns)]
+    cell = lambda v: "null" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    rows = [tuple(map(cell, r)) for r in df.itertuples(index=False)]
+    return sorted(df.columns), sorted(rows)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, db, name):
+    assert canonical(registry.queries()[name](spark, SF).toPandas()) == canonical(db.sql(registry.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    assert registry.queries()[name](spark, SF).count() >= 0
