@@ -18,14 +18,14 @@ import numpy as np
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pattern never joins what these pieces separate: white space before a word keeps its last blank.
 BYTE_PIECES = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: What keeps a text off the plain path: white space other than single blanks and line ends, and the mark below.
-ODD = ("  ", " \n", "\n ", "\n\n", "\x01", *"\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: What keeps a text off the plain path: white space other than single blanks and line ends, and the marks below.
+ODD = ("  ", " \n", "\n ", "\n\n", "\x01", "\x02", *"\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def byte_pieces(text: str) -> list[str]:
-    """Pieces for the byte-level pattern; ``\\x01`` stands for a leading blank."""
+    """Pieces for the byte-level pattern; ``\\x01`` stands for a leading blank, ``\\x02`` for nothing before a mark."""
     if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ODD):
-        return [p.replace(" ", "\x01", 1) if p[0] == " " else p for p in BYTE_PIECES.findall(text)]
+        return ["\x01" + p[1:] if p[0] == " " else "\x02" + p if p[0] in "\x01\x02" else p for p in BYTE_PIECES.findall(text)]
     return text.replace(" ", " \x01").replace("\n", " \n ").split(" ")
 
 
@@ -74,11 +74,11 @@ class PieceEncoder:
         yield text[at:] if at else text
 
     def _learn(self, pieces: list) -> None:
-        new = {p: p.decode() if self.by_words else p.replace("\x01", " ", 1) if p[0] == "\x01" else p for p in set(pieces).difference(self.number)}
+        new = {p: p.decode() if self.by_words else " " + p[1:] if p[0] == "\x01" else p[1:] if p[0] == "\x02" else p for p in set(pieces).difference(self.number)}
         if not new:
             return
         # a comma or full stop after a letter is a token's end in both patterns: such words follow from their stems
-        ended = {p: p[:-1] for p, text in new.items() if text[-1] in ",." and text[-2:-1].isalpha()}
+        ended = {p: p[:-1] for p, text in new.items() if text[-1] in ",." and text[-2:-1].lower()[-1:].isalpha()}
         whole = {p: t for p, t in new.items() if p not in ended}
         whole |= {stem: new[p][:-1] for p, stem in ended.items() if stem not in self.number and stem not in whole}
         for mark in (b",", b".") if self.by_words else (",", "."):
@@ -107,10 +107,10 @@ class PieceEncoder:
         """What the library's model sees of a piece that is one word of letters (after a blank); None for others."""
         blank = not self.by_words and text[0] == " "
         word = text[1:] if blank else text
-        if not word.isalpha():
-            return None
         if self.by_words:
             word = word.lower()
+        if not word.isalpha():
+            return None
         if not word.isascii():
             if self.by_words and max(word) >= "\u0250":  # Latin letters are composed already and lower-case alike everywhere
                 return None
