@@ -1,10 +1,11 @@
 """URL filters: rules first, then empirical-Bayes reputation of hosts.
 
-Labelled pages (bad or not) are counted per host. A host's bad rate is a beta posterior whose prior sits at its
-registered domain's posterior mean, whose prior sits at its suffix's, whose prior sits at the overall rate. How
+Labelled pages (bad or not) are counted per host. A host's bad rate is a beta posterior whose prior sits at the mean of
+the rest of its registered domain, whose prior sits at the rest of its suffix, whose prior sits at all the rest. How
 strongly each level is shrunk comes from the data: the beta-binomial's method of moments over the groups of the level
-compares how far group rates spread with how far chance alone would spread them. A host is blocked when the lower
-bound of its posterior (mean less Z standard deviations) passes the limit, so a few bad pages don't condemn it.
+compares how far group rates spread with how far chance alone would spread them; a parent of few pages shrinks no more
+than it is known itself. A host is blocked when the lower bound of its posterior (mean less Z standard deviations)
+passes the limit, so a few bad pages don't condemn it.
 """
 
 from __future__ import annotations
@@ -65,16 +66,23 @@ def host_reputation(pages: DataFrame) -> DataFrame:
     ``pages`` has host and bad (1, 0 or null for unlabelled). Without any label every rate is 0.5 and no bound passes.
     """
     hosts = stash(pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    total = hosts.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1.0), F.lit(0.5)).alias("prior"))
-    levels = hosts.crossJoin(F.broadcast(total))  # one row beside every host
+    # the parent of all suffixes is one row; a parent's table has what its posterior is made of
+    parent = hosts.agg(F.lit(0.5).alias("prior"), F.lit(1.0).alias("strength"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    above: list[str] = []
     for level in ("suffix", "domain", "host"):
-        keys = ["suffix", "domain", "host"][: ["suffix", "domain", "host"].index(level) + 1]
-        groups = levels.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("prior").alias("prior"), F.sum("pages").alias("pages"))
-        groups = stash(groups.crossJoin(F.broadcast(_strength(groups, F.col("prior")))))  # one row again
-        a, b = F.col("prior") * F.col("strength") + F.col("bad"), (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")
-        groups = groups.withColumn("rate", a / (a + b)).withColumn("spread", F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1))))
-        if level != "host":
-            levels = hosts.join(groups.select(*keys, F.col("rate").alias("prior")), keys)
+        keys = [*above, level]
+        groups = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages"))
+        groups = groups.join(parent, above) if above else groups.crossJoin(F.broadcast(parent))
+        # a group is shrunk to the rest of its parent, and no more surely than the rest is known
+        known = F.col("strength") + F.col("all_n") - F.col("n")
+        rest = (F.col("prior") * F.col("strength") + F.col("all_bad") - F.col("bad")) / known
+        groups = groups.select(*keys, "n", "bad", "pages", rest.alias("prior"), known.alias("known"))
+        groups = stash(groups.crossJoin(F.broadcast(_strength(groups, F.col("prior")))))  # one row beside every group
+        groups = groups.withColumn("strength", 1 / (1 / F.col("strength") + 1 / F.col("known")))
+        parent = groups.select(*keys, "prior", "strength", F.col("n").alias("all_n"), F.col("bad").alias("all_bad"))
+        above = keys
+    a, b = F.col("prior") * F.col("strength") + F.col("bad"), (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")
+    groups = groups.withColumn("rate", a / (a + b)).withColumn("spread", F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1))))
     return groups.select("host", "pages", "n", "bad", "rate", "spread", (F.col("rate") - Z * F.col("spread")).alias("bound"))
 
 
@@ -112,22 +120,19 @@ with known as (
 ), h as (
   select host, count(*) as pages, count(bad) as n, coalesce(sum(bad), 0) as bad, string_split(host, '.')[-1] as suffix,
          array_to_string(string_split(host, '.')[-2:], '.') as domain from seen group by host
-), p0 as (select (sum(bad) + 0.5) / (sum(n) + 1.0) as prior from h
-), g1 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(prior) as prior from h, p0 group by suffix
-), k1 as (
-  select coalesce(greatest(1 / r - 1, 1.0), 1e6) as strength from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
+), g0 as (select 0.5 as pp, 1.0 as ps, sum(n) as pn, sum(bad) as pb from h
+), g1 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(ps + pn) - sum(n) as known, (any_value(pp * ps + pb) - sum(bad)) / (any_value(ps + pn) - sum(n)) as prior from h, g0 group by suffix
+), k1 as (select coalesce(greatest(1 / r - 1, 1.0), 1e6) as kappa from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
     then greatest((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / (sum(prior * (1 - prior) * n) - sum(prior * (1 - prior))), 1 / 1000001.0) else 1 / 1000001.0 end as r from g1 where n > 0)
-), p1 as (select suffix, (prior * strength + bad) / (strength + n) as prior from g1, k1
-), g2 as (select suffix, domain, sum(n) as n, sum(bad) as bad, any_value(prior) as prior from h join p1 using (suffix) group by all
-), k2 as (
-  select coalesce(greatest(1 / r - 1, 1.0), 1e6) as strength from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
+), s1 as (select suffix, prior as pp, 1 / (1 / kappa + 1 / known) as ps, n as pn, bad as pb from g1, k1
+), g2 as (select suffix, domain, sum(n) as n, sum(bad) as bad, any_value(ps + pn) - sum(n) as known, (any_value(pp * ps + pb) - sum(bad)) / (any_value(ps + pn) - sum(n)) as prior from h join s1 using (suffix) group by all
+), k2 as (select coalesce(greatest(1 / r - 1, 1.0), 1e6) as kappa from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
     then greatest((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / (sum(prior * (1 - prior) * n) - sum(prior * (1 - prior))), 1 / 1000001.0) else 1 / 1000001.0 end as r from g2 where n > 0)
-), p2 as (select suffix, domain, (prior * strength + bad) / (strength + n) as prior from g2, k2
-), g3 as (select host, n, bad, prior from h join p2 using (suffix, domain)
-), k3 as (
-  select coalesce(greatest(1 / r - 1, 1.0), 1e6) as strength from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
+), s2 as (select suffix, domain, prior as pp, 1 / (1 / kappa + 1 / known) as ps, n as pn, bad as pb from g2, k2
+), g3 as (select host, n, bad, ps + pn - n as known, (pp * ps + pb - bad) / (ps + pn - n) as prior from h join s2 using (suffix, domain)
+), k3 as (select coalesce(greatest(1 / r - 1, 1.0), 1e6) as kappa from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
     then greatest((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / (sum(prior * (1 - prior) * n) - sum(prior * (1 - prior))), 1 / 1000001.0) else 1 / 1000001.0 end as r from g3 where n > 0)
-), ab as (select host, prior * strength + bad as a, (1 - prior) * strength + n - bad as b from g3, k3
+), ab as (select host, prior / (1 / kappa + 1 / known) + bad as a, (1 - prior) / (1 / kappa + 1 / known) + n - bad as b from g3, k3
 ), bound as (select host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) as bound from ab
 ), ruled as (
   select page_id, host, path, case
