@@ -64,18 +64,36 @@ def fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words: int)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def mih_links(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
-    """(a, b): ids of fingerprints within ``distance`` bits that differ by at most 1 bit in some segment.
+def _segments(words: int, segment_bits: int, each) -> Column:
+    """``each`` applied to all segments of f0, f1, ...: a key holds the segment's number above its value."""
+    mask = (1 << segment_bits) - 1
+    cut = [(i * (64 // segment_bits) + j, F.shiftrightunsigned(f"f{i}", j * segment_bits).bitwiseAND(F.lit(mask))) for i in range(words) for j in range(64 // segment_bits)]
+    return F.flatten(F.array(*(each(F.lit(s << segment_bits).cast("long"), v) for s, v in cut)))
+
+
+def _apart(left: list[Column], right: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right, strict=True)))
 
-    ``entries`` has distinct fingerprints: id and f0, f1, ...
+
+def star_links(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
+    """(a, b): fingerprints within ``distance`` of one of four representatives of a table's bucket.
+
+    A bucket gives at most four rows for each of its fingerprints. What these links join needs no further pairs.
     """
     names = [f"f{i}" for i in range(words)]
-    mask = (1 << segment_bits) - 1
+    stored = entries.select("id", *names, F.explode(_segments(words, segment_bits, lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
+    own, order = F.struct("id", *names), F.xxhash64("id")
+    chosen = stored.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min(own), F.max(own), F.min_by(own, order), F.max_by(own, order)).alias("reps")).filter("n > 1").drop("n")
+    near = F.filter("reps", lambda r: (r["id"] != F.col("id")) & (_apart([F.col(n) for n in names], [r[n] for n in names]) <= distance))
+    return stored.join(chosen, "key").select("id", F.explode(F.array_distinct(F.transform(near, lambda r: r["id"]))).alias("b")).select(F.col("id").alias("a"), "b")
+
 
-    def segments(each) -> Column:
-        """A table's key holds the segment's number above its value."""
-        cut = [(i * (64 // segment_bits) + j, F.shiftrightunsigned(n, j * segment_bits).bitwiseAND(F.lit(mask))) for i, n in enumerate(names) for j in range(64 // segment_bits)]
-        return F.flatten(F.array(*(each(F.lit(s << segment_bits).cast("long"), v) for s, v in cut)))
+def mih_links(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
+    """(a, b): labels of fingerprints within ``distance`` bits that differ by at most 1 bit in some segment.
+
+    ``entries`` has distinct fingerprints: id, label, f0, f1, ...; pairs of one label are left out inside the join.
+    """
+    names = [f"f{i}" for i in range(words)]
 
     def ball(number: Column, value: Column) -> Column:
         near = F.array(*(F.when(value.bitwiseAND(F.lit(1 << b)) == 0, value.bitwiseOR(F.lit(1 << b))) for b in range(segment_bits)))
@@ -84,10 +102,23 @@ def mih_links(entries: DataFrame, words: int, distance: int, segment_bits: int)
             F.transform(F.array_compact(near), lambda v: F.struct(number.bitwiseOR(v).alias("key"), F.lit(False).alias("same"))),
         )
 
-    stored = entries.select(F.col("id").alias("b"), *(F.col(n).alias(f"g{i}") for i, n in enumerate(names)), F.explode(segments(lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
-    probes = entries.select(F.col("id").alias("a"), *names, F.explode(segments(ball)).alias("probe")).select("a", *names, "probe.key", "probe.same")
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(n).bitwiseXOR(F.col(f"g{i}"))) for i, n in enumerate(names)))
-    return probes.alias("p").join(stored.alias("s"), (F.col("p.key") == F.col("s.key")) & (apart <= distance) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    stored = entries.select(F.col("id").alias("b"), F.col("label").alias("to"), *(F.col(n).alias(f"g{i}") for i, n in enumerate(names)), F.explode(_segments(words, segment_bits, lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
+    probes = entries.select(F.col("id").alias("a"), "label", *names, F.explode(_segments(words, segment_bits, ball)).alias("probe")).select("a", "label", *names, "probe.key", "probe.same")
+    close = _apart([F.col(n) for n in names], [F.col(f"g{i}") for i in range(words)]) <= distance
+    joined = probes.alias("p").join(stored.alias("s"), (F.col("p.key") == F.col("s.key")) & (F.col("label") != F.col("to")) & close & (~F.col("same") | (F.col("a") < F.col("b"))))
+    return joined.select(F.least("label", "to").alias("a"), F.greatest("label", "to").alias("b")).distinct()
+
+
+def linked_components(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
+    """(node, component) of distinct fingerprints (id, f0, f1, ...): stars first, then the pairs that they leave apart.
+
+    In a large group of near copies nearly all pairs link; the stars join it with a few rows for each member, and the
+    join of pairs then only emits links between what is still apart. The components are those of all links.
+    """
+    stars = components(star_links(entries, words, distance, segment_bits))
+    labelled = stash(entries.join(stars, F.col("id") == F.col("node"), "left").select(*entries.columns, F.coalesce("component", "id").alias("label")))
+    joined = components(mih_links(labelled, words, distance, segment_bits))
+    return labelled.join(joined, F.col("label") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "label").alias("component"))
 
 
 def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, words: int = 1, distance: int = 3, segment_bits: int = 32) -> DataFrame:
@@ -99,7 +130,7 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     names = [f"f{i}" for i in range(words)]
     marked = stash(fingerprints(docs, text, key, shingle, words))
     classes = stash(marked.groupBy(*names).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    linked = components(mih_links(classes.filter("id is not null").select("id", *names), words, distance, segment_bits))
+    linked = linked_components(classes.filter("id is not null").select("id", *names), words, distance, segment_bits)
     named = stash(classes.join(linked, F.col("id") == F.col("node"), "left").select(*names, "copies", F.coalesce("component", "id").alias("component_id")))
     return join_counted(marked, named, names, "copies", marked.count()).drop("copies")
 
