@@ -54,6 +54,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as ``name``, evaluated once a row however often later columns use it.
+
+    Spark merges projections and would repeat a costly expression in each; it doesn't merge across a generator.
+    """
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
 def root_buckets(count: Column, *key: Column) -> Column:
     """Bucket number of a row in a group of ``count`` rows: about sqrt(count) buckets of sqrt(count) rows.
 

@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import n_words, root_buckets, small_table, stash, table
+from weft.llm.common import computed_once, n_words, root_buckets, small_table, stash, table
 
 #: Rates are kept as whole multiples of 2**-UNIT, so cumulation is exact and reruns agree.
 UNIT = 20
@@ -132,6 +132,6 @@ def repeat_copies(mixed: DataFrame) -> DataFrame:
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = computed_once(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "size", n_words(F.col("text"))).drop("text")
     mixed = entropy_mix(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
