@@ -50,6 +50,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{re.sub(r'(^|, )(\w+) ', r'\1\2: ', schema)}>>")))
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to hand Python 1000 texts at a time: 10,000 long ones are too much for a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import group_rank, small_table, stash, table
+from weft.llm.common import group_rank, small_table, stash, table, text_batches
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -78,7 +78,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
                     rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), *([piece.astype(np.int32)] * keep_ids)))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, text: str = "text", key: str = "doc_id", by_words: bool = True, keep_ids: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import table, text_batches
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
 #: n-gram length: most of a text's word characters that repeated n-grams of this length may cover.
@@ -97,7 +97,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             out = pd.DataFrame([m[0] for m in got], columns=FIELDS)
             yield out.assign(doc_id=batch["doc_id"].astype("Int64").values, ngram_excess=[m[1] for m in got], line_coverage=[m[2] for m in got])
 
-    measured = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id long, {fields}, ngram_excess double, line_coverage double")
+    measured = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id long, {fields}, ngram_excess double, line_coverage double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ngram_excess") <= 1) & (F.col("line_coverage") <= LINE_COVERAGE))
 
@@ -114,7 +114,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
                 good.append(m[0] >= 10 and 100 * m[4] <= 20 * m[0] and excess <= 1 and lines <= LINE_COVERAGE)
             yield batch[good][columns]
 
-    return docs.mapInPandas(run, docs.schema)
+    return text_batches(docs).mapInPandas(run, docs.schema)
 
 
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, table
+from weft.llm.common import stash, table, text_batches
 from weft.llm.graph import components, join_counted
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words: int)
             rows = np.array([fingerprint(t, shingle, words) for t in batch["text"]], np.int64).reshape(-1, words)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {n: rows[:, i] for i, n in enumerate(names)})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _segments(words: int, segment_bits: int, each) -> Column:

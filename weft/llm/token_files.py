@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import shared_dir, small_table, stash, table
+from weft.llm.common import shared_dir, small_table, stash, table, text_batches
 
 MAGIC, BLOCK, FIT, NO_ID = b"WPFOR001", 1024, 95, -(2**63)
 HEAD, FOOT = struct.Struct("<IHBH"), struct.Struct("<QQQ8s")
@@ -197,7 +197,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         store.move(f"{place}/_{name}.{attempt}", f"{place}/{name}")
         yield pd.DataFrame({"part": [part], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    rows = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     return stash(rows.mapInPandas(run, "part int, file string, n_docs long, n_tokens long"))
 
 
