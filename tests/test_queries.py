@@ -1,6 +1,10 @@
 """Every registered query of the operators against its SQL in DuckDB."""
 
+import numbers
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from weft.plans import registry
@@ -19,7 +23,12 @@ def db():
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    cell = lambda v: "null" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    def cell(v):
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
+            return "null"
+        number = isinstance(v, numbers.Real) and not isinstance(v, bool | np.bool_)
+        return repr(round(float(v), 6)) if number else str(v)
+
     rows = [tuple(map(cell, r)) for r in df.itertuples(index=False)]
     return sorted(df.columns), sorted(rows)
 
