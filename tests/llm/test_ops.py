@@ -251,6 +251,30 @@ def test_near_duplicates_of_five_words(spark):
     assert set(range(30)) <= ids and len(ids & set(range(30, 60))) <= 1 and not ids & set(range(60, 65)) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_keep_first_links_exactly_from_a_similarity_of_0_8(spark):
+    rng = random.Random(26)
+    texts = [" ".join(f"common{k}" for k in range(40))]
+    for _ in range(40):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for share in (0.016, 0.02, 0.022, 0.025, 0.03, 0.04):  # of words changed: similarities about 0.8
+            v = [f"x{rng.randrange(9000)}" if rng.random() < share else w for w in base]
+            texts.append(" ".join(v))
+    texts += [" ".join([*texts[0].split(), *(f"own{i}.{k}" for k in range(9))]) for i in range(60)]  # 36 common of 45 shingles: all link with the first, not with each other
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    s = [sets(t) for t in texts]
+    linked = [(a, b) for a in range(len(s)) for b in range(a) if 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
+    near = [len(s[a] & s[b]) / len(s[a] | s[b]) for a in range(len(s)) for b in range(max(0, a - 7), a)]
+    assert sum(0.8 <= x < 0.85 for x in near) > 20 and sum(0.7 < x < 0.8 for x in near) > 20
+    want = {i for i, r in roots(range(len(s)), linked).items() if i == r}
+    assert {r["doc_id"] for r in simhash.keep_first(docs_of(spark, texts)).collect()} == want
+    assert simhash.keep_first(docs_of(spark, [])).count() == 0 and simhash.keep_first(docs_of(spark, [None, "", "a b", "A  b"])).count() == 2
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7000, 7000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

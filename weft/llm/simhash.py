@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import stash, table, text_batches
 from weft.llm.graph import components, join_counted
+from weft.llm.shingles import shingle_components
 
 SEED = 42
 
@@ -135,24 +136,18 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     return join_counted(marked, named, names, "copies", marked.count()).drop("copies")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """simhash_components for shingles of five words and a similarity of about 0.8 or more.
-
-    Two sets of shingles of Jaccard similarity 0.8 differ in about 15 % of the bits of their fingerprints. Of 128 bits
-    that is 19; 24 takes in most of the spread. In eight segments of 16 bits, such pairs differ by at most one bit in
-    at least one segment with probability 0.93, pairs of similarity 0.9 with 0.997.
-    """
-    return simhash_components(docs, text, key, shingle=5, words=2, distance=24, segment_bits=16)
-
-
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its component of ``near_duplicates``, with their columns unchanged.
+    """The rows of ``docs`` whose id names its component of near copies, with their columns unchanged.
 
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them and no
+    others (``weft.llm.shingles``). Fingerprints can't say that: of 128 bits, a distance that takes in nearly all such
+    pairs is 31, and probes complete for it (balls of radius 3 around eight segments) meet a twelfth of all pairs.
     Rows that repeat an id are one document: one of them stays. Rows without an id stay as they are.
     """
-    found = near_duplicates(docs.filter(F.col(key).isNotNull()), text, key)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([key])
+    own = stash(docs.filter(F.col(key).isNotNull()).dropDuplicates([key]))
+    found = shingle_components(own.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
+    named = own.join(kept, F.col(key).cast("long") == F.col("kept_id"), "left_semi")
     return named.unionByName(docs.filter(F.col(key).isNull()))
 
 
