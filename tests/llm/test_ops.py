@@ -346,6 +346,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in toxicity.keep_civil(docs, model).collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_toxicity_of_rare_expressions(spark):
+    rng = random.Random(27)
+    words = ["".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    plain = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(400)]
+    seen = iter(range(4))  # four toxic texts that teach have the expression
+    teaches = [zlib.crc32(str(i).encode()) % 3 != 1 for i in range(400)]
+    rows = [(i, t + " vilezard" * (i % 2) + " quxwyf" * (i % 2 and teaches[i] and next(seen, None) is not None)) for i, t in enumerate(plain)]
+    rows += [(1000, plain[0]), (1001, plain[0] + " quxwyf"), (1002, plain[0] + " quhgkl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[1001] > got[1000] + 0.001 and got[1001] > got[1002] + 0.001
+
+
+def test_toxicity_table_is_exact():
+    rng = np.random.default_rng(28)
+    keys = np.unique(rng.integers(-(2**63), 2**63, 50_000))
+    known, unknown, ratios = keys[::2], keys[1::2], rng.normal(size=len(keys[::2])).astype(np.float32)
+    model = toxicity._table(known, ratios)
+    assert (toxicity._ratios_of(known, model) == ratios).all() and not toxicity._ratios_of(unknown, model).any()
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a b", None])
     assert toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None

@@ -8,11 +8,12 @@ inflected, rare words still add up.
 
     P_k(w | h) = max(c_k(hw) - D, 0) / c_k(h) + D N_k(h) / c_k(h) P(w | h')
 
-The log-likelihood ratio of each n-gram is worked out once, by Spark. As usual for n-gram models, the tables are pruned:
-where the classes' counts don't differ by LEAST_Z standard deviations from the context's shares and the models by
-LEAST_RATIO, both models count as equal. Without that, differences in the mix of languages and topics drown the few
-telling words of a long text. The score takes the ratio per character over the whole text, and over its highest
-stretch of STRETCH characters, into a logistic calibration.
+A class that lacks a context backs off completely. The log-likelihood ratio of each n-gram that a learning text has is
+worked out once, by Spark; where both classes lack an n-gram, both back off to the same model and the ratio is 0.
+Ratios are shrunk, none is cut off: the weight is a half where the classes' counts differ by HALF_Z standard deviations
+from the context's shares, and another half where the ratio is HALF_RATIO. Without that, differences in the mix of
+languages and topics drown the few telling words of a long text. The score takes the ratio per character over the
+whole text, and over its highest stretch of STRETCH characters, into a logistic calibration.
 
 Labelled rows outside the held-out fold teach both: counts of checksum remainder 0 make the models that are
 calibrated on remainder 2; the models that score count both. For each class and remainder at most ``most_labelled``
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import stash, table, text_batches
 
 ORDER, MIDDLE, DISCOUNT, STRETCH = 8, 4, 0.75, 256
-LEAST_Z, LEAST_RATIO = 4.0, 1.5
-TABLE_BITS, MOST_GRAMS = 20, 1 << 18
+HALF_Z, HALF_RATIO = 4.0, 1.5
 THRESHOLD = 0.7
 _BLANKS = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
 
@@ -99,7 +99,7 @@ def _count_triples(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _ratios(counted: DataFrame, triples: DataFrame) -> DataFrame:
-    """gram, ratio and n of the n-grams on which the models differ."""
+    """gram and shrunk ratio of every n-gram of ``counted``."""
     d = DISCOUNT
     middle, low = (1 << 8 * MIDDLE) - 1, (1 << 24) - 1
     upper = lambda c: F.shiftrightunsigned(c, 8)
@@ -110,49 +110,53 @@ def _ratios(counted: DataFrame, triples: DataFrame) -> DataFrame:
     lowest = triples.join(pairs, upper("triple") == F.col("pair")).select("triple", ((F.col("n") + 0.5) / (F.col("pair_n") + 128.0)).alias("p_low"))
     backoff = shared.join(above, upper("mid") == F.col("mid_context")).join(lowest, F.col("mid").bitwiseAND(F.lit(low)) == F.col("triple"), "left")
     backoff = backoff.select("mid", ((F.greatest(F.col("types") - d, F.lit(0.0)) + d * F.col("followers") * F.coalesce("p_low", F.lit(1 / 256))) / F.col("all_types")).alias("p_mid"))
-    p = [F.greatest(F.col(f"c{k}") - d, F.lit(0.0)) / F.col(f"t{k}") + d * F.col(f"v{k}") / F.col(f"t{k}") * F.col("p_mid") for k in (0, 1)]
-    n, share = F.col("c0") + F.col("c1"), F.col("t1") / (F.col("t0") + F.col("t1"))
-    telling = counted.join(contexts, upper("gram") == F.col("context")).filter((F.col("t0") > 0) & (F.col("t1") > 0)).filter(F.abs(F.col("c1") - n * share) >= LEAST_Z * F.sqrt(n * share * (1 - share)))
-    joined = telling.join(backoff, F.col("gram").bitwiseAND(F.lit(middle)) == F.col("mid"))
-    return joined.select("gram", F.log(p[1] / p[0]).alias("ratio"), n.alias("n")).filter(F.abs("ratio") >= LEAST_RATIO)
-
-
-def _most_frequent(df: DataFrame, most: int) -> pd.DataFrame:
-    """The rows of the highest n, ties in or out together, at most ``most`` rows."""
-    rows, least = 0, 1
-    for r in df.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        if rows + r["count"] > most:
-            least = r["n"] + 1
-            break
-        rows += r["count"]
-    return df.filter(F.col("n") >= least).toPandas()
-
-
-def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), (h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-
-
-def _table(keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios and check marks by place; of two keys at one place the stronger ratio stays."""
-    order = np.argsort(np.abs(ratios), kind="stable")
-    at, mark = _place(keys[order].view(np.uint64))
-    values, marks = np.zeros(1 << TABLE_BITS, np.float32), np.zeros(1 << TABLE_BITS, np.uint16)
-    values[at], marks[at] = ratios[order], mark
-    return values, marks
-
-
-def features(text: str | None, model: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    p = [F.when(F.col(f"t{k}") > 0, F.greatest(F.col(f"c{k}") - d, F.lit(0.0)) / F.col(f"t{k}") + d * F.col(f"v{k}") / F.col(f"t{k}") * F.col("p_mid")).otherwise(F.col("p_mid")) for k in (0, 1)]
+    toxic_share = counted.agg((F.sum("c1") + 0.5) / (F.sum(F.col("c0") + F.col("c1")) + 1)).first()[0] or 0.5
+    # the share of toxic documents to expect: that of the context, or of all where only one class has the context
+    share = F.when((F.col("t0") > 0) & (F.col("t1") > 0), F.col("t1") / (F.col("t0") + F.col("t1"))).otherwise(F.lit(toxic_share))
+    n, ratio = F.col("c0") + F.col("c1"), F.log(p[1] / p[0])
+    joined = counted.join(contexts, upper("gram") == F.col("context")).join(backoff, F.col("gram").bitwiseAND(F.lit(middle)) == F.col("mid"))
+    sized = joined.select("gram", ratio.alias("ratio"), (F.pow(F.col("c1") - n * share, 2) / (n * share * (1 - share))).alias("z2"), F.pow(ratio, 2).alias("r2"))
+    return sized.select("gram", (F.col("ratio") * F.col("z2") / (F.col("z2") + HALF_Z**2) * F.col("r2") / (F.col("r2") + HALF_RATIO**2)).cast("float").alias("ratio"))
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """The keys spread evenly over 64 bits, one to one."""
+    h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _table(keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixed keys in order with an end mark, their ratios, and where the keys of each interval begin (about one each)."""
+    mixed = _mixed(keys)
+    order = np.argsort(mixed)
+    mixed = np.append(mixed[order], np.uint64(2**64 - 1))
+    bits = max(1, len(keys).bit_length())
+    starts = np.searchsorted(mixed[:-1], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return mixed, np.append(ratios[order], np.float32(0)).astype(np.float32), starts
+
+
+def _ratios_of(gram: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ratio of each n-gram, 0 of those that the model hasn't."""
+    mixed, ratios, starts = model
+    wanted = _mixed(gram)
+    at = starts[wanted >> np.uint64(64 - (len(starts).bit_length() - 1))]
+    found = mixed[at]
+    behind = np.flatnonzero(found < wanted)
+    while len(behind):
+        at[behind] += 1
+        found[behind] = step = mixed[at[behind]]
+        behind = behind[step < wanted[behind]]
+    return np.where(found == wanted, ratios[at], np.float32(0))
+
+
+def features(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Log-likelihood ratio per character of the text, and of its highest stretch."""
-    ratios, marks = model
     data = characters(text)
     total, best, n, step = 0.0, -math.inf, len(data) - 1, STRETCH << 12
     for i in range(0, n, step):  # long texts in parts, which see the characters before them
         back = min(i, 64)
-        gram = grams(data[i - back : i + step + 1], ORDER)[back:]
-        at, mark = _place(gram)
-        ratio = np.where(marks[at] == mark, ratios[at], 0)
+        ratio = _ratios_of(grams(data[i - back : i + step + 1], ORDER)[back:], model)
         sums = np.add.reduceat(ratio.astype(np.float64), np.arange(0, len(ratio), STRETCH // 2))
         pairs = sums[1:] + sums[:-1] if len(sums) > 1 else sums
         total, best = total + sums.sum(), max(best, pairs.max() / min(STRETCH, max(len(ratio), STRETCH // 4)))
@@ -196,9 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
     counted = stash(_count_grams(labelled.select("text", "fold", "toxic")))
     triples = stash(_count_triples(docs, text))
 
-    def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        known = _most_frequent(_ratios(counts, triples), MOST_GRAMS)
-        return _table(known["gram"].to_numpy(np.int64), known["ratio"].to_numpy(np.float64))
+    def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = _ratios(counts, triples).toArrow()  # the n-grams of at most 4 * most_labelled texts, 12 bytes each
+        return _table(known["gram"].to_numpy(), known["ratio"].to_numpy())
 
     first = spark.sparkContext.broadcast(model(counted.filter("fold = 0").drop("fold")))
     marked = _features(labelled.filter("fold = 2").select("text", "toxic"), first).toPandas()  # at most 2 * most_labelled rows of numbers
