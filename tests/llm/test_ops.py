@@ -360,6 +360,16 @@ def test_toxicity_of_rare_expressions(spark):
     assert got[1001] > got[1000] + 0.001 and got[1001] > got[1002] + 0.001
 
 
+def test_toxicity_ignores_held_out_labels(spark):
+    texts = [f"plain words {i % 7} here" + " vilezard" * (i % 3 == 0) for i in range(120)]
+    scores = []
+    for held in (0, 1):
+        labels = [(i, held if zlib.crc32(str(i).encode()) % 3 == 1 else int(i % 3 == 0)) for i in range(120)] * 2
+        docs = docs_of(spark, texts)
+        scores.append([r["score"] for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).orderBy("doc_id").collect()])
+    assert scores[0] == scores[1] and len(set(scores[0])) > 1
+
+
 def test_toxicity_table_is_exact():
     rng = np.random.default_rng(28)
     keys = np.unique(rng.integers(-(2**63), 2**63, 50_000))

@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
     x = marked[["whole", "stretch"]].to_numpy(np.float64)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     y = marked["toxic"].to_numpy(np.float64)
-    total = labels.filter("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
+    total = usable.agg(F.avg("toxic")).first()[0]
     weights = _logistic((x - mean) / spread, y)
     # classes are bounded apart: bring the intercept back to the share of toxic labels
     weights[-1] += math.log(total / (1 - total)) - math.log(y.mean() / (1 - y.mean()))
