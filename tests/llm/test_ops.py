@@ -321,6 +321,15 @@ def test_repeated_lines_and_grams_are_rejected():
     assert quality.measure("\n".join(["the very same line of text"] * 9 + [clean]))[2] > 0.05
 
 
+def test_coverage_decides_where_the_base_rule_passes(spark):
+    words = [f"word{i:03}" for i in range(200)]
+    long_passage = " ".join(words[:164] + words[:18] + words[182:])  # 18 words twice: 18 % of the words
+    short_passage = " ".join(words[:91] + words[:9] + words[100:])  # 9 words twice: 9 %
+    got = {r["doc_id"]: r for r in quality.judge(docs_of(spark, [long_passage, short_passage, " ".join(words)])).collect()}
+    assert [(got[i]["base_failed"], got[i]["kept"]) for i in range(3)] == [(False, False), (False, True), (False, True)]
+    assert [r["doc_id"] for r in quality.keep_good(docs_of(spark, [long_passage, short_passage])).collect()] == [1]
+
+
 # toxicity
 
 

@@ -18,7 +18,7 @@ from weft.llm.common import table, text_batches
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
 #: n-gram length: most of a text's word characters that repeated n-grams of this length may cover.
-COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Most of a text's characters that lines equal to an earlier line may hold.
 LINE_COVERAGE = 0.30
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
