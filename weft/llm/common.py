@@ -6,9 +6,15 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def store_of(folder: str):
+    """A file system by which tasks reach ``folder`` without Spark, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: short lineage that outlives executors."""
     spark = df.sparkSession
@@ -50,10 +63,59 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{re.sub(r'(^|, )(\w+) ', r'\1\2: ', schema)}>>")))
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session set to hand Python 1000 texts at a time: 10,000 long ones are too much for a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Consecutive slices of Arrow batches whose texts have about ``most`` bytes in all, and the texts of each.
+
+    Spark bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so what a worker holds doesn't
+    depend on how long texts are. A single longer text is a slice of its own.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, append=-1)) + 1
+        start = 0
+        for end in ends.tolist():
+            part = batch.slice(start, end - start)
+            yield part, part.column(text).to_pylist()
+            start = end
+
+
+def with_columns_of(docs: DataFrame, fields: str, compute: Callable[[list[str | None]], list], text: str = "text") -> DataFrame:
+    """``docs`` without ``text``, and the columns ``fields`` that ``compute`` gives for a list of texts.
+
+    The other columns stay what they are: they pass as Arrow data and never become Python or pandas values, which
+    would turn whole numbers beside a null into floating-point ones.
+    """
+    kept, added = StructType([f for f in docs.schema.fields if f.name != text]), StructType.fromDDL(fields)
+    schema = StructType([*kept.fields, *added.fields])
+    names, carried, kinds = schema.names, kept.names, [f.type for f in to_arrow_schema(added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, text):
+            got = [pa.array(values, kind) for values, kind in zip(compute(texts), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *got], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def rows_whose(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` for whose texts ``keep`` says so; all columns pass as Arrow data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, text):
+            yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def as_one(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of ``docs`` as one struct: no name that an operator uses inside can clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str], row: str = "row") -> DataFrame:
+    """The columns of ``row`` again and ``added`` beside them; an added column replaces one of the same name."""
+    own = [c for c in columns if c.lower() not in {a.lower() for a in added}]
+    return df.select(*(F.col(row)[c].alias(c) for c in own), *added)
 
 
 def n_words(text: Column) -> Column:

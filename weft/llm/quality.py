@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table, text_batches
+from weft.llm.common import rows_whose, table, with_columns_of
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
 #: n-gram length: most of a text's word characters that repeated n-grams of this length may cover.
@@ -89,32 +88,25 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     A null text has no words, so it fails like any text of fewer than 10 words. Repeated rows and null ids are judged
     like others; an empty table gives an empty result.
     """
-    fields = ", ".join(f"{f} long" for f in FIELDS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [measure(t) for t in batch["text"]]
-            out = pd.DataFrame([m[0] for m in got], columns=FIELDS)
-            yield out.assign(doc_id=batch["doc_id"].astype("Int64").values, ngram_excess=[m[1] for m in got], line_coverage=[m[2] for m in got])
+    def compute(texts: list[str | None]) -> list:
+        got = [measure(t) for t in texts]
+        return [*([m[0][i] for m in got] for i in range(len(FIELDS))), [m[1] for m in got], [m[2] for m in got]]
 
-    measured = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id long, {fields}, ngram_excess double, line_coverage double")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    measured = with_columns_of(own, ", ".join(f"{f} long" for f in FIELDS) + ", ngram_excess double, line_coverage double", compute)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ngram_excess") <= 1) & (F.col("line_coverage") <= LINE_COVERAGE))
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with their columns unchanged; texts are judged in place."""
-    columns = docs.columns
+def is_good(text: str | None) -> bool:
+    (n_words, *_, n_repeat), excess, lines = measure(text)
+    return n_words >= 10 and 100 * n_repeat <= 20 * n_words and excess <= 1 and lines <= LINE_COVERAGE
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for t in batch[text]:
-                m, excess, lines = measure(t)
-                good.append(m[0] >= 10 and 100 * m[4] <= 20 * m[0] and excess <= 1 and lines <= LINE_COVERAGE)
-            yield batch[good][columns]
 
-    return text_batches(docs).mapInPandas(run, docs.schema)
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is kept, with their columns unchanged; texts are judged in place."""
+    return rows_whose(docs, lambda texts: [is_good(t) for t in texts], text)
 
 
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
