@@ -18,20 +18,23 @@ whole text, and over its highest stretch of STRETCH characters, into a logistic
 Labelled rows outside the held-out fold teach both: counts of checksum remainder 0 make the models that are
 calibrated on remainder 2; the models that score count both. For each class and remainder at most ``most_labelled``
 rows are taken, those of the smallest hash of the id. The counts of three characters cover all documents.
+
+A model is a table of n-grams in the shared folder, ordered by a one-to-one mix of their bits; every Python worker
+reads it once. It has all n-grams of the learning texts, so its size follows from ``most_labelled``.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, table, text_batches
+from weft.llm.common import rows_whose, shared_dir, stash, store_of, table, text_slices, with_columns_of
 
 ORDER, MIDDLE, DISCOUNT, STRETCH = 8, 4, 0.75, 256
 HALF_Z, HALF_RATIO = 4.0, 1.5
@@ -66,36 +69,31 @@ def fold(doc_id) -> F.Column:
 def _count_grams(docs: DataFrame) -> DataFrame:
     """gram, fold, and in how many documents of each class it occurs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for (part, toxic), group in batch.groupby(["fold", "toxic"]):
-                texts, size = [], 0
-                for t in [*group["text"], None]:
-                    if t is not None:
-                        texts.append(np.unique(grams(characters(t), ORDER)))
-                        size += len(texts[-1])
-                    if texts and (t is None or size > 2_000_000):
-                        gram, n = np.unique(np.concatenate(texts), return_counts=True)
-                        yield pd.DataFrame({"gram": gram.view(np.int64), "fold": np.int32(part), "c0": n * (toxic == 0), "c1": n * (toxic == 1)})
-                        texts, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            folds, toxic = (part.column(c).to_numpy() for c in ("fold", "toxic"))
+            for f, k in sorted(set(zip(folds.tolist(), toxic.tolist(), strict=True))):
+                found = [np.unique(grams(characters(texts[i]), ORDER)) for i in np.flatnonzero((folds == f) & (toxic == k)).tolist()]
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([gram.view(np.int64), np.full(len(gram), f, np.int32), n * (k == 0), n * (k == 1)], ["gram", "fold", "c0", "c1"])
 
-    return text_batches(docs).mapInPandas(run, "gram long, fold int, c0 long, c1 long").groupBy("gram", "fold").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return docs.mapInArrow(run, "gram long, fold int, c0 long, c1 long").groupBy("gram", "fold").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def _count_triples(docs: DataFrame, text: str) -> DataFrame:
     """triple, n over all documents; a task sends each triple of bytes once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            found = [np.unique(grams(characters(t), 3).astype(np.int64), return_counts=True) for t in batch["text"] if t]
+        for _, texts in text_slices(batches):
+            found = [np.unique(grams(characters(t), 3).astype(np.int64), return_counts=True) for t in texts if t]
             if found:
                 codes, n = (np.concatenate(x) for x in zip((known, total), *found, strict=True))
                 known, place = np.unique(codes, return_inverse=True)
                 total = np.bincount(place, weights=n).astype(np.int64)
-        yield pd.DataFrame({"triple": known, "n": total})
+        yield pa.RecordBatch.from_arrays([known, total], ["triple", "n"])
 
-    return text_batches(docs).select(F.col(text).alias("text")).mapInPandas(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
 def _ratios(counted: DataFrame, triples: DataFrame) -> DataFrame:
@@ -126,17 +124,56 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _table(keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixed keys in order with an end mark, their ratios, and where the keys of each interval begin (about one each)."""
-    mixed = _mixed(keys)
-    order = np.argsort(mixed)
-    mixed = np.append(mixed[order], np.uint64(2**64 - 1))
-    bits = max(1, len(keys).bit_length())
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+_SIGN = np.uint64(1 << 63)
+
+
+def _table(mixed: np.ndarray, ratios: np.ndarray) -> Model:
+    """Ascending mixed keys and their ratios, both with an end mark, and where the keys of each interval begin (about two each)."""
+    bits = max(1, (len(mixed) - 1).bit_length() - 1)
     starts = np.searchsorted(mixed[:-1], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-    return mixed, np.append(ratios[order], np.float32(0)).astype(np.float32), starts
+    return mixed, ratios, starts
+
+
+def _write_model(ratios: DataFrame, files: int) -> str:
+    """Write (gram, ratio) by ascending mixed key, file by file; the folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mixed = (_mixed(batch.column("gram").to_numpy()) ^ _SIGN).view(np.int64)
+            yield pa.RecordBatch.from_arrays([mixed, batch.column("ratio")], ["mixed", "ratio"])
+
+    folder = shared_dir(ratios.sparkSession)
+    ratios.mapInArrow(run, "mixed long, ratio float").repartitionByRange(files, "mixed").sortWithinPartitions("mixed").write.parquet(folder)
+    return folder
+
+
+_models: dict[str, Model] = {}
+
+
+def _read_model(folder: str) -> Model:
+    """The model of a folder; a worker process keeps the one it used last."""
+    if folder not in _models:
+        import pyarrow.parquet as pq
+
+        _models.clear()
+        store, place = store_of(folder)
+        from pyarrow.fs import FileSelector
 
+        paths = sorted(f.path for f in store.get_file_info(FileSelector(place)) if f.base_name.startswith("part-"))
+        files = [pq.ParquetFile(store.open_input_file(p)) for p in paths]
+        n, at = sum(f.metadata.num_rows for f in files), 0
+        mixed, ratios = np.full(n + 1, 2**64 - 1, np.uint64), np.zeros(n + 1, np.float32)
+        for f in files:
+            for batch in f.iter_batches(1 << 20):
+                mixed[at : at + len(batch)] = batch.column("mixed").to_numpy().view(np.uint64) ^ _SIGN
+                ratios[at : at + len(batch)] = batch.column("ratio").to_numpy()
+                at += len(batch)
+        _models[folder] = _table(mixed, ratios)
+    return _models[folder]
 
-def _ratios_of(gram: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+
+def _ratios_of(gram: np.ndarray, model: Model) -> np.ndarray:
     """The ratio of each n-gram, 0 of those that the model hasn't."""
     mixed, ratios, starts = model
     wanted = _mixed(gram)
@@ -150,7 +187,7 @@ def _ratios_of(gram: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray
     return np.where(found == wanted, ratios[at], np.float32(0))
 
 
-def features(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, float]:
+def features(text: str | None, model: Model) -> tuple[float, float]:
     """Log-likelihood ratio per character of the text, and of its highest stretch."""
     data = characters(text)
     total, best, n, step = 0.0, -math.inf, len(data) - 1, STRETCH << 12
@@ -174,41 +211,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def learning_rows(labels: DataFrame, most_labelled: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fold, toxic) of all labelled rows that may teach, and of those that do: of each class and fold the
+    ``most_labelled`` with the smallest hash of the id, or all if there are fewer."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 1")
+    usable = stash(usable.groupBy("doc_id", "fold").agg(F.max("toxic").cast("int").alias("toxic")))
+    parts = [usable.filter((F.col("fold") == f) & (F.col("toxic") == k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for f in (0, 2) for k in (0, 1)]
+    return usable, stash(reduce(DataFrame.unionByName, parts))
+
+
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text: str = "text", key: str = "doc_id"):
-    """A broadcast (model, mean, spread, weights), or None where a class has no learning rows.
+    """(folder of the model, mean, spread, weights), or None where a class has no learning rows.
 
     Labels other than 0 and 1, null ids and the held-out fold are left out; an id with several labels counts as toxic
     if any of them is.
     """
     spark = docs.sparkSession
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 1")
-    usable = stash(usable.groupBy("doc_id", "fold").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 40)))
-    # the smallest hashes of each class and fold, by a threshold from counts of hash intervals
-    sizes = usable.groupBy("fold", "toxic", F.shiftright("h", 12).alias("slot")).count().collect()  # at most 4 * 4096 rows
-    bounds = {}
-    for r in sorted(sizes, key=lambda r: r["slot"]):
-        n, bound = bounds.get((r["fold"], r["toxic"]), (0, 0))
-        if n + r["count"] <= most_labelled:
-            bounds[r["fold"], r["toxic"]] = (n + r["count"], r["slot"] + 1)
-        else:
-            bounds[r["fold"], r["toxic"]] = (most_labelled, bound)
-    if len(bounds) < 4:
+    usable, chosen = learning_rows(labels, most_labelled)
+    if chosen.select("fold", "toxic").distinct().count() < 4:
         return None
-    chosen = usable.filter(" or ".join(f"(fold = {f} and toxic = {k} and h < {b << 12})" for (f, k), (_, b) in bounds.items()))
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    labelled = own.join(F.broadcast(chosen.select("doc_id", "fold", "toxic")), "doc_id").filter("text is not null")  # at most 4 * most_labelled ids
-    counted = stash(_count_grams(labelled.select("text", "fold", "toxic")))
+    labelled = own.join(F.broadcast(chosen), "doc_id").filter("text is not null").drop("doc_id")  # at most 4 * most_labelled ids
+    counted = stash(_count_grams(labelled))
     triples = stash(_count_triples(docs, text))
-
-    def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known = _ratios(counts, triples).toArrow()  # the n-grams of at most 4 * most_labelled texts, 12 bytes each
-        return _table(known["gram"].to_numpy(), known["ratio"].to_numpy())
-
-    first = spark.sparkContext.broadcast(model(counted.filter("fold = 0").drop("fold")))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = _write_model(_ratios(counted.filter("fold = 0").drop("fold"), triples), files)
     marked = _features(labelled.filter("fold = 2").select("text", "toxic"), first).toPandas()  # at most 2 * most_labelled rows of numbers
     if marked["toxic"].nunique() < 2:
         return None
-    final = model(counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    final = _write_model(_ratios(counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), triples), files)
     x = marked[["whole", "stretch"]].to_numpy(np.float64)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     y = marked["toxic"].to_numpy(np.float64)
@@ -216,22 +247,22 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
     weights = _logistic((x - mean) / spread, y)
     # classes are bounded apart: bring the intercept back to the share of toxic labels
     weights[-1] += math.log(total / (1 - total)) - math.log(y.mean() / (1 - y.mean()))
-    return spark.sparkContext.broadcast((final, mean, spread, weights))
+    return final, mean, spread, weights
 
 
-def _features(docs: DataFrame, model) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = np.array([features(t, model.value) for t in batch["text"]]).reshape(-1, 2)
-            yield pd.DataFrame({"toxic": batch["toxic"].values, "whole": got[:, 0], "stretch": got[:, 1]})
+def _features(docs: DataFrame, folder: str) -> DataFrame:
+    def compute(texts: list[str | None]) -> list:
+        got = [features(t, _read_model(folder)) for t in texts]
+        return [[g[i] for g in got] for i in (0, 1)]
 
-    return text_batches(docs).mapInPandas(run, "toxic int, whole double, stretch double")
+    return with_columns_of(docs, "whole double, stretch double", compute)
 
 
-def _scores(texts, model) -> np.ndarray:
+def _scores(texts: list[str | None], model) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
-    known, mean, spread, weights = model.value
+    folder, mean, spread, weights = model
+    known = _read_model(folder)
     x = (np.array([features(t, known) for t in texts]).reshape(-1, 2) - mean) / spread
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
@@ -242,25 +273,14 @@ def score(docs: DataFrame, model, text: str = "text", key: str = "doc_id") -> Da
     Only the text is scored; a null text scores as an empty one. Without a model (no labels of both classes) every
     score is 0.5. Repeated rows score alike; an empty table gives an empty result. A null id is not held out.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            held = [not pd.isna(i) and zlib.crc32(str(i).encode()) % 3 == 1 for i in ids]
-            s = _scores(batch["text"].tolist(), model)
-            yield pd.DataFrame({"doc_id": ids, "held_out": held, "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
-
-    return text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    scored = with_columns_of(own, "score double", lambda texts: [_scores(texts, model)])
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their columns unchanged."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[_scores(batch[text].tolist(), model) < THRESHOLD]
-
-    return text_batches(docs).mapInPandas(run, docs.schema)
+    return rows_whose(docs, lambda texts: (_scores(texts, model) < THRESHOLD).tolist(), text)
 
 
 def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
