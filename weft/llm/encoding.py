@@ -3,7 +3,8 @@
 Both supported tokenizers treat some stretches of a text independently of what surrounds them. ``PieceEncoder`` cuts
 texts into such pieces, lets the library encode each piece it hasn't met yet, and puts the ids of a text together
 with numpy. Natural text repeats its words, so the library sees a small part of the bytes; the ids are those of
-encoding the whole text at once (tests compare them, white space of every kind included).
+encoding the whole text at once (tests compare them, white space of every kind included). A text that holds a special
+token such as ``<|endoftext|>`` literally goes to the library as it is, which gives the token's own id there.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # pieces are lower-cased text and hold no special token
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_words, self.most, self.chunk = by_words, most, chunk
         self._forget()
 
@@ -139,23 +141,31 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order; None counts as empty."""
-        waiting: list[list[list]] = []
+        waiting: list[list[list] | np.ndarray] = []
         size = 0
         for text in texts:
-            parts = [word_pieces(x) if self.by_words else byte_pieces(x) for x in self._parts(text or "")]
-            waiting.append(parts)
-            size += len(text or "")
+            text = text or ""
+            if any(t in text for t in self.special):
+                self.library.encode_special_tokens = False
+                waiting.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
+                self.library.encode_special_tokens = True
+            else:
+                waiting.append([word_pieces(x) if self.by_words else byte_pieces(x) for x in self._parts(text)])
+            size += len(text)
             if size >= self.chunk:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, waiting: list[list[list]]) -> Iterator[np.ndarray]:
+    def _flush(self, waiting: list[list[list] | np.ndarray]) -> Iterator[np.ndarray]:
         if len(self.number) > self.most:
             self._forget()
-        self._learn([p for parts in waiting for pieces in parts for p in pieces])
+        self._learn([p for parts in waiting if isinstance(parts, list) for pieces in parts for p in pieces])
         for parts in waiting:
-            yield self._gather(parts[0]) if len(parts) == 1 else np.concatenate([self._gather(p) for p in parts])
+            if isinstance(parts, list):
+                yield self._gather(parts[0]) if len(parts) == 1 else np.concatenate([self._gather(p) for p in parts])
+            else:
+                yield parts
 
 
 _encoders: dict[tuple, PieceEncoder] = {}

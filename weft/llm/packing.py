@@ -14,11 +14,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import group_rank, small_table, stash, table, text_batches
+from weft.llm.common import group_rank, small_table, stash, table, text_slices
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -65,20 +65,27 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
     """Pieces of at most ``capacity`` ids; all but a document's last are full."""
     schema = PIECES + ", ids array<int>" * keep_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weft.llm.encoding import encoder
 
-        encode, names = encoder(vocabulary, by_words).encode, [c.split()[0] for c in schema.split(", ")]
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"].tolist()), strict=True):
+        encode = encoder(vocabulary, by_words).encode
+        for part, texts in text_slices(batches):
+            row, start, length, crc, whole, kept = [], [], [], [], [], []
+            for i, ids in enumerate(encode(texts)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
-                    rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), *([piece.astype(np.int32)] * keep_ids)))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    return text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+                    row.append(i)
+                    start.append(at)
+                    length.append(len(piece))
+                    crc.append(zlib.crc32(piece.tobytes()))
+                    whole.append(len(ids))
+                    if keep_ids:
+                        kept.append(piece.astype(np.int32))
+            columns = [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(whole, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, [c.split()[0] for c in schema.split(", ")])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, text: str = "text", key: str = "doc_id", by_words: bool = True, keep_ids: bool = False) -> DataFrame:

@@ -21,14 +21,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import shared_dir, small_table, stash, table, text_batches
+from weft.llm.common import shared_dir, small_table, stash, store_of, table, text_slices
 
 MAGIC, BLOCK, FIT, NO_ID = b"WPFOR001", 1024, 95, -(2**63)
+MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 HEAD, FOOT = struct.Struct("<IHBH"), struct.Struct("<QQQ8s")
 
 
@@ -164,41 +166,40 @@ def read_file(file, blocks_at_once: int = 1024) -> Iterator[tuple[int | None, in
                 k, done = k + 1, 0
 
 
-def _store(folder: str):
-    """A file system that tasks reach without Spark, and the folder's path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder)
-
-
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, text: str = "text", key: str = "doc_id", by_words: bool = False, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, text: str = "text", key: str = "doc_id", by_words: bool = False, files: int | None = None, bytes_per_file: int = 64 << 20) -> DataFrame:
     """Write the ids of all texts in ascending order of ``key`` (null first); return the manifest.
 
     The manifest has part, file, n_docs and n_tokens, one row for each file, in order. A null text is an empty one:
-    its document is the end id alone. Rows that agree in key are ordered by their text. An empty table gives files
-    without documents. A task that is run again writes the same file again and moves it over the first.
+    its document is the end id alone. Rows that agree in key are ordered by a hash of their text and may lie in
+    several files. There is a file for about ``bytes_per_file`` of text, unless ``files`` says how many; small tables
+    get smaller files, so that all cores write. An empty table gives files without documents. A task that is run
+    again writes the same file again and moves it over the first.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not files:
+        total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+        files = max(1, -(-total // bytes_per_file), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 20))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weft.llm.encoding import encoder
 
-        store, place = _store(folder)
+        store, place = store_of(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         name, encode = f"part-{part:05d}.pfor", encoder(vocabulary, by_words).encode
         store.create_dir(place, recursive=True)
         with store.open_output_stream(f"{place}/_{name}.{attempt}") as out:
             writer = Writer(out)
-            for batch in batches:
-                for doc_id, ids in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), strict=True):
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)))
+            for rows, texts in text_slices(batches):
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode(texts), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
             n_docs, n_tokens = writer.close()
         store.move(f"{place}/_{name}.{attempt}", f"{place}/{name}")
-        yield pd.DataFrame({"part": [part], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+        yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": n_docs, "n_tokens": n_tokens}], MANIFEST)
 
-    rows = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    return stash(rows.mapInPandas(run, "part int, file string, n_docs long, n_tokens long"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
+    rows = own.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    return stash(rows.mapInArrow(run, "part int, file string, n_docs long, n_tokens long"))
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -209,31 +210,25 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         rows.append((r["part"], r["file"], start))
         start += r["n_tokens"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, place = _store(folder)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = store_of(folder)
         for batch in batches:
-            for name, first in zip(batch["file"], batch["start"].tolist(), strict=True):
-                out: list[list] = []
-                with store.open_input_file(f"{place}/{name}") as file:
-                    open_ = None
+            for listed in batch.to_pylist():
+                out: list[dict] = []
+                with store.open_input_file(f"{place}/{listed['file']}") as file:
+                    crc = seen = 0
                     for doc_id, before, n, part in read_file(file):
-                        if open_ is None:
-                            open_ = [doc_id, first + before, n, 0, 0]
-                        open_[3] = zlib.crc32(np.ascontiguousarray(part, "<u4").tobytes(), open_[3])
-                        open_[4] += len(part)
-                        if open_[4] == n:
-                            out.append(open_[:4])
-                            open_ = None
+                        crc, seen = zlib.crc32(np.ascontiguousarray(part, "<u4").tobytes(), crc), seen + len(part)
+                        if seen == n:
+                            out.append({"doc_id": doc_id, "start": listed["start"] + before, "n_tokens": n, "ids_crc32": crc})
+                            crc = seen = 0
                         if len(out) >= 10_000:
-                            yield frame(out)
+                            yield pa.RecordBatch.from_pylist(out, READ)
                             out = []
-                yield frame(out)
-
-    def frame(rows: list[list]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_pylist(out, READ)
 
     listed = small_table(spark, rows, "part int, file string, start long")
-    return listed.repartitionByRange(max(1, len(rows)), "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartitionByRange(max(1, len(rows)), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
