@@ -2,8 +2,8 @@
 
 Sets of similarity 0.8 share four fifths of the larger one. So if every set is sorted by one order, whichever it is, the
 first ``size // 5 + 1`` shingles of both have one in common: the join on these prefixes loses no pair. The order
-puts shingles seen often last, which keeps passages that many documents quote out of the prefixes. Every candidate is
-verified by the intersection of the complete sets.
+puts shingles seen often last, which keeps passages that many documents quote out of the prefixes. SimHash pairs are
+candidates beside those of the prefixes. Every candidate is verified by the intersection of the complete sets.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, text_batches
-from weft.llm.graph import components, join_counted
+from weft.llm.common import stash, text_slices, with_columns_of
+from weft.llm.graph import components
+from weft.llm.simhash import majority, mih_pairs, star_pairs
 
 SEED, SHINGLE, BUCKETS = 42, 5, 1 << 20
 
@@ -41,66 +42,57 @@ def _common(docs: DataFrame) -> np.ndarray:
     Any levels are right, they only decide how many candidates there are; so shingles count that a batch has twice.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles, batch["text"])]), return_counts=True)
-            yield pd.DataFrame({"shingle": found[n > 1], "n": n[n > 1]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_slices(batches):
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles, texts)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([found[n > 1], n[n > 1]], ["shingle", "n"])
 
-    counted = text_batches(docs).select("text").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     tops = counted.groupBy(F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.max("n").alias("n")).toArrow()  # at most BUCKETS rows
     levels = np.zeros(BUCKETS, np.uint8)
     levels[tops["bucket"].to_numpy()] = 4 * np.log2(tops["n"].to_numpy())
     return levels
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """id, set of (id, text)."""
+def _marked(rows: DataFrame) -> DataFrame:
+    """row_id, doc_id, s0 and s1 (a hash of the set), n (its size), f0 (its SimHash) and prefix of (row_id, doc_id, text)."""
+    levels = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [shingles(t) for t in batch["text"]]})
+    def compute(texts: list[str | None]) -> list:
+        from xxhash import xxh3_128_digest
 
-    return text_batches(docs).select("id", "text").mapInPandas(run, "id long, set array<long>")
+        sets = [shingles(t) for t in texts]
+        sums = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+        prefixes = [s[np.argsort(levels.value[s & BUCKETS - 1], kind="stable")[: len(s) // 5 + 1]] for s in sets]
+        return [sums[:, 0], sums[:, 1], [len(s) for s in sets], [majority(s.view(np.uint64)) for s in sets], prefixes]
 
+    return with_columns_of(rows, "s0 long, s1 long, n int, f0 long, prefix array<long>", compute)
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, s0 and s1 (a hash of the set), n (its size) and prefix of every row of (doc_id, text)."""
-    from xxhash import xxh3_128_digest
 
-    levels = docs.sparkSession.sparkContext.broadcast(_common(docs))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            sums = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            prefixes = [s[np.argsort(levels.value[s & BUCKETS - 1], kind="stable")[: len(s) // 5 + 1]] for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "s0": sums[:, 0], "s1": sums[:, 1], "n": [len(s) for s in sets], "prefix": prefixes})
-
-    return text_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, s0 long, s1 long, n int, prefix array<long>")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more: an intersection of 4/9 of both sizes."""
-    pairs = stash(pairs.select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stash(_sets(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    sets = stash(with_columns_of(rows.select("row_id", "text").join(ids, "row_id"), "set array<long>", lambda texts: [[shingles(t) for t in texts]]))
+    both = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row_id").alias("b"), F.col("set").alias("y")), "b")
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def similar_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the links among ``entries`` (id, n, prefix): nodes without a link may be missing.
+def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, component) of the links among ``entries`` (id, n, f0, prefix): every entry is there.
 
-    Stars first: documents that share a good part of their prefix with a representative of it. Then come all pairs of a
-    prefix shingle that the stars leave apart, where rows of the label most frequent there don't meet each other.
+    Stars first: entries near a representative of a fingerprint's segment, or that share a good part of their prefix
+    with a representative of it. Then come the pairs of fingerprints and all pairs of a prefix shingle that the stars
+    leave apart, where rows of the label most frequent at the shingle don't meet each other.
     """
     stored = entries.select("id", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "key"))
     chosen = stored.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id")).alias("any")).filter("rows > 1").drop("rows")
     shared = stash(stored.join(chosen, "key"))
     rays = shared.select("id", "p", F.explode(F.array_distinct(F.array("low", "any"))).alias("to")).filter("id <> to").groupBy("id", "p", "to").count().filter("4 * count >= p")
-    stars = stash(components(_verified(rays.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), docs)))
+    stars = stash(components(_verified(rays.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(star_pairs(entries)), rows)))
 
-    labelled = stash(shared.select("key", "id", "n", "at").join(stars, F.col("id") == F.col("node"), "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("label")))
+    labels = stash(entries.join(stars, F.col("id") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "id").alias("label")))
+    labelled = stash(shared.select("key", "id", "n", "at").join(labels.drop("f0"), "id"))
     mains = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
     mixed = stash(labelled.join(mains, "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main"))
     x, y = mixed.filter("not is_main").alias("x"), mixed.alias("y")
@@ -109,21 +101,22 @@ def similar_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
     ordered = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
     # both prefixes have one order: beyond the last shared shingle of both, only what follows can be common
     counted = ordered.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
-    possible = counted.filter("9 * (c + least(an - i - 1, bn - j - 1)) >= 4 * (an + bn)")
-    links = _verified(possible, docs)
-    labels = labelled.select("id", "label").distinct()
-    crossing = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    possible = counted.filter("9 * (c + least(an - i - 1, bn - j - 1)) >= 4 * (an + bn)").select("a", "b")
+    links = _verified(possible.unionByName(mih_pairs(labels).select("a", "b")), rows)
+    names = labels.drop("f0")
+    crossing = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(crossing)
-    return labels.join(joined, F.col("label") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "label").alias("component"))
+    return names.join(joined, F.col("label") == F.col("node"), "left").select("id", F.coalesce("component", "label").alias("component"))
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest id reachable over links, of (doc_id, text), whose ids are unique and not null.
+def first_of_groups(rows: DataFrame) -> DataFrame:
+    """row_id of the first row, by doc_id (null last), of each group of linked texts in (row_id, doc_id, text).
 
-    Texts of equal sets are one entry from the start, so a group of copies costs one row.
+    ``row_id`` is unique and not null. Texts of equal sets are one entry from the start, so a group of copies costs one
+    row.
     """
-    marked = stash(_prefixes(docs))
-    classes = stash(marked.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix")))
-    linked = similar_links(classes.select("id", "n", "prefix"), docs)
-    named = stash(classes.join(linked, F.col("id") == F.col("node"), "left").select("s0", "s1", "copies", F.coalesce("component", "id").alias("component_id")))
-    return join_counted(marked.select("doc_id", "s0", "s1"), named, ["s0", "s1"], "copies", marked.count()).select("doc_id", "component_id")
+    marked = stash(_marked(rows))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
+    entries = stash(marked.groupBy("s0", "s1", "n").agg(F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("prefix").alias("prefix")).select(F.col("first.row_id").alias("id"), "first", "n", "f0", "prefix"))
+    linked = similar_links(entries.select("id", "n", "f0", "prefix"), rows)
+    return entries.select("id", "first").join(linked, "id").groupBy("component").agg(F.min("first").alias("first")).select("first.row_id")

@@ -1,34 +1,37 @@
 """SimHash near-duplicates found by multi-index hashing.
 
 A fingerprint has a bit for each majority among the hashes of a text's word shingles. Equal fingerprints are one
-entry from here on, so a group of copies of any size costs one row. Every fingerprint is cut into segments; each
-segment value is an entry of that segment's table, and each fingerprint probes the table with the Hamming ball of
-radius 1 around its segment (only with bits that it lacks: the other side of a pair has them). Matches are verified
-over the complete distance inside the join, and links join into components.
+entry from here on, so a group of copies of any size costs one row. Every fingerprint is cut into two segments of 32
+bits; each segment value is an entry of that segment's table, and each fingerprint probes the table with the Hamming
+ball of radius 1 around its segment (only with bits that it lacks: the other side of a pair has them). Matches are
+verified over the complete distance inside the join, and links join into components.
 
-With 64 bits in two segments, fingerprints within 3 bits differ by at most 1 bit in one of them, so no link is lost.
-An entry has at most ``C(64, 1) + C(64, 2) + C(64, 3)`` linked fingerprints, whatever the number of documents.
+Fingerprints within 3 bits differ by at most 1 bit in one of the segments, so no link is lost. An entry has at most
+``C(64, 1) + C(64, 2) + C(64, 3)`` linked fingerprints, whatever the number of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, table, text_batches
+from weft.llm.common import as_one, stash, table, unpacked, with_columns_of
 from weft.llm.graph import components, join_counted
-from weft.llm.shingles import shingle_components
 
-SEED = 42
+SEED, DISTANCE, SEGMENT = 42, 3, 32
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
-    """``words`` signed 64-bit integers (seeds SEED, SEED + 1, ...); all zero for a text without words.
+def fingerprint(text: str | None, shingle: int) -> int:
+    """A signed 64-bit integer; zero for a text without words.
 
     A-Z are lower-cased, words are runs of other characters than space and U+0009 to U+000D. A shingle counts as
     often as it occurs; a text with fewer words than ``shingle`` is one shingle.
@@ -37,118 +40,96 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
 
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return [0] * words
+        return 0
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     size = min(shingle, len(tokens))
     last = ends[size - 1 :].tolist()
     first = [0, *(ends[: len(tokens) - size] + 1).tolist()]
-    out = []
-    for seed in range(SEED, SEED + words):
-        ones, at = np.zeros(64, np.int64), 0
-        while at < len(first):  # long texts in parts
-            h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[at : at + 65536], last[at : at + 65536], strict=True)], np.uint64)
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-            at += 65536
-        out.append(int(np.packbits(ones * 2 > len(first), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def fingerprints(docs: DataFrame, text: str, key: str, shingle: int, words: int) -> DataFrame:
-    names = [f"f{i}" for i in range(words)]
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = np.array([fingerprint(t, shingle, words) for t in batch["text"]], np.int64).reshape(-1, words)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {n: rows[:, i] for i, n in enumerate(names)})
 
-    return text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+def _segments(each) -> Column:
+    """``each`` applied to both segments of f0: a key holds the segment's number above its value."""
+    cut = ((i, F.shiftrightunsigned("f0", i * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for i in range(64 // SEGMENT))
+    return F.flatten(F.array(*(each(F.lit(i << SEGMENT).cast("long"), v) for i, v in cut)))
 
 
-def _segments(words: int, segment_bits: int, each) -> Column:
-    """``each`` applied to all segments of f0, f1, ...: a key holds the segment's number above its value."""
-    mask = (1 << segment_bits) - 1
-    cut = [(i * (64 // segment_bits) + j, F.shiftrightunsigned(f"f{i}", j * segment_bits).bitwiseAND(F.lit(mask))) for i in range(words) for j in range(64 // segment_bits)]
-    return F.flatten(F.array(*(each(F.lit(s << segment_bits).cast("long"), v) for s, v in cut)))
+def _apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
-def _apart(left: list[Column], right: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right, strict=True)))
+def star_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): entries (id, f0) within DISTANCE of one of four representatives of a table's bucket.
 
-
-def star_links(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
-    """(a, b): fingerprints within ``distance`` of one of four representatives of a table's bucket.
-
-    A bucket gives at most four rows for each of its fingerprints. What these links join needs no further pairs.
+    A bucket gives at most four rows for each of its entries. What these links join needs no further pairs.
     """
-    names = [f"f{i}" for i in range(words)]
-    stored = entries.select("id", *names, F.explode(_segments(words, segment_bits, lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
-    own, order = F.struct("id", *names), F.xxhash64("id")
+    stored = entries.select("id", "f0", F.explode(_segments(lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
+    own, order = F.struct("id", "f0"), F.xxhash64("id")
     chosen = stored.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min(own), F.max(own), F.min_by(own, order), F.max_by(own, order)).alias("reps")).filter("n > 1").drop("n")
-    near = F.filter("reps", lambda r: (r["id"] != F.col("id")) & (_apart([F.col(n) for n in names], [r[n] for n in names]) <= distance))
+    near = F.filter("reps", lambda r: (r["id"] != F.col("id")) & (_apart(F.col("f0"), r["f0"]) <= DISTANCE))
     return stored.join(chosen, "key").select("id", F.explode(F.array_distinct(F.transform(near, lambda r: r["id"]))).alias("b")).select(F.col("id").alias("a"), "b")
 
 
-def mih_links(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
-    """(a, b): labels of fingerprints within ``distance`` bits that differ by at most 1 bit in some segment.
-
-    ``entries`` has distinct fingerprints: id, label, f0, f1, ...; pairs of one label are left out inside the join.
-    """
-    names = [f"f{i}" for i in range(words)]
+def mih_pairs(entries: DataFrame) -> DataFrame:
+    """(a, label, b, to): ids and labels of entries (id, label, f0) within DISTANCE; pairs of one label are left out."""
 
     def ball(number: Column, value: Column) -> Column:
-        near = F.array(*(F.when(value.bitwiseAND(F.lit(1 << b)) == 0, value.bitwiseOR(F.lit(1 << b))) for b in range(segment_bits)))
+        near = F.array(*(F.when(value.bitwiseAND(F.lit(1 << b)) == 0, value.bitwiseOR(F.lit(1 << b))) for b in range(SEGMENT)))
         return F.concat(
             F.array(F.struct(number.bitwiseOR(value).alias("key"), F.lit(True).alias("same"))),
             F.transform(F.array_compact(near), lambda v: F.struct(number.bitwiseOR(v).alias("key"), F.lit(False).alias("same"))),
         )
 
-    stored = entries.select(F.col("id").alias("b"), F.col("label").alias("to"), *(F.col(n).alias(f"g{i}") for i, n in enumerate(names)), F.explode(_segments(words, segment_bits, lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
-    probes = entries.select(F.col("id").alias("a"), "label", *names, F.explode(_segments(words, segment_bits, ball)).alias("probe")).select("a", "label", *names, "probe.key", "probe.same")
-    close = _apart([F.col(n) for n in names], [F.col(f"g{i}") for i in range(words)]) <= distance
-    joined = probes.alias("p").join(stored.alias("s"), (F.col("p.key") == F.col("s.key")) & (F.col("label") != F.col("to")) & close & (~F.col("same") | (F.col("a") < F.col("b"))))
-    return joined.select(F.least("label", "to").alias("a"), F.greatest("label", "to").alias("b")).distinct()
+    stored = entries.select(F.col("id").alias("b"), F.col("label").alias("to"), F.col("f0").alias("g0"), F.explode(_segments(lambda s, v: F.array(s.bitwiseOR(v)))).alias("key"))
+    probes = entries.select(F.col("id").alias("a"), "label", "f0", F.explode(_segments(ball)).alias("probe")).select("a", "label", "f0", "probe.key", "probe.same")
+    met = (F.col("p.key") == F.col("s.key")) & (F.col("label") != F.col("to")) & (_apart(F.col("f0"), F.col("g0")) <= DISTANCE) & (~F.col("same") | (F.col("a") < F.col("b")))
+    return probes.alias("p").join(stored.alias("s"), met).select("a", "label", "b", "to")
 
 
-def linked_components(entries: DataFrame, words: int, distance: int, segment_bits: int) -> DataFrame:
-    """(node, component) of distinct fingerprints (id, f0, f1, ...): stars first, then the pairs that they leave apart.
+def linked_components(entries: DataFrame) -> DataFrame:
+    """(node, component) of distinct fingerprints (id, f0): stars first, then the pairs that they leave apart.
 
     In a large group of near copies nearly all pairs link; the stars join it with a few rows for each member, and the
     join of pairs then only emits links between what is still apart. The components are those of all links.
     """
-    stars = components(star_links(entries, words, distance, segment_bits))
-    labelled = stash(entries.join(stars, F.col("id") == F.col("node"), "left").select(*entries.columns, F.coalesce("component", "id").alias("label")))
-    joined = components(mih_links(labelled, words, distance, segment_bits))
+    stars = components(star_pairs(entries))
+    labelled = stash(entries.join(stars, F.col("id") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "id").alias("label")))
+    joined = components(mih_pairs(labelled).select(F.least("label", "to").alias("a"), F.greatest("label", "to").alias("b")).distinct())
     return labelled.join(joined, F.col("label") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "label").alias("component"))
 
 
-def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, words: int = 1, distance: int = 3, segment_bits: int = 32) -> DataFrame:
-    """doc_id, f0 (f1, ...) and component_id, the smallest id reachable over links, of every row of ``docs``.
+def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """doc_id, f0 and component_id, the smallest id reachable over links, of every row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link like any other. Null ids never name a component unless all
-    its rows have none. Repeated rows share fingerprint and component. An empty table gives an empty result.
+    Fingerprints are linked, not ids: rows without an id and rows that repeat one, with whatever texts, link by their
+    own texts. Null and empty texts have fingerprint zero and link like any other. A component is null only if none
+    of its rows has an id. An empty table gives an empty result.
     """
-    names = [f"f{i}" for i in range(words)]
-    marked = stash(fingerprints(docs, text, key, shingle, words))
-    classes = stash(marked.groupBy(*names).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    linked = linked_components(classes.filter("id is not null").select("id", *names), words, distance, segment_bits)
-    named = stash(classes.join(linked, F.col("id") == F.col("node"), "left").select(*names, "copies", F.coalesce("component", "id").alias("component_id")))
-    return join_counted(marked, named, names, "copies", marked.count()).drop("copies")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = stash(with_columns_of(own, "f0 long", lambda texts: [[fingerprint(t, shingle) for t in texts]]))
+    classes = stash(marked.groupBy("f0").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")))
+    linked = linked_components(classes.select(F.col("f0").alias("id"), "f0"))
+    placed = stash(classes.join(linked, F.col("f0") == F.col("node"), "left").select("f0", "least_id", "copies", F.coalesce("component", "f0").alias("component")))
+    groups = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    named = stash(join_counted(placed.select("f0", "copies", "component"), stash(groups), ["component"], "members", placed.count()).select("f0", "copies", "component_id"))
+    return join_counted(marked, named, ["f0"], "copies", marked.count()).select("doc_id", "f0", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its component of near copies, with their columns unchanged.
+    """One row of each group of near copies in ``docs``, that of the smallest id (null last), with its columns unchanged.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them and no
-    others (``weft.llm.shingles``). Fingerprints can't say that: of 128 bits, a distance that takes in nearly all such
-    pairs is 31, and probes complete for it (balls of radius 3 around eight segments) meet a twelfth of all pairs.
-    Rows that repeat an id are one document: one of them stays. Rows without an id stay as they are.
+    others. Pairs within 3 bits of SimHash come from multi-index hashing; fingerprints can't find the rest (at 0.8 they
+    differ by some 10 of 64 bits, and balls complete for that meet a good part of all pairs), which a join of sorted
+    prefixes adds without loss; either way the complete sets decide (``weft.llm.shingles``). Rows without an id, or
+    that repeat one, are rows like others. Null and empty texts are near copies of each other.
     """
-    own = stash(docs.filter(F.col(key).isNotNull()).dropDuplicates([key]))
-    found = shingle_components(own.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
-    named = own.join(kept, F.col(key).cast("long") == F.col("kept_id"), "left_semi")
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    from weft.llm.shingles import first_of_groups
+
+    rows = stash(docs.select(as_one(docs), F.monotonically_increasing_id().alias("row_id")))
+    kept = first_of_groups(rows.select("row_id", F.col("row")[key].cast("long").alias("doc_id"), F.col("row")[text].alias("text")))
+    return unpacked(rows.join(kept, "row_id", "left_semi"), docs.columns, [])
 
 
 def op5_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
