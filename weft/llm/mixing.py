@@ -13,7 +13,7 @@ gradient and curvature per source.
 Rates become whole copies by systematic rounding along document size: within a source the cumulated rates, in
 order of size, are cut at whole numbers. Every document gets the floor or ceiling of its rate, and the words taken
 differ from the target by about one longest document, since the rounding errors alternate along a monotone size.
-The cumulation is spread: each (source, size class) is cut into sqrt(n) buckets.
+The cumulation is spread: each size class of a source of n documents is cut into sqrt(n) buckets.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from weft.llm.common import computed_once, n_words, root_buckets, small_table, stash, table
+from weft.llm.common import as_one, computed_once, n_words, small_table, stash, table, unpacked
 
 #: Rates are kept as whole multiples of 2**-UNIT, so cumulation is exact and reruns agree.
 UNIT = 20
@@ -41,8 +42,11 @@ def water_fill(sizes: list[int], weights: list[int], share: Fraction, cap: int)
     return out
 
 
-def _solve(spark: SparkSession, hist: DataFrame, sources: list[dict], cap: int, steps: int = 80) -> None:
-    """Set ``tilt`` of each source (None: every rate is the cap) by safeguarded Newton steps on the dual."""
+def _solve(spark: SparkSession, hist: DataFrame, sources: list[dict], cap: int) -> None:
+    """Set ``tilt`` of each source (None: every rate is the cap) by safeguarded Newton steps on the dual.
+
+    Each step either lands nearer or halves the interval, and a multiplier that no longer moves is done.
+    """
     open_ = []
     for s in sources:
         s["tilt"] = 0.0
@@ -52,9 +56,7 @@ def _solve(spark: SparkSession, hist: DataFrame, sources: list[dict], cap: int,
             # at most one word a document: beyond these multipliers all rates are capped, or below target / size
             s["low"], s["high"] = min(0.0, math.log(s["target"] / s["size"])) * s["mean"] - 1, math.log(cap) * s["mean"] + 1
             open_.append(s)
-    for _ in range(steps):
-        if not open_:
-            return
+    while open_:
         state = small_table(spark, [(s["sid"], s["tilt"], s["mean"]) for s in open_], "sid int, tilt double, mean double")
         z = F.col("size") / F.col("mean")
         rate = F.least(F.lit(float(cap)), F.exp(F.col("tilt") * z))
@@ -82,53 +84,50 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
 
     Sources in order of code points, null last, take ``weights`` in turn. Documents of size 0 (or null) hold
     nothing to take: rate and copies are 0. A null key or source is a value like any other; repeated rows are
-    separate documents. An empty table gives an empty result. ``max_sources`` bounds what the driver and
-    broadcasts hold (one entry per source and size class); more sources raise an error. Added columns replace
-    columns of the same name.
+    separate documents, and rows are ordered by all their columns where size and key agree. An empty table gives an
+    empty result. ``max_sources`` bounds what the driver and broadcasts hold, one entry for each source; more sources
+    raise an error. Added columns replace columns of the same name.
     """
     spark = docs.sparkSession
-    added = ["source_size", "target", "rate", "copies", "mix_sid", "mix_class", "mix_q", "mix_start", "mix_n", "mix_bucket", "mix_tilt", "mix_mean"]
-    docs = docs.drop(*(c for c in added if c not in (size, source, key)))
-    hist = stash(docs.groupBy(F.col(source).alias("src"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")).agg(F.count("*").alias("n")))
-    totals = hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n")).limit(max_sources + 1).collect()
+    rows = docs.select(as_one(docs), F.col(source).cast("string").alias("src"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("words"), F.xxhash64(F.col(key), *(F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType))).alias("h"))
+    hist = stash(rows.groupBy("src", F.col("words").alias("size")).agg(F.count("*").alias("n")))
+    totals = hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("docs")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources; name fewer groups")
-    sources = [{"src": r["src"], "size": r["size"], "mean": r["size"] / max(1, r["n"])} for r in sorted(totals, key=lambda r: (r["src"] is None, r["src"] or ""))]
+    sources = [{"src": r["src"], "size": r["size"], "mean": r["size"] / max(1, r["n"]), "docs": r["docs"]} for r in sorted(totals, key=lambda r: (r["src"] is None, r["src"] or ""))]
     for i, (s, target) in enumerate(zip(sources, water_fill([s["size"] for s in sources], [weights[i % len(weights)] for i in range(len(sources))], share, cap), strict=True)):
         s |= {"sid": i, "target": target}
     known = small_table(spark, [(s["src"], s["sid"]) for s in sources], "src string, sid int")
     hist = hist.filter("size > 0").join(F.broadcast(known), hist["src"].eqNullSafe(known["src"])).select("sid", "size", "n")
     _solve(spark, hist, sources, cap)
 
-    solved = small_table(spark, [(s["src"], s["sid"], s["size"], s["target"], s["tilt"], s["mean"]) for s in sources], "mix_src string, mix_sid int, source_size long, target double, mix_tilt double, mix_mean double")
-    words = lambda c: F.coalesce(c.cast("long"), F.lit(0))
-
-    def rated(df: DataFrame, words: F.Column) -> DataFrame:
-        rate = F.when((words <= 0) | (F.col("target") <= 0), 0.0).when(F.col("mix_tilt").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("mix_tilt") * words / F.col("mix_mean"))))
-        return df.withColumns({"mix_class": F.when(words > 0, F.floor(F.log2(words.cast("double")) * CLASSES).cast("int")).otherwise(-1), "rate": rate}).withColumn("mix_q", F.round(F.col("rate") * 2**UNIT).cast("long"))
+    solved = small_table(spark, [(s["src"], s["sid"], s["size"], s["target"], s["tilt"], s["mean"], math.isqrt(s["docs"]) + 1) for s in sources], "known_src string, sid int, source_size long, target double, tilt double, mean double, buckets long")
+    rate = F.when((F.col("words") <= 0) | (F.col("target") <= 0), 0.0).when(F.col("tilt").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("tilt") * F.col("words") / F.col("mean"))))
+    size_class = F.when(F.col("words") > 0, F.floor(F.log2(F.col("words").cast("double")) * CLASSES).cast("int")).otherwise(-1)
+    rated = rows.join(F.broadcast(solved), F.col("src").eqNullSafe(F.col("known_src"))).withColumn("rate", rate)
+    rated = rated.withColumns({"q": F.round(F.col("rate") * 2**UNIT).cast("long"), "class": size_class, "bucket": F.pmod("h", F.col("buckets"))})
+    bucket = ["sid", "class", "bucket"]
+    # about sqrt(documents) rows for each class of a source
+    ahead = Window.partitionBy("sid").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rated.groupBy(*bucket).agg(F.sum("q").alias("bucket_q")).withColumn("start", F.coalesce(F.sum("bucket_q").over(ahead), F.lit(0))).drop("bucket_q")
+    within = Window.partitionBy(*bucket).orderBy("words", F.xxhash64("row." + key), "row." + key, "h").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rated.withColumn("upto", F.sum("q").over(within)).join(starts, bucket)
+    upto = F.col("start") + F.col("upto") + 2 ** (UNIT - 1)
+    copies = F.shiftright(upto, UNIT) - F.shiftright(upto - F.col("q"), UNIT)
+    return unpacked(placed.withColumn("copies", copies.cast("int")), docs.columns, ["source_size", "target", "rate", "copies"])
 
-    # one row for each source and size class: bounded by max_sources * 64 * CLASSES
-    before = Window.partitionBy("mix_sid").orderBy("mix_class").rowsBetween(Window.unboundedPreceding, -1)
-    by_class = rated(hist.join(F.broadcast(solved), F.col("sid") == F.col("mix_sid")), F.col("size")).groupBy("mix_sid", "mix_class").agg(F.sum("n").alias("mix_n"), F.sum(F.col("mix_q") * F.col("n")).alias("q")).withColumn("class_start", F.coalesce(F.sum("q").over(before), F.lit(0))).select("mix_sid", "mix_class", "mix_n", "class_start")
-    by_class = small_table(spark, [tuple(r) for r in by_class.collect()], "mix_sid int, mix_class int, mix_n long, class_start long")
 
-    rows = rated(docs.join(F.broadcast(solved), F.col(source).eqNullSafe(F.col("mix_src"))), words(F.col(size))).join(F.broadcast(by_class), ["mix_sid", "mix_class"], "left")
-    rows = rows.withColumn("mix_bucket", root_buckets(F.coalesce("mix_n", F.lit(1)), F.col(key), F.col(size)))
-    # size 0 has no rate: those rows only need to be somewhere
-    rows = rows.withColumn("mix_bucket", F.when(F.col("mix_class") < 0, F.pmod(F.xxhash64(F.col(key), F.col(source)), F.lit(4096))).otherwise(F.col("mix_bucket")))
-    bucket = ["mix_sid", "mix_class", "mix_bucket"]
-    ahead = Window.partitionBy("mix_sid", "mix_class").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.filter("mix_class >= 0").groupBy(*bucket).agg(F.sum("mix_q").alias("q")).withColumn("mix_start", F.coalesce(F.sum("q").over(ahead), F.lit(0))).select(*bucket, "mix_start")
-    within = Window.partitionBy(*bucket).orderBy(F.col(size), F.xxhash64(F.col(key)), F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("mix_upto", F.sum("mix_q").over(within)).join(starts, bucket, "left")
-    upto = F.coalesce(F.col("class_start"), F.lit(0)) + F.coalesce(F.col("mix_start"), F.lit(0)) + F.col("mix_upto") + 2 ** (UNIT - 1)
-    copies = F.shiftright(upto, UNIT) - F.shiftright(upto - F.col("mix_q"), UNIT)
-    return placed.withColumn("copies", copies.cast("int")).drop(*added[4:], "mix_src", "mix_upto", "class_start")
+def repeat_copies(mixed: DataFrame) -> DataFrame:
+    """One row for each of the ``copies`` of a row, without that column; documents without a copy go."""
+    own = [c for c in mixed.columns if c != "copies"]
+    repeated = mixed.filter("copies > 0").select(as_one(mixed), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    return unpacked(repeated, own, [])
 
 
-def repeat_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy; documents without a copy go."""
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
+def mixed_corpus(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns unchanged; sizes are words."""
+    hidden = docs.select(as_one(docs, "doc"), F.col(source).alias("source"), F.col(key).alias("doc_id"), n_words(F.col(text)).alias("size"))
+    return unpacked(repeat_copies(entropy_mix(hidden)), docs.columns, [], "doc")
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,12 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_table, stash, table
+from weft.llm.common import as_one, small_table, stash, table, unpacked
 
 #: The first round has 2**FIRST_BITS candidates, later ones 2**NEXT_BITS in each open interval; they divide the key.
 KEY_BITS, GROUP_BITS, FIRST_BITS, NEXT_BITS = 63, 27, 13, 10
+#: Bytes of a piece, as far as a shard has no more than MOST_PIECES of them (what the driver searches for).
+PIECE_BYTES, MOST_PIECES = 256 << 20, 256
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
@@ -28,11 +30,11 @@ def sort_key(text: Column, doc_id: Column) -> Column:
     return F.shiftleft(group, GROUP_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(doc_id), 64 - GROUP_BITS))
 
 
-def histogram_splitters(rows: DataFrame, shards: int, pieces: int, tolerance: float) -> tuple[list[int], list[int]]:
+def histogram_splitters(rows: DataFrame, shards: int, pieces: int | None, tolerance: float) -> tuple[list[int], list[int]]:
     """(ascending start keys of all pieces, the shard of each piece).
 
-    ``rows`` has key and size. Piece boundaries at every ``total / (shards * pieces)`` bytes; those that are shard
-    boundaries are refined to ``tolerance`` of a shard's bytes, the others to half a piece. An interval boundary
+    ``rows`` has key and size. Piece boundaries at every ``total / (shards * pieces)`` bytes, where ``pieces`` follows
+    from PIECE_BYTES and the parallelism of the session if it isn't given; those that are shard boundaries are refined to ``tolerance`` of a shard's bytes, the others to half a piece. An interval boundary
     between two groups of equal texts is preferred when it is within the tolerance.
     """
     edges: dict[int, int] = {}  # candidate key -> bytes below it
@@ -54,6 +56,9 @@ def histogram_splitters(rows: DataFrame, shards: int, pieces: int, tolerance: fl
     width = KEY_BITS - FIRST_BITS
     count(width, None)
     total = edges[1 << KEY_BITS]
+    if not pieces:
+        parallel = math.ceil(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) / shards)
+        pieces = max(1, min(MOST_PIECES, max(parallel, math.ceil(total / shards / PIECE_BYTES))))
     n = shards * pieces
     sought = {i: total * i / n for i in range(1, n)}
     slack = {i: total / shards * tolerance if i % pieces == 0 else total / n / 2 for i in sought}
@@ -94,10 +99,11 @@ def histogram_shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
     columns replace columns of the same name. Only built-in DataFrame functions are used.
     """
     spark = docs.sparkSession
-    added = {"size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), "shard_key": sort_key(F.col(text), F.col(key))}
-    keyed = docs.withColumns(added)
-    counted = stash(keyed.select(F.col("shard_key").alias("key"), "size"))
-    pieces = pieces or max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards))
+    added = ["size", "text_crc32", "shard", "slot"]
+    value, name = F.col(f"`{text}`"), F.col(f"`{key}`")
+    size, crc = (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long"), F.crc32(F.coalesce(value, F.lit("")).cast("binary"))
+    keyed = docs.select(as_one(docs), name.alias("id"), size.alias("size"), crc.alias("text_crc32"), sort_key(value, name).alias("key"))
+    counted = stash(keyed.select("key", "size"))
     starts, shard_of = histogram_splitters(counted, shards, pieces, tolerance)
 
     # splitters by the first bits of the key: at most 2**FIRST_BITS rows, each with the splitters inside its interval
@@ -111,20 +117,20 @@ def histogram_shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
         base += len(inner.get(b, []))
     lookup = small_table(spark, lookup, "key_bin long, base_piece int, inner_starts array<bigint>")
 
-    def with_piece(df: DataFrame, name: str) -> DataFrame:
-        own = F.size(F.filter("inner_starts", lambda s: s <= F.col(name)))
-        return df.withColumn("key_bin", F.shiftright(name, cut)).join(F.broadcast(lookup), "key_bin").withColumn("piece", F.col("base_piece") + own).drop("key_bin", "base_piece", "inner_starts")
+    def with_piece(df: DataFrame) -> DataFrame:
+        own = F.size(F.filter("inner_starts", lambda s: s <= F.col("key")))
+        return df.withColumn("key_bin", F.shiftright("key", cut)).join(F.broadcast(lookup), "key_bin").withColumn("piece", F.col("base_piece") + own).drop("key_bin", "base_piece", "inner_starts")
 
-    sizes = {r["piece"]: r["count"] for r in with_piece(counted, "key").groupBy("piece").count().collect()}
+    sizes = {r["piece"]: r["count"] for r in with_piece(counted).groupBy("piece").count().collect()}
     offsets, last, ahead = [], -1, 0
     for piece, shard in enumerate(shard_of):
         ahead = 0 if shard != last else ahead
         offsets.append((piece, shard, ahead))
         ahead, last = ahead + sizes.get(piece, 0), shard
     offsets = small_table(spark, offsets, "piece int, shard int, slots_before long")
-    order = Window.partitionBy("piece").orderBy("shard_key", key, "text_crc32")
-    placed = with_piece(keyed, "shard_key").withColumn("in_piece", F.row_number().over(order) - 1).join(F.broadcast(offsets), "piece")
-    return placed.withColumn("slot", F.col("slots_before") + F.col("in_piece")).drop("in_piece", "slots_before", "piece", "shard_key")
+    order = Window.partitionBy("piece").orderBy("key", "id", "text_crc32")
+    placed = with_piece(keyed).withColumn("in_piece", F.row_number().over(order) - 1).join(F.broadcast(offsets), "piece")
+    return unpacked(placed.withColumn("slot", F.col("slots_before") + F.col("in_piece")), docs.columns, added)
 
 
 def op3_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
