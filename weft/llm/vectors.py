@@ -7,8 +7,9 @@ cells the triangle inequality bounds how near the border both lie, so a vector o
     angle(x, p_j) - angle(x, p_own) <= 2 reach,   angle(x, p_j) <= radius_j + reach,
 
 and whose bisector plane lies within reach of it. A pair is looked for in the cell of the lower number. Cells are cut
-into blocks of owners, and visitors are dealt into chunks, so a task compares a bounded number of vectors with
-matrix products; it emits counts per vector and a star for each local component instead of pairs.
+into blocks of owners, and the visitors of a cell, counted first, are dealt into as many chunks as they fill, so a task
+compares a bounded number of vectors with matrix products; it emits counts per vector and a star for each local
+component instead of pairs. Owners are copied once for each chunk of visitors that their own cell has.
 
 Equal vectors are one entry with a count, so thousands of copies cost one row. Vectors without structure (hundreds of
 random dimensions) are near no border-free cell: any exact method then compares most pairs, and so does this one.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import stash, table
 from weft.llm.graph import components, join_counted
 
-#: Rows of a block of owners and of a chunk of visitors, and most pivots.
+#: Rows of a block of owners and of a chunk of visitors, and pivots at most (a default).
 BLOCK, CHUNK, MOST_PIVOTS = 4096, 16384, 1024
 
 
@@ -86,15 +87,16 @@ def compare(owners: pd.DataFrame, visitors: pd.DataFrame, among_owners: bool, co
     return pd.concat([edges.assign(links=0), pd.DataFrame({"id": ids[linked], "links": links[linked], "peer": ids[linked]})], ignore_index=True)[["id", "links", "peer"]]
 
 
-def range_join(entries: DataFrame, cosine: float = 0.95, vectors_per_pivot: int = 4096) -> DataFrame:
+def range_join(entries: DataFrame, cosine: float = 0.95, vectors_per_pivot: int = 4096, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(id, links, peer) rows: links add up per id, and (id, peer) are edges of the link graph's components.
 
-    ``entries`` has distinct ids, copies and usable embeddings of one length.
+    ``entries`` has distinct ids, h (a hash, which picks the pivots), copies and usable embeddings of one length.
+    ``most_pivots`` bounds what the driver holds; with fewer pivots cells are larger, the links are the same.
     """
     spark = entries.sparkSession
     total = entries.count()
-    n_pivots = min(MOST_PIVOTS, max(1, math.ceil(total / vectors_per_pivot)))
-    pivots = unit([r["embedding"] for r in entries.orderBy(F.xxhash64("id")).limit(n_pivots).collect()] or [[1.0]])
+    n_pivots = min(most_pivots, max(1, math.ceil(total / vectors_per_pivot)))
+    pivots = unit([r["embedding"] for r in entries.orderBy("h").limit(n_pivots).collect()] or [[1.0]])
     reach = math.acos(cosine)
     between = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 1e-30))
 
@@ -105,38 +107,54 @@ def range_join(entries: DataFrame, cosine: float = 0.95, vectors_per_pivot: int
                 cell = near.argmax(axis=1)
                 yield batch.assign(cell=cell.astype(np.int32), angle=np.arccos(np.clip(near.max(axis=1), -1, 1)))
 
-    placed = stash(entries.mapInPandas(place, f"{entries._jdf.schema().toDDL()}, cell int, angle double"))
+    kind = entries.schema["embedding"].dataType.simpleString()
+    placed = stash(entries.select("id", "copies", "embedding").mapInPandas(place, f"id long, copies long, embedding {kind}, cell int, angle double"))
     cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # one row for each pivot
     size = min(BLOCK, max(512, total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blocks = np.array([math.ceil(cells.get(c, (0, 0))[0] / size) for c in range(len(pivots))])
-    first_block = np.cumsum(blocks) - blocks
     radius = np.array([cells.get(c, (0, -10.0))[1] for c in range(len(pivots))])
-    chunks = max(1, math.ceil(total / CHUNK))
+
+    def visits(batch: pd.DataFrame) -> np.ndarray:
+        """Whether each vector visits each cell other than its own."""
+        near = unit(batch["embedding"].tolist()) @ pivots.T
+        angle, cell = np.arccos(np.clip(near, -1, 1)), batch["cell"].to_numpy()
+        row, slack = np.arange(len(batch)), 1e-7
+        plane = (near[row, cell][:, None] - near) / between[cell]
+        close = (angle - angle[row, cell][:, None] <= 2 * reach + slack) & (angle <= radius + reach + slack)
+        return close & (plane <= 2 * math.sin(reach / 2) + slack) & (np.arange(len(pivots)) < cell[:, None])
+
+    def count(batches):
+        n = np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            if len(batch):
+                n += visits(batch).sum(axis=0)
+        yield pd.DataFrame({"cell": np.arange(len(pivots), dtype=np.int32), "n": n})
+
+    visited = {r["cell"]: r["n"] for r in placed.select("embedding", "cell").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # one row for each pivot
+    # members of a cell also visit the blocks of their own cell that come before theirs
+    chunks = np.array([max(1, math.ceil((visited.get(c, 0) + cells.get(c, (0, 0))[0]) / CHUNK)) for c in range(len(pivots))])
+    first_task = np.cumsum(blocks * chunks) - blocks * chunks
 
     def deal(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            near = unit(batch["embedding"].tolist()) @ pivots.T
-            angle = np.arccos(np.clip(near, -1, 1))
-            cell, ids = batch["cell"].to_numpy(), batch["id"].to_numpy().astype(np.uint64)
-            own = angle[np.arange(len(batch)), cell]
-            slack = 1e-7
-            plane = (near[np.arange(len(batch)), cell][:, None] - near) / between[cell]
-            visits = (angle - own[:, None] <= 2 * reach + slack) & (angle <= radius + reach + slack) & (plane <= 2 * math.sin(reach / 2) + slack) & (np.arange(len(pivots)) < cell[:, None])
-            mixed = ids * np.uint64(0x9E3779B97F4A7C15)
-            block = (mixed >> np.uint64(40)).astype(np.int64) % blocks[cell]
-            chunk = (mixed >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64) % chunks
+            goes, cell, ids = visits(batch), batch["cell"].to_numpy(), batch["id"].to_numpy().astype(np.uint64)
+            mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            block, spread = (mixed >> np.uint64(40)).astype(np.int64) % blocks[cell], mixed >> np.uint64(8) & np.uint64(0xFFFFFFFF)
             row, task, owner = [], [], []
-            for c in range(chunks):  # owners meet every chunk of visitors
-                row.append(np.arange(len(batch)))
-                task.append((first_block[cell] + block) * chunks + c)
-                owner.append(np.ones(len(batch), bool))
+            for j in np.unique(cell).tolist():
+                at = np.flatnonzero(cell == j)
+                for c in range(chunks[j]):  # owners meet every chunk of their cell's visitors
+                    row.append(at)
+                    task.append(first_task[j] + block[at] * chunks[j] + c)
+                    owner.append(np.ones(len(at), bool))
             for j in range(len(pivots)):
                 for k in range(blocks[j]):
-                    at = np.flatnonzero(visits[:, j] | (cell == j) & (k < block))
+                    at = np.flatnonzero(goes[:, j] | (cell == j) & (k < block))
                     row.append(at)
-                    task.append((first_block[j] + k) * chunks + chunk[at])
+                    task.append(first_task[j] + k * chunks[j] + spread[at].astype(np.int64) % chunks[j])
                     owner.append(np.zeros(len(at), bool))
             row, task, owner = np.concatenate(row), np.concatenate(task), np.concatenate(owner)
             for i in range(0, len(row), 20_000):
@@ -145,9 +163,10 @@ def range_join(entries: DataFrame, cosine: float = 0.95, vectors_per_pivot: int
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        return compare(rows[rows["owner"]], rows[~rows["owner"]], key[0] % chunks == 0, cosine)
+        cell = np.searchsorted(first_task, key[0], "right") - 1
+        first_chunk = (key[0] - first_task[cell]) % chunks[cell] == 0  # there the owners also meet each other
+        return compare(rows[rows["owner"]], rows[~rows["owner"]], first_chunk, cosine)
 
-    kind = entries.schema["embedding"].dataType.simpleString()
     dealt = placed.mapInPandas(deal, f"task long, owner boolean, id long, copies long, embedding {kind}")
     return dealt.groupBy("task").applyInPandas(meet, "id long, links long, peer long")
 
@@ -156,19 +175,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     """vec_id, n_links (other vectors at ``cosine`` or more), component_id and kept of every row of ``vectors``.
 
     Vectors that are null, empty or zero, hold null or non-finite components, or are of another length than most of
-    the usable ones link with nothing and are their own component. Equal vectors link. Null ids: such a row is
-    counted as a link by others and named by the least id of its component, null if there is none. An empty table
-    gives an empty result.
+    the usable ones link with nothing and are their own component. Equal vectors link. Vectors are linked, not ids:
+    a row without an id, or that repeats one, links by its own vector, and a component is named by the least id in it,
+    null if it has none. An empty table gives an empty result.
     """
     v = F.col(embedding)
-    rows = stash(vectors.select(F.col(key).cast("long").alias("vec_id"), F.when(usable(v), v).alias("embedding")).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64("embedding", F.lit(1))}))
+    rows = stash(vectors.select(F.col(key).cast("long").alias("vec_id"), F.when(usable(v), v).alias("embedding")).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")}))
     lengths = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     fits = F.col("embedding").isNotNull() & (F.size("embedding") == (lengths[0]["n"] if lengths else 0))
-    classes = stash(rows.filter(fits).groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    met = stash(range_join(classes.filter("id is not null").select("id", "copies", "embedding"), cosine, vectors_per_pivot))
+    grouped = rows.filter(fits).groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
+    classes = stash(grouped.withColumn("id", F.monotonically_increasing_id()))
+    met = stash(range_join(classes.select("id", F.col("h1").alias("h"), "copies", "embedding"), cosine, vectors_per_pivot))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(met.select(F.col("id").alias("a"), F.col("peer").alias("b")))
-    known = stash(classes.drop("embedding").join(links, "id", "left").join(named, F.col("id") == F.col("node"), "left").select("h1", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    placed = classes.drop("embedding").join(links, "id", "left").join(named, F.col("id") == F.col("node"), "left")
+    placed = stash(placed.select("h1", "h2", "copies", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    groups = stash(placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")))
+    known = stash(join_counted(placed.select("h1", "h2", "copies", "n_links", "component"), groups, ["component"], "members", placed.count()).select("h1", "h2", "copies", "n_links", "component_id"))
     slim = rows.select("vec_id", "h1", "h2", fits.alias("fits"))
     found = join_counted(slim.filter("fits"), known, ["h1", "h2"], "copies", rows.count()).select("vec_id", "n_links", "component_id")
     alone = slim.filter(~F.coalesce("fits", F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
