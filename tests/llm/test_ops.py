@@ -16,6 +16,7 @@ from weft.llm.encoding import PieceEncoder
 from weft.llm.graph import components, join_counted
 
 P = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD_TEXTS = [None, "", " ", "a", "a a", "one two three four five six seven eight nine ten eleven", "x\ny\n\nx\n", "word " * 30_000, "same text here", "same text here", "É ß ñ     z", "<|endoftext|> it's  'S"]
 
@@ -131,7 +132,7 @@ def test_plan_uses_everything():
 @pytest.mark.parametrize("texts", [corpus(120, 7) + ODD_TEXTS + ["copy me"] * 60, []])
 def test_pack(spark, texts):
     path = P.path("word_bpe_49k.json")
-    library = PieceEncoder(path, True).library
+    library = Tokenizer.from_file(path)
     rows = packing.pack(docs_of(spark, texts).withColumn("offset", F.lit("clash")), path, keep_ids=True).collect()
     whole, place = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -157,10 +158,10 @@ def test_pack(spark, texts):
 @pytest.mark.parametrize("name, by_words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_pieces_equal_whole_texts(name, by_words):
     rng = random.Random(3)
-    parts = [*" \n\t\r\v\f\x01\x1c\x85\xa0 　", "  ", " the", "'s", "'re", ",", ".", "a", "B", "é", "É", "ẖ", "H̱", "Σ", "İ", "ß", "²", "9", "!?", "🙂", "|", "日本", "ͅ"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + [t or "" for t in ODD_TEXTS]
+    parts = [*" \n\t\r\v\f\x01\x1c\x85\xa0 　", "  ", " the", "'s", "'re", ",", ".", "a", "B", "é", "É", "ẖ", "H̱", "Σ", "İ", "ß", "²", "9", "!?", "🙂", "|", "日本", "ͅ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(6000)] + [t or "" for t in ODD_TEXTS]
     e = PieceEncoder(P.path(name), by_words, most=500)
-    want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in e.encode(texts)] == want
     e.chunk = 40
     assert [x.tolist() for x in e.encode(texts)] == want
@@ -186,7 +187,7 @@ def test_token_files(spark, texts):
     manifest = token_files.write_token_files(docs, folder, path, files=3)
     got = {r["doc_id"]: r for r in token_files.read_token_files(manifest, folder).collect()}
     assert len(got) == len(texts)
-    start, library = 0, PieceEncoder(path, False).library
+    start, library = 0, Tokenizer.from_file(path)
     for i in sorted(range(len(texts)), key=lambda i: -1 if i == 3 else i):
         ids = np.array(library.encode(texts[i] or "", add_special_tokens=False).ids + [2], "<u4")
         r = got[None if i == 3 else i]
@@ -379,12 +380,69 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert scores[0] == scores[1] and len(set(scores[0])) > 1
 
 
-def test_toxicity_table_is_exact():
+def test_toxicity_table_is_exact(spark):
     rng = np.random.default_rng(28)
-    keys = np.unique(rng.integers(-(2**63), 2**63, 50_000))
+    keys = np.unique(rng.integers(-(2**63), 2**63, 20_000))
     known, unknown, ratios = keys[::2], keys[1::2], rng.normal(size=len(keys[::2])).astype(np.float32)
-    model = toxicity._table(known, ratios)
+    rows = spark.createDataFrame(list(zip(known.tolist(), ratios.tolist())), "gram long, ratio float")
+    model = toxicity._read_model(toxicity._write_model(rows, 3))
     assert (toxicity._ratios_of(known, model) == ratios).all() and not toxicity._ratios_of(unknown, model).any()
+    empty = toxicity._read_model(toxicity._write_model(rows.limit(0), 3))
+    assert not toxicity._ratios_of(known, empty).any()
+
+
+def plain_ratios(texts, triples):
+    """Shrunk Kneser-Ney ratios of (text, toxic) by plain loops over strings of n-grams."""
+    def grams(text):
+        out, line = set(), f" {text.lower()} "
+        for i in range(1, len(line)):
+            start = line.rfind(" ", 0, i)
+            out.add(line[max(start, i - toxicity.ORDER + 1) : i + 1])
+        return out
+
+    c = [Counter(g for t, k in texts if k == c for g in grams(t)) for c in (0, 1)]
+    every, d = set(c[0]) | set(c[1]), toxicity.DISCOUNT
+    mids = Counter(g[-toxicity.MIDDLE :] for g in every)
+    n1, n0 = sum(c[1].values()), sum(c[0].values())
+
+    def back(mid):
+        above = {m: n for m, n in mids.items() if m[:-1] == mid[:-1]}
+        pair = sum(n for t, n in triples.items() if t[:-1] == mid[-3:][:-1])
+        low = (triples[mid[-3:]] + 0.5) / (pair + 128)
+        return (max(mids[mid] - d, 0) + d * len(above) * low) / sum(above.values())
+
+    out = {}
+    for g in every:
+        p, t = [], [sum(n for h, n in c[k].items() if h[:-1] == g[:-1]) for k in (0, 1)]
+        for k in (0, 1):
+            v = sum(h[:-1] == g[:-1] for h in c[k])
+            low = back(g[-toxicity.MIDDLE :])
+            p.append(max(c[k][g] - d, 0) / t[k] + d * v / t[k] * low if t[k] else low)
+        share = t[1] / sum(t) if all(t) else (n1 + 0.5) / (n0 + n1 + 1)
+        n, r = c[0][g] + c[1][g], np.log(p[1] / p[0])
+        z2 = (c[1][g] - n * share) ** 2 / (n * share * (1 - share))
+        out[g] = r * z2 / (z2 + toxicity.HALF_Z**2) * r**2 / (r**2 + toxicity.HALF_RATIO**2)
+    return out
+
+
+def test_toxicity_ratios_equal_plain_loops(spark):
+    rng = random.Random(31)
+    texts = [(" ".join(rng.choice(["ab", "abc", "bca", "cab", "baca", "vileza", "vilezardly"]) for _ in range(6)), i % 2) for i in range(24)]
+    triples = Counter(line[max(line.rfind(" ", 0, i), i - 2) : i + 1] for t, _ in texts for line in [f" {t} "] for i in range(1, len(line)))
+    want = plain_ratios(texts, triples)
+    code = lambda g: int.from_bytes(g.encode("latin-1"), "big")
+    counted = toxicity._count_grams(spark.createDataFrame([(t, 0, k) for t, k in texts], "text string, fold int, toxic int"))
+    got = {r["gram"]: r["ratio"] for r in toxicity._ratios(counted.drop("fold"), toxicity._count_triples(spark.createDataFrame(texts, "text string, k int"), "text")).collect()}
+    assert set(got) == {code(g) - (1 << 64) * (code(g) >> 63) for g in want}
+    assert all(got[code(g)] == pytest.approx(r, abs=1e-5) for g, r in want.items())
+
+
+def test_toxicity_takes_the_smallest_hashes(spark):
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    _, chosen = toxicity.learning_rows(labels.union(labels), 2)
+    rows = chosen.collect()
+    assert Counter((r["fold"], r["toxic"]) for r in rows) == {(f, k): 2 for f in (0, 2) for k in (0, 1)} and all(r["doc_id"] % 2 == r["toxic"] for r in rows)
+    assert chosen.exceptAll(toxicity.learning_rows(labels, 2)[1]).isEmpty() and toxicity.learning_rows(labels, 10**6)[1].count() == labels.filter(toxicity.fold(F.col("doc_id")) != 1).count()
 
 
 def test_toxicity_without_labels(spark):
@@ -434,3 +492,53 @@ def test_long_reply_chain(spark):
     turns = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
     got = chat.reply_order(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["turn"], r["depth"], r["root_turn"]) for r in got} == {(i, i, 0) for i in range(70)}
+
+
+# ids, names and repeats
+
+
+BIG = 2**60 + 1
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    texts = ["some words of a text that is long enough to be kept here"] * 3
+    docs = spark.createDataFrame([(BIG, texts[0], "en", "s", 0), (None, texts[1] + " too", "en", "s", 0), (BIG + 2, None, "en", "s", None)], DOCS)
+    ids = {BIG, None, BIG + 2}
+    path, folder = P.path("byte_bpe_50k.json"), shared_dir(spark)
+    read = token_files.read_token_files(token_files.write_token_files(docs, folder, path), folder)
+    for out in (simhash.simhash_components(docs), quality.judge(docs), packing.pack(docs, P.path("word_bpe_49k.json")), toxicity.score(docs, None), read, toxicity.keep_civil(docs, None)):
+        assert {r["doc_id"] for r in out.collect()} == ids
+    assert quality.keep_good(docs).collect() == docs.filter("text is not null").collect() and toxicity.keep_civil(docs, None).collect() == docs.collect()
+
+
+def test_clashing_columns_stay(spark):
+    names = ["copies", "copy", "rate", "target", "source_size", "mix_size", "mix_src", "row", "doc", "src", "words", "h", "q", "sid", "class", "bucket", "start", "upto", "nth", "kept_id", "row_id", "component", "label", "id", "f0", "s0", "first", "piece", "key", "slots_before", "in_piece", "key_bin", "held_out", "score", "size"]
+    docs = docs_of(spark, corpus(30, 41) + ODD_TEXTS)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id")))
+    docs = docs.withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y"))
+    own = {r["doc_id"]: r for r in docs.collect()}
+    for out in (mixing.mixed_corpus(docs), simhash.keep_first(docs), quality.keep_good(docs), toxicity.keep_civil(docs, None)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r == own[r["doc_id"]] for r in rows)
+    for out, added in ((sharding.histogram_shard(docs), ["size", "text_crc32", "shard", "slot"]), (mixing.entropy_mix(docs.withColumn("size", F.lit(3))), ["size", "source_size", "target", "rate", "copies"])):
+        rows = out.collect()
+        assert len(rows) == len(own) and set(out.columns) == set(docs.columns) | set(added)
+        assert all(r[c] == own[r["doc_id"]][c] for r in rows for c in docs.columns if c not in added)
+
+
+def test_rows_without_an_id_link(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    near = text.replace("w200", "changed")
+    assert 0 < (plain_fingerprint(text) ^ plain_fingerprint(near)).bit_count() <= 3
+    rows = [(None, text), (5, near), (5, "another text under the same id"), (7, text), (None, "alone without an id")]
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 5), (5, 5), (5, 5), (7, 5)]
+    bare = simhash.simhash_components(spark.createDataFrame([(None, near), (None, text), (3, "x y z")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in bare) == [(0, 0), (0, 0), (3, 3)]
+    v = [[1.0] * 8, [1.0] * 7 + [1.1], [float(i) for i in range(8)]]
+    found = vectors.near_vectors(spark.createDataFrame([(None, v[0]), (1, v[1]), (1, v[2]), (4, v[0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in found) == [(0, 2, 1), (1, 0, 1), (1, 2, 1), (4, 2, 1)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone without an id"), (5, "another text under the same id"), (5, near)]
