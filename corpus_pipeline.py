@@ -7,10 +7,9 @@ written as Parquet and read again as the next one's ``docs``. All but the last r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weft.llm import mixing, packing, quality, simhash, toxicity
-from weft.llm.common import n_words, stash, table
+from weft.llm.common import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.withColumn("mix_size", n_words(F.col("text")))
-    mixed = mixing.entropy_mix(sized, size="mix_size")
-    return mixing.repeat_copies(mixed).select(docs.columns)
+    return mixing.mixed_corpus(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
