@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import stash, text_slices, with_columns_of
@@ -86,8 +86,10 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     leave apart, where rows of the label most frequent at the shingle don't meet each other.
     """
     stored = entries.select("id", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "key"))
-    chosen = stored.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id")).alias("any")).filter("rows > 1").drop("rows")
-    shared = stash(stored.join(chosen, "key"))
+    # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice
+    at_key = Window.partitionBy("key")
+    counted = stored.withColumns({"rows": F.count("*").over(at_key), "low": F.min("id").over(at_key), "any": F.min_by("id", F.xxhash64("id")).over(at_key)})
+    shared = stash(counted.filter("rows > 1").drop("rows"))
     rays = shared.select("id", "p", F.explode(F.array_distinct(F.array("low", "any"))).alias("to")).filter("id <> to").groupBy("id", "p", "to").count().filter("4 * count >= p")
     stars = stash(components(_verified(rays.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(star_pairs(entries)), rows)))
 
