@@ -28,12 +28,17 @@ ERROR_CLASSES = {
     "empty-exit": r"(?i)^\s*(?:Exit code|exit:)\s*\d+\s*$",
     "nonzero-exit": r"(?i)Exit code \d+|exit(?:ed)?(?: with)?(?: code)?:? \d+|returned non-zero",
 }
+# Results that only look failed, tools, and commands and results of known traps.
 SUSPECT = r"(?i)^\s*(?:<workspace_result\b|\d+→|(?:Exit code|exit:)\s*0\b|Script completed\b)|has been (?:updated|created|written) successfully"
 SHELL_TOOL = r"(?i)^(?:bash|shell|exec|exec_command|run_terminal_cmd|run_command|execute|local_shell|terminal|monitor)$"
 LONG_RUNNING_TOOL = r"(?i)^(?:agent|task|subagent|spawn_agent|wait_agent|taskoutput|bashoutput|startmissionrun|skill|webfetch|web_fetch|websearch|web_search|wait|write_stdin)$"
 TEST_RUNNER = r"(?:^|[\s;&|(])(?:pytest|vitest|jest|playwright test|cargo test|go test|(?:npm|pnpm|yarn|bun)(?: run)? test\b|make test|node --test|tox|nox)\b|python3? -m (?:pytest|unittest)|uv run (?:--[\w-]+(?:[= ]\S+)? )*pytest"
 CI_WAIT = r"\bgh (?:run (?:watch|view|list|rerun)|pr checks|workflow run)\b|\bgh api [^\n|;]*(?:check-runs|check-suites|actions/runs|commits/[^\s/]+/status)"
 
+FILE_TOOL = r"(?i)^(?:read|edit|write|multiedit|notebookedit|create|str_replace|str_replace_editor|apply_patch|view|read_file|write_file|edit_file|search_replace)$"
+WRITE_TOOL = r"(?i)^(?:edit|write|multiedit|notebookedit|create|str_replace|str_replace_editor|apply_patch|write_file|edit_file|search_replace)$"
+WRONG_FOLDER = r"(?i)not a git repository|\bcd: .*No such file or directory|can't cd to|(?:package\.json|pyproject\.toml|Cargo\.toml|Makefile|go\.mod|uv\.lock)['\"`]?[^\n]{0,60}(?:No such file|not found|ENOENT|does not exist)|(?:No such file|ENOENT|Could not (?:find|read))[^\n]{0,80}(?:package\.json|pyproject\.toml|Cargo\.toml|go\.mod)|No rule to make target|ERROR: file or directory not found|No (?:`?pyproject\.toml`?|package\.json) found|could not find `?Cargo\.toml`?|Missing script:"
+
 
 def error_class(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))

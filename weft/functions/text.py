@@ -43,6 +43,15 @@ def non_empty_lines(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""))
 
 
+def count_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
+
+
+def first_lines(text: Column, most: int, non_empty: bool = False) -> Column:
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.array_join(F.slice(F.filter(lines, lambda x: F.trim(x) != "") if non_empty else lines, 1, most), "\n")
+
+
 def short_model(model: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(model, "^claude-", ""), r"-\d{8}$", "")
 

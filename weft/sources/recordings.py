@@ -13,21 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weft.functions.records import tool_name
+
 CALLS = "array<struct<id:string,name:string,input:string>>"
 USAGE = "struct<input:long,output:long,cache_read:long,cache_write:long>"
 EVENT = f"path string, seq long, source string, type string, ts timestamp, text string, tool_calls {CALLS}, tool_use_id string, is_error boolean, model string, usage {USAGE}"
 BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>"
-#: Tool names of the different harnesses by their common name (fixed values).
-TOOL_NAMES = {
-    "shell": "Bash", "exec": "Bash", "exec_command": "Bash", "local_shell": "Bash", "run_terminal_cmd": "Bash", "bash": "Bash", "execute": "Bash", "read_file": "Read", "view": "Read", "read": "Read", "write_file": "Write", "create": "Write",
-    "write": "Write", "edit_file": "Edit", "str_replace": "Edit", "apply_patch": "Edit", "search_replace": "Edit", "edit": "Edit", "grep_search": "Grep", "grep": "Grep", "glob": "Glob", "list_dir": "LS", "ls": "LS", "task": "Agent", "spawn_agent": "Agent",
-}
-
-
-def tool_name(raw: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in TOOL_NAMES.items() for x in pair))
-    return F.when(raw.startswith("mcp__"), raw).otherwise(F.coalesce(F.element_at(known, F.lower(raw)), F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, 2, 10_000))))
-
 
 def lines(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, seq, line): splits of a file in order, lines of a split in order; large files are read in parallel.
