@@ -9,6 +9,14 @@ STALL, MODEL_WAIT, TOOL_WAIT_MOST = 300_000, 1_800_000, 21_600_000
 OTHER, USER, ASSISTANT, TOOL_RESULT, MODEL_STEP, TOOL_WAIT = range(6)
 
 
+def record_kind(type_: Column, of_tool: Column) -> Column:
+    """The kind of a record (OTHER to TOOL_WAIT) from its type and the tool whose call it answers, if any."""
+    from weft.functions.errors import is_long_running
+
+    result = F.when(of_tool.isNotNull() & is_long_running(of_tool), TOOL_WAIT).otherwise(TOOL_RESULT)
+    return F.when(type_ == "user", USER).when(type_.isin("assistant", "call"), ASSISTANT).when(type_ == "reasoning", MODEL_STEP).when(type_ == "tool_result", result).otherwise(OTHER)
+
+
 def gaps(events: DataFrame, key: str = "path") -> DataFrame:
     """``events`` (key, seq, ms, kind) with gap (from the latest time seen, null before one), and the kinds before.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import analysis, more, records, relational, sessions, texts  # noqa: F401, I001  they register themselves
+from weft.plans import analysis, chapters, more, records, relational, sessions, texts  # noqa: F401, I001  they register themselves
 from weft.plans import streams  # noqa: F401  after sessions, whose SQL it shares
 from weft.plans.base import QUERIES, SQL
 
