@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import tempfile
@@ -79,17 +80,37 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
             start = end
 
 
-def with_columns_of(docs: DataFrame, fields: str, compute: Callable[[list[str | None]], list], text: str = "text") -> DataFrame:
+_kept: dict = {}
+
+
+def kept_in_worker(key=None, make: Callable[[], object] | None = None):
+    """What ``make`` gives, kept by a Python worker for its next tasks until some task asks for another thing.
+
+    Workers outlive stages. A task that needs nothing kept says so by a call without arguments, and what an earlier
+    stage left (a model, a tokenizer's pieces) is freed.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make() if make else None
+    return _kept[key]
+
+
+def with_columns_of(docs: DataFrame, fields: str, compute: Callable[[list[str | None]], list], text: str = "text", keep=None) -> DataFrame:
     """``docs`` without ``text``, and the columns ``fields`` that ``compute`` gives for a list of texts.
 
     The other columns stay what they are: they pass as Arrow data and never become Python or pandas values, which
-    would turn whole numbers beside a null into floating-point ones.
+    would turn whole numbers beside a null into floating-point ones. ``keep`` is the key of what ``compute`` keeps in
+    the worker.
     """
     kept, added = StructType([f for f in docs.schema.fields if f.name != text]), StructType.fromDDL(fields)
     schema = StructType([*kept.fields, *added.fields])
     names, carried, kinds = schema.names, kept.names, [f.type for f in to_arrow_schema(added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if keep is None:
+            kept_in_worker()
         for part, texts in text_slices(batches, text):
             got = [pa.array(values, kind) for values, kind in zip(compute(texts), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *got], names)
@@ -97,12 +118,14 @@ def with_columns_of(docs: DataFrame, fields: str, compute: Callable[[list[str |
     return docs.mapInArrow(run, schema)
 
 
-def rows_whose(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` for whose texts ``keep`` says so; all columns pass as Arrow data."""
+def rows_whose(docs: DataFrame, good: Callable[[list[str | None]], list[bool]], text: str = "text", keep=None) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``good`` says so; all columns pass as Arrow data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if keep is None:
+            kept_in_worker()
         for part, texts in text_slices(batches, text):
-            yield part.filter(pa.array(keep(texts), pa.bool_()))
+            yield part.filter(pa.array(good(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

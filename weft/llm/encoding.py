@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from weft.llm.common import kept_in_worker
+
 #: White space of Unicode, as the tokenizers' patterns know it (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pattern never joins what these pieces separate: white space before a word keeps its last blank.
@@ -168,11 +170,6 @@ class PieceEncoder:
                 yield parts
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
 def encoder(path: str, by_words: bool) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary."""
-    if (path, by_words) not in _encoders:
-        _encoders[path, by_words] = PieceEncoder(path, by_words)
-    return _encoders[path, by_words]
+    """The encoder of a vocabulary, kept by the worker process."""
+    return kept_in_worker((path, by_words), lambda: PieceEncoder(path, by_words))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, text_slices, with_columns_of
+from weft.llm.common import kept_in_worker, stash, text_slices, with_columns_of
 from weft.llm.graph import components
 from weft.llm.simhash import majority, mih_pairs, star_pairs
 
@@ -43,6 +43,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         for _, texts in text_slices(batches):
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles, texts)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([found[n > 1], n[n > 1]], ["shingle", "n"])

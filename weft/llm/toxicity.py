@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import rows_whose, shared_dir, stash, store_of, table, text_slices, with_columns_of
+from weft.llm.common import kept_in_worker, rows_whose, shared_dir, stash, store_of, table, text_slices, with_columns_of
 
 ORDER, MIDDLE, DISCOUNT, STRETCH = 8, 4, 0.75, 256
 HALF_Z, HALF_RATIO = 4.0, 1.5
@@ -70,6 +70,7 @@ def _count_grams(docs: DataFrame) -> DataFrame:
     """gram, fold, and in how many documents of each class it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         for part, texts in text_slices(batches):
             folds, toxic = (part.column(c).to_numpy() for c in ("fold", "toxic"))
             for f, k in sorted(set(zip(folds.tolist(), toxic.tolist(), strict=True))):
@@ -84,6 +85,7 @@ def _count_triples(docs: DataFrame, text: str) -> DataFrame:
     """triple, n over all documents; a task sends each triple of bytes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         known, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, texts in text_slices(batches):
             found = [np.unique(grams(characters(t), 3).astype(np.int64), return_counts=True) for t in texts if t]
@@ -148,29 +150,26 @@ def _write_model(ratios: DataFrame, files: int) -> str:
     return folder
 
 
-_models: dict[str, Model] = {}
+def _read_model(folder: str) -> Model:
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
 
+    store, place = store_of(folder)
+    paths = sorted(f.path for f in store.get_file_info(FileSelector(place)) if f.base_name.startswith("part-"))
+    files = [pq.ParquetFile(store.open_input_file(p)) for p in paths]
+    n, at = sum(f.metadata.num_rows for f in files), 0
+    mixed, ratios = np.full(n + 1, 2**64 - 1, np.uint64), np.zeros(n + 1, np.float32)
+    for f in files:
+        for batch in f.iter_batches(1 << 17):
+            mixed[at : at + len(batch)] = batch.column("mixed").to_numpy().view(np.uint64) ^ _SIGN
+            ratios[at : at + len(batch)] = batch.column("ratio").to_numpy()
+            at += len(batch)
+    return _table(mixed, ratios)
 
-def _read_model(folder: str) -> Model:
-    """The model of a folder; a worker process keeps the one it used last."""
-    if folder not in _models:
-        import pyarrow.parquet as pq
-
-        _models.clear()
-        store, place = store_of(folder)
-        from pyarrow.fs import FileSelector
-
-        paths = sorted(f.path for f in store.get_file_info(FileSelector(place)) if f.base_name.startswith("part-"))
-        files = [pq.ParquetFile(store.open_input_file(p)) for p in paths]
-        n, at = sum(f.metadata.num_rows for f in files), 0
-        mixed, ratios = np.full(n + 1, 2**64 - 1, np.uint64), np.zeros(n + 1, np.float32)
-        for f in files:
-            for batch in f.iter_batches(1 << 20):
-                mixed[at : at + len(batch)] = batch.column("mixed").to_numpy().view(np.uint64) ^ _SIGN
-                ratios[at : at + len(batch)] = batch.column("ratio").to_numpy()
-                at += len(batch)
-        _models[folder] = _table(mixed, ratios)
-    return _models[folder]
+
+def _model(folder: str) -> Model:
+    """The model of a folder, kept by the Python worker."""
+    return kept_in_worker(folder, lambda: _read_model(folder))
 
 
 def _ratios_of(gram: np.ndarray, model: Model) -> np.ndarray:
@@ -252,17 +251,17 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
 
 def _features(docs: DataFrame, folder: str) -> DataFrame:
     def compute(texts: list[str | None]) -> list:
-        got = [features(t, _read_model(folder)) for t in texts]
+        got = [features(t, _model(folder)) for t in texts]
         return [[g[i] for g in got] for i in (0, 1)]
 
-    return with_columns_of(docs, "whole double, stretch double", compute)
+    return with_columns_of(docs, "whole double, stretch double", compute, keep=folder)
 
 
 def _scores(texts: list[str | None], model) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
     folder, mean, spread, weights = model
-    known = _read_model(folder)
+    known = _model(folder)
     x = (np.array([features(t, known) for t in texts]).reshape(-1, 2) - mean) / spread
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
@@ -274,13 +273,13 @@ def score(docs: DataFrame, model, text: str = "text", key: str = "doc_id") -> Da
     score is 0.5. Repeated rows score alike; an empty table gives an empty result. A null id is not held out.
     """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scored = with_columns_of(own, "score double", lambda texts: [_scores(texts, model)])
+    scored = with_columns_of(own, "score double", lambda texts: [_scores(texts, model)], keep=model and model[0])
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their columns unchanged."""
-    return rows_whose(docs, lambda texts: (_scores(texts, model) < THRESHOLD).tolist(), text)
+    return rows_whose(docs, lambda texts: (_scores(texts, model) < THRESHOLD).tolist(), text, keep=model and model[0])
 
 
 def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
