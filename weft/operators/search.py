@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import jaccard, tokens, trigrams
@@ -20,6 +24,45 @@ def doc_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
 
 
+class Index:
+    """A stored index: postings (key, term, tf) sorted by term, so that a read of some terms skips row groups by their
+    statistics; lengths (key, dl); and the vocabulary (term, df)."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/postings")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/lengths")
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/vocabulary")
+
+
+def build_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Index:
+    """Tokenise ``docs`` once and write the index below ``folder``.
+
+    A document's terms are counted where the document is, as an array, so only (key, term, tf) rows are exchanged, once,
+    by ranges of term; a term that a third of all documents have is spread over ranges of keys.
+    """
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("terms"))
+    words.select(key, F.size("terms").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    # sorted terms: equal ones are neighbours, so a count is the distance between the places where terms change
+    ordered = words.select(key, F.sort_array("terms").alias("terms"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    placed = ordered.filter(F.size("terms") > 0).withColumn("starts", starts)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("starts") - 1), lambda i: F.struct(F.get("terms", F.get("starts", i)).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("terms")) - F.get("starts", i)).cast("long").alias("tf")))
+    placed.select(key, F.inline(pairs)).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
+    index = Index(docs.sparkSession, folder)
+    index.postings.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange(F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    return index
+
+
 def resolve(vocabulary: DataFrame, words: list[str], prefix_last: bool = True, most: int = 3, least: float = 0.4) -> DataFrame:
     """(word, term, weight): a known word stands for itself, an unknown one for similar terms.
 
@@ -42,34 +85,59 @@ def resolve(vocabulary: DataFrame, words: list[str], prefix_last: bool = True, m
     return out.groupBy("word", "term").agg(F.max("weight").alias("weight"))
 
 
-def bm25(post: DataFrame, lengths: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, score) of documents that hold every word of ``asked`` (word, term, weight).
+def plain(words: list[str], spark: SparkSession) -> DataFrame:
+    """(word, term, weight) of words that stand for themselves alone, as the words of a phrase do."""
+    return spark.createDataFrame([(w, w, 1.0) for w in dict.fromkeys(words)], "word string, term string, weight double")
+
 
-    Each term counts once, at its best weight; statistics are those of ``post`` and ``lengths``. ``asked`` is small and
-    filters the postings before anything is shuffled.
+def bm25(post: DataFrame, lengths: DataFrame, asked: DataFrame, n_words: int, key: str = "doc_id", most_terms: int = 10_000) -> DataFrame:
+    """(key, score) of documents that hold every one of the ``n_words`` words of ``asked`` (word, term, weight).
+
+    Each term counts once, at its best weight; statistics are those of ``post`` and ``lengths``. Up to ``most_terms``
+    asked terms become a filter of the scan of ``post``, so a stored index gives only their rows; more (a prefix of a
+    letter) are joined instead.
     """
-    n_words = asked.select("word").distinct().count()
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = asked.groupBy("term").agg(F.max("weight").alias("weight"), F.collect_set("word").alias("words"))
-    hits = post.join(F.broadcast(terms), "term")
+    few = [r["term"] for r in terms.select("term").limit(most_terms + 1).collect()]
+    hits = post.filter(F.col("term").isin(few)).join(F.broadcast(terms), "term") if len(few) <= most_terms else post.join(terms, "term")
+    # one pass over the hits: the number of documents of a term is counted beside them
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("weight")
+    scored = hits.join(F.broadcast(df) if len(few) <= most_terms else df, "term").join(lengths, key).crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))
+    part = bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("weight")
     sums = scored.withColumn("part", part).groupBy(key).agg(F.sum("part").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("found"))
     return sums.filter(F.col("found") == n_words).select(key, "score")
 
 
-def search(docs: DataFrame, query: list[str], limit: int = 20, key: str = "doc_id", text: str = "text", phrase: str | None = None) -> DataFrame:
-    """The best ``limit`` documents; a phrase must also occur literally, in any case."""
-    post, lengths = postings(docs, key, text), doc_lengths(docs, key, text)
-    asked = resolve(post.select("term"), query)
-    found = bm25(post, lengths, asked, key)
+def bm25_idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def query_segments(query: str) -> list[tuple[str, str]]:
+    """("phrase" or "term", text) in order: what stands in quotes, closed or not, and the words between."""
+    found = re.findall(r""""([^"]*)"?|'([^']*)'?|([^ \t]+)""", query.strip())
+    return [("phrase", (a or b).strip()) if a or b else ("term", c) for a, b, c in found if (a or b).strip() or c]
+
+
+def search(docs: DataFrame, query: list[str], limit: int = 20, key: str = "doc_id", text: str = "text", phrase: str | None = None, index: Index | None = None) -> DataFrame:
+    """The best ``limit`` documents; a phrase must also occur literally, in any case.
+
+    With an ``index`` nothing is tokenised. Phrases are looked for in the texts of the best ``max(200, 10 * limit)``
+    documents only.
+    """
+    post, lengths = (index.postings, index.lengths) if index else (postings(docs, key, text), doc_lengths(docs, key, text))
+    asked = resolve(index.vocabulary if index else post.select("term"), query)
+    found = bm25(post, lengths, asked, len(dict.fromkeys(query)), key)
     if phrase:
-        found = found.join(docs.filter(F.lower(F.col(text)).contains(phrase.lower())).select(key), key, "left_semi")
+        found = phrase_verified(found, docs, phrase, limit, key, text)
     return found.orderBy(F.desc("score"), key).limit(limit)
 
 
+def phrase_verified(found: DataFrame, docs: DataFrame, phrase: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``found`` whose text holds ``phrase`` in any case, of the best ``max(200, 10 * limit)``."""
+    best = found.orderBy(F.desc("score"), key).limit(max(200, 10 * limit))
+    return docs.select(key, text).join(F.broadcast(best), key).filter(F.lower(F.col(text)).contains(phrase.lower())).select(key, "score")
+
+
 def upsert(index: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
     """``index`` with the rows of changed keys replaced."""
     return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(changed)
@@ -82,3 +150,101 @@ def prune(index: DataFrame, present: DataFrame, key: str = "doc_id") -> DataFram
 def stale(sessions: DataFrame, index: DataFrame, key: str = "path", version: str = "mtime") -> DataFrame:
     """Sessions whose version isn't in the index."""
     return sessions.join(index.select(key, version), [key, version], "left_anti")
+
+
+def rerank_pool(candidates: DataFrame, tfs: DataFrame, weights: DataFrame, key: str = "doc_id", best: int = 150, all_words: int = 50, project: int = 200) -> DataFrame:
+    """key of the candidates (key, score, in_project) worth reading for words that stand together: the best by score,
+    those whose weakest word is strongest, and those of the project with most of the words.
+
+    ``tfs`` has (key, word, tf), ``weights`` (word, weight) of the words that count.
+    """
+    first = F.broadcast(candidates.orderBy(F.desc("score"), key).limit(best).select(key))
+    rest = candidates.join(first, key, "left_anti")
+    each = rest.crossJoin(F.broadcast(weights)).join(tfs, [key, "word"], "left").withColumn("tf", F.coalesce("tf", F.lit(0.0)))  # a row for each word of the query
+    sums = each.groupBy(key, "score", "in_project").agg(F.min(F.col("weight") * F.col("tf") / (F.col("tf") + K1)).alias("weakest"), F.sum(F.col("weight") * F.log1p("tf")).alias("total"))
+    strong = sums.orderBy(F.desc("weakest"), F.desc("score"), key).limit(all_words).select(key)
+    own = sums.filter("in_project").orderBy(F.desc("total"), F.desc("score"), key).limit(project).select(key)
+    return first.unionByName(strong).unionByName(own).distinct()
+
+
+def near_words(texts: DataFrame, words: list[str], weights: list[float], key: str = "doc_id", text: str = "text", gap: int = 24, last_is_prefix: bool = True, most: int = 8 << 20) -> DataFrame:
+    """(key, near): how well the words stand together in a text, by its runs of hits at most ``gap`` characters apart.
+
+    A run counts if it holds two different words. The score is the largest share of the words' weight in one run
+    times the square root of the number of runs that count. Runs that are the query itself count once; a text that
+    searched for the query keeps half. Hits begin and end where a tokenizer would cut; the last word may go on.
+    """
+    total = sum(weights)
+    verbatim = " ".join(words)
+    needle = "|".join(f"({re.escape(w)}|{re.escape(w[:1].upper() + w[1:])}|{re.escape(w.upper())})" for w in words)
+    edge = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+    searched = re.compile(r"(?:^|[^a-z0-9_-])(?:search|handoff)[\s\\\\\"'`]+$")
+
+    def cut(t: str, i: int) -> bool:
+        a, b = t[i - 1 : i], t[i : i + 1]
+        return not (a.isascii() and a.isalnum() and b.isascii() and b.isalnum()) or bool(edge.match(t, i)) or b.isupper() and not a.isupper()
+
+    pattern = re.compile(f"(?=({needle}))")
+
+    def score(t: str | None) -> float:
+        t = (t or "")[:most]
+        runs: list[list] = []
+        for m in pattern.finditer(t):
+            q = next(i for i in range(len(words)) if m.group(i + 2))
+            a, e = m.start(), m.start() + len(m.group(q + 2))
+            if not cut(t, a) or not (cut(t, e) or last_is_prefix and q == len(words) - 1):
+                continue
+            if not runs or a - runs[-1][1] > gap:
+                runs.append([a, e, []])
+            runs[-1][1] = max(runs[-1][1], e)
+            if q not in runs[-1][2]:
+                runs[-1][2].append(q)
+        counted = copies = ran = 0
+        best = 0.0
+        for a, e, seq in runs:
+            if len(seq) < 2:
+                continue
+            if verbatim in " ".join(re.sub("[^a-z0-9]+", " ", t[a:e].lower()).split()):
+                ran = ran or bool(searched.search(t[max(0, a - 24) : a].lower()))
+                copies += 1
+                if copies > 1:
+                    continue
+            counted += 1
+            best = max(best, sum(weights[q] for q in seq))
+        return best / total * counted**0.5 * (0.5 if ran else 1.0) if total else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([score(t) for t in batch.column(text).to_pylist()], pa.float64())], [key, "near"])
+
+    return texts.select(key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, near double")
+
+
+def reranked(candidates: DataFrame, near: DataFrame, key: str = "doc_id", boost: float = 0.25) -> DataFrame:
+    """``candidates`` (key, score, in_project) in their final order: near words first, raised in the project, then the
+    project, then the score."""
+    known = candidates.join(near, key, "left").withColumn("near", F.coalesce("near", F.lit(0.0)) * (1 + boost * F.col("in_project").cast("int")))
+    return known.orderBy(F.desc("near"), F.desc("in_project"), F.desc("score"), key)
+
+
+def highlighted(text: Column, words: list[str], before: str = "[", after: str = "]") -> Column:
+    """``text`` with every occurrence of the words, in any case, between marks."""
+    return F.regexp_replace(text, "(?i)(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")", f"{before}$1{after}")
+
+
+def field_score(words: list[str], **fields: Column) -> Column:
+    """The sum of each word's best weight over the fields id, tool, source, prompt, project and model; 0 if a word misses all."""
+    exact, prefix, inside = {"id": 100, "tool": 60, "source": 35}, {"id": 70, "tool": 45, "source": 35}, {"id": 40, "tool": 30, "source": 20, "project": 15, "model": 15}
+    each = []
+    for w in words:
+        best = [F.lit(0)]
+        for name, c in fields.items():
+            hit = F.when(c.contains(w), (25 if len(w) >= 3 else 12) if name == "prompt" else inside[name])
+            if name in exact:
+                hit = F.when(c == w, exact[name]).when(c.startswith(w), prefix[name]).when(c.contains(w), inside[name])
+            best.append(F.coalesce(hit, F.lit(0)))
+        each.append(F.greatest(*best))
+    total = each[0]
+    for e in each[1:]:
+        total = total + e
+    return F.when(F.least(*each, F.lit(1_000)) > 0, total).otherwise(0).cast("long")

@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.base import query, read
-from weft.plans.streams import _shared
+from weft.plans.base import query, read, shared_folder
 from weft.sources import discovery, recordings
 
 SOURCES = ["claude", "cursor", "codex", "factory", "grok", "fx", "dsh"]
@@ -69,7 +68,7 @@ def _recorded(spark, d) -> dict[str, str]:
     files = whole.select(F.coalesce(*(F.when(F.col("s") == i, x) for i, x in enumerate(path))).alias("path"), F.concat(head, "body").alias("content"))
     beside = whole.filter("s = 5").select(at_("fx/x", k, "/session.json").alias("path"), at_('{"workspace_root":"/home/me/code/w', k % 4, '/","subagent_child":true}').alias("content")).unionByName(whole.filter("s = 5 and conv_id % 2 = 0").select(at_("fx/x", k, "/subagent/owner.json").alias("path"), at_('{"parent_id":"x', k + 1, '"}').alias("content")))
     older = whole.filter("s = 6").select(at_("dsh/slug/d", k, "/session.v1.jsonl.zstd").alias("path"), F.concat(c('{"type":"session","cwd":"/old"}\n'), "body").alias("content"))
-    folder = _shared(spark)
+    folder = shared_folder(spark)
     write_files(files.unionByName(beside).unionByName(older), folder)
     return {s: f"{folder}/{s}" for s in SOURCES}
 

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from weft.plans.base import SQL, query, read, timed_events
+from weft.plans.base import SQL, query, read, shared_folder, timed_events
 from weft.streaming import live
 
 
-def _shared(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/weft-checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 class _Streamed:
     """A session whose tables are streams."""
 
@@ -34,7 +22,7 @@ class _Streamed:
 
 @query("with a as (" + SQL["worked_time"] + "), n as (select user_id as path, count(*) as n from events group by 1) select path, active_ms, n from a join n using (path)")
 def stream_worked_time(spark, d):
-    out = _shared(spark)
+    out = shared_folder(spark)
     live_rows = live.worked_time(timed_events(_Streamed(spark), d).select("path", "seq", "ms", "kind"))
     run = live_rows.writeStream.outputMode("update").foreachBatch(live.upserting(f"{out}/table", "path", "n")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -43,7 +31,7 @@ def stream_worked_time(spark, d):
 
 @query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all")
 def stream_hourly_counts(spark, d):
-    out = _shared(spark)
+    out = shared_folder(spark)
     counted = live.windowed_counts(read(_Streamed(spark), d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("key", F.concat_ws("|", "hour", "event_type"))
     run = counted.writeStream.outputMode("update").foreachBatch(live.upserting(f"{out}/table", "key", "n")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import redact, text
 from weft.operators import chapters, insights, search
-from weft.plans.base import query, read
+from weft.plans.base import query, read, stored_index
 
 TOKENS = r"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z0-9])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) between 2 and 32)"""
 POSTINGS = f"""t as (select doc_id, {TOKENS} as terms from documents), dl as (select doc_id, len(terms) as dl from t), p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from t) group by all),
@@ -16,29 +16,27 @@ WORDS = ["the", "of", "with"]
 
 @query(f"with {POSTINGS} select term, count(*) as df, cast(sum(tf) as bigint) as total from p group by term")
 def vocabulary(spark, d):
-    return search.postings(read(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return stored_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query(f"with {POSTINGS} select n, round(avgdl, 6) as avgdl from s")
 def corpus_statistics(spark, d):
-    return search.doc_lengths(read(spark, d, "documents")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return stored_index(spark, d).lengths.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 @query(f"""with {POSTINGS}, h as (select p.*, count(*) over (partition by term) as df from p where term in ('the', 'of', 'with')),
   x as (select doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from h join dl using (doc_id), s group by doc_id having count(*) = 3)
   select doc_id, round(score, 6) as score from x order by round(score, 6) desc, doc_id limit 20""")
 def bm25_top20(spark, d):
-    docs = read(spark, d, "documents")
-    post = search.postings(docs)
-    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, WORDS))).alias("word")).select("word", F.col("word").alias("term"), F.lit(1.0).alias("weight"))
-    found = search.bm25(post, search.doc_lengths(docs), asked).withColumn("score", F.round("score", 6))
+    index = stored_index(spark, d)
+    found = search.bm25(index.postings, index.lengths, search.plain(WORDS, spark), len(WORDS)).withColumn("score", F.round("score", 6))
     return found.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query()
 def fuzzy_search(spark, d):
     """A misspelt word, and the beginning of another."""
-    return search.search(read(spark, d, "documents"), ["worthles", "idi"])
+    return search.search(read(spark, d, "documents"), ["worthles", "idi"], index=stored_index(spark, d))
 
 
 @query("select doc_id, length(text) as n_chars from documents where contains(lower(text), 'of the')")
@@ -57,7 +55,7 @@ def search_snippets(spark, d):
   q as (select 'worthles' as word, list_distinct(list_transform(range(1, 11), lambda i: substring('  worthles  ', i, 3))) as qg), j as (select word, term, len(list_intersect(g, qg)) / len(list_distinct(list_concat(g, qg))) as w from g, q)
   select word, term, round(w, 9) as weight from j where w >= 0.4 order by w desc, term limit 3""")
 def similar_terms(spark, d):
-    terms = search.postings(read(spark, d, "documents")).select("term").filter(F.length("term") >= 4)
+    terms = stored_index(spark, d).vocabulary.filter(F.length("term") >= 4)
     return search.resolve(terms, ["worthles"], prefix_last=False).withColumn("weight", F.round("weight", 9))
 
 
@@ -72,7 +70,7 @@ def catalog_ranking(spark, d):
 
 @query("select distinct term from (with " + POSTINGS + " select term from p where doc_id % 2 = 0 intersect select term from p where doc_id % 2 = 1)")
 def shared_terms(spark, d):
-    p = search.postings(read(spark, d, "documents"))
+    p = stored_index(spark, d).postings
     return p.filter("doc_id % 2 = 0").select("term").intersect(p.filter("doc_id % 2 = 1").select("term"))
 
 
