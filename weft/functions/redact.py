@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +56,78 @@ def findings(texts: DataFrame, key: str, text: str, allowed: str = r"(?i)example
 def leaf_paths(text: Column) -> Column:
     """Absolute paths keep their last part only."""
     return F.regexp_replace(text, r"(?<![\w/.])/(?:[\w.@+-]+/)+([\w.@+-]+)", "…/$1")
+
+
+def rule_secrets(text: Column, allowed: str = r"(?i)example|placeholder", rules: list[tuple] = RULES) -> Column:
+    """The distinct secrets that the rules find in a text, longest first."""
+    found = []
+    for _, keyword, pattern, least in rules:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        good = F.filter(hits, lambda s, least=least: (entropy(s) >= least) & ~s.rlike(allowed))
+        found.append(F.when(F.lower(text).contains(keyword), good).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(F.concat(*found)), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), lambda x: x["s"])
+
+
+def without(text: Column, secrets: Column) -> Column:
+    """``text`` with each of the secrets replaced, in their order."""
+    return F.aggregate(secrets, text, lambda t, s: F.replace(t, s, F.lit(MARK)))
+
+
+def fully_redacted(text: Column) -> Column:
+    """Key blocks, then what the rules find, then the shapes."""
+    blocks = F.regexp_replace(text, *SHAPES[0])
+    return redacted(without(blocks, rule_secrets(blocks)))
+
+
+def session_findings(events: DataFrame) -> DataFrame:
+    """(path, seq, field, rule_id, secret, match) of the secrets in all texts of a session's events, in order."""
+    fields = F.array(
+        F.struct(F.lit("text").alias("field"), F.col("text").alias("value")),
+        F.struct(F.lit("calls").alias("field"), F.array_join(F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,name:string,input:string>>")), lambda c: F.coalesce(c["input"], F.lit(""))), "\n").alias("value")),
+    )
+    long = events.select("path", "seq", F.explode(fields).alias("f")).select(F.struct("path", "seq", "f.field").alias("key"), "f.value").filter("value <> ''")
+    return findings(long, "key", "value").select("key.*", "rule_id", "secret", "match")
+
+
+def redacted_session(events: DataFrame, found: DataFrame) -> DataFrame:
+    """``events`` (path, seq, text) without the secrets that were found anywhere in their session, longest first."""
+    secrets = found.groupBy("path").agg(F.transform(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("secret").alias("n"), F.col("secret").alias("s"))))), lambda x: x["s"]).alias("secrets"))
+    clean = F.regexp_replace(without(F.col("text"), F.coalesce("secrets", F.array().cast("array<string>"))), *SHAPES[0])
+    return events.join(secrets, "path", "left").withColumn("text", clean).drop("secrets")
+
+
+def redacted_json(bodies: DataFrame, body: str, lines: bool = False) -> DataFrame:
+    """``bodies`` whose JSON ``body`` keeps its structure: only the strings inside are redacted, names and numbers stay.
+
+    With ``lines`` a body is one document a line. What isn't JSON is redacted as text.
+    """
+    shapes = [(re.compile(p), by.replace("$1", r"\1").replace("$2", r"\2")) for p, by in SHAPES]
+
+    def clean(value):
+        if isinstance(value, str):
+            for pattern, by in shapes:
+                value = pattern.sub(by, value)
+            return value
+        if isinstance(value, list):
+            return [clean(v) for v in value]
+        return {k: clean(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+    def document(text: str) -> str:
+        try:
+            return json.dumps(clean(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return clean(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(body)
+            texts = batch.column(at).to_pylist()
+            done = [None if t is None else "\n".join(map(document, t.split("\n"))) if lines else document(t) for t in texts]
+            yield batch.set_column(at, body, pa.array(done, pa.string()))
+
+    return bodies.mapInArrow(run, bodies.schema)
+
+
+def has_secret_shape(text: Column) -> Column:
+    """Whether a text still holds something shaped like a token: what a snapshot must not."""
+    return reduce(lambda a, b: a | b, (F.coalesce(text, F.lit("")).rlike(p) for p, _ in SHAPES[-2:]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import analysis, chapters, more, records, relational, searching, sessions, texts  # noqa: F401, I001  they register themselves
+from weft.plans import analysis, chapters, exports, more, records, relational, searching, sessions, texts  # noqa: F401, I001  they register themselves
 from weft.plans import recordings, streams  # noqa: F401  after sessions, whose SQL they share
 from weft.plans.base import QUERIES, SQL
 

@@ -82,7 +82,7 @@ def pending_analysis(spark, d):
 @query()
 def redacted_texts(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    out = docs.withColumn("clean", redact.redacted(F.col("text"))).filter(F.col("clean") != F.col("text"))
+    out = docs.withColumn("clean", redact.fully_redacted(F.col("text"))).filter(F.col("clean") != F.col("text"))
     return out.select("doc_id", ((F.length("clean") - F.length(F.replace(F.col("clean"), F.lit(redact.MARK), F.lit("")))) / len(redact.MARK)).cast("long").alias("n_marks"))
 
 
