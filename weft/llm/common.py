@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +51,52 @@ def store_of(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: short lineage that outlives executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    if (open_ := _scratch.get()) is not None:
+        open_.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what was stashed within (the list of folders that it gives).
+
+    Without this a job of many rounds keeps all of them on disk until the session ends. Spark drops shuffle files once
+    the driver has collected the plans they belong to, so that is asked for as well.
+    """
+    own: list[str] = []
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, stashed; whatever ``build`` stashed on the way to it is removed."""
+    outer = _scratch.get()
+    with scratch(spark):
+        df = build()
+        token = _scratch.set(outer)
+        try:
+            return stash(df)
+        finally:
+            _scratch.reset(token)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows that the driver holds, as one literal of the plan."""
     names = [c.split()[0] for c in schema.split(",")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash
+from weft.llm.common import settled, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread to neighbours and then jump to the label of their label, so long chains shorten by halves. Each
     round is written to the shared folder. Only minima per node are shuffled, combined before the exchange.
     """
+    return settled(edges.sparkSession, lambda: _labels(edges))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     both = stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).filter("u <> v").distinct())
     labels = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     while True:

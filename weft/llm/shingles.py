@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept_in_worker, stash, text_slices, with_columns_of
+from weft.llm.common import kept_in_worker, settled, stash, text_slices, with_columns_of
 from weft.llm.graph import components
 from weft.llm.simhash import majority, mih_pairs, star_pairs
 
@@ -72,6 +72,10 @@ def _marked(rows: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more: an intersection of 4/9 of both sizes."""
+    return settled(rows.sparkSession, lambda: _verified_of(pairs, rows))
+
+
+def _verified_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
     sets = stash(with_columns_of(rows.select("row_id", "text").join(ids, "row_id"), "set array<long>", lambda texts: [[shingles(t) for t in texts]]))
@@ -92,7 +96,7 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     counted = stored.withColumns({"rows": F.count("*").over(at_key), "low": F.min("id").over(at_key), "any": F.min_by("id", F.xxhash64("id")).over(at_key)})
     shared = stash(counted.filter("rows > 1").drop("rows"))
     rays = shared.select("id", "p", F.explode(F.array_distinct(F.array("low", "any"))).alias("to")).filter("id <> to").groupBy("id", "p", "to").count().filter("4 * count >= p")
-    stars = stash(components(_verified(rays.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(star_pairs(entries)), rows)))
+    stars = components(_verified(rays.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(star_pairs(entries)), rows))
 
     labels = stash(entries.join(stars, F.col("id") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "id").alias("label")))
     labelled = stash(shared.select("key", "id", "n", "at").join(labels.drop("f0"), "id"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import as_one, stash, table, unpacked, with_columns_of
+from weft.llm.common import as_one, settled, stash, table, unpacked, with_columns_of
 from weft.llm.graph import components, join_counted
 
 SEED, DISTANCE, SEGMENT = 42, 3, 32
@@ -109,7 +109,7 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = stash(with_columns_of(own, "f0 long", lambda texts: [[fingerprint(t, shingle) for t in texts]]))
     classes = stash(marked.groupBy("f0").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")))
-    linked = linked_components(classes.select(F.col("f0").alias("id"), "f0"))
+    linked = settled(docs.sparkSession, lambda: linked_components(classes.select(F.col("f0").alias("id"), "f0")))
     placed = stash(classes.join(linked, F.col("f0") == F.col("node"), "left").select("f0", "least_id", "copies", F.coalesce("component", "f0").alias("component")))
     groups = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
     named = stash(join_counted(placed.select("f0", "copies", "component"), stash(groups), ["component"], "members", placed.count()).select("f0", "copies", "component_id"))
@@ -128,7 +128,8 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     from weft.llm.shingles import first_of_groups
 
     rows = stash(docs.select(as_one(docs), F.monotonically_increasing_id().alias("row_id")))
-    kept = first_of_groups(rows.select("row_id", F.col("row")[key].cast("long").alias("doc_id"), F.col("row")[text].alias("text")))
+    texts = rows.select("row_id", F.col("row")[key].cast("long").alias("doc_id"), F.col("row")[text].alias("text"))
+    kept = settled(docs.sparkSession, lambda: first_of_groups(texts))
     return unpacked(rows.join(kept, "row_id", "left_semi"), docs.columns, [])
 
 

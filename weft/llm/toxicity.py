@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept_in_worker, rows_whose, shared_dir, stash, store_of, table, text_slices, with_columns_of
+from weft.llm.common import kept_in_worker, rows_whose, scratch, shared_dir, stash, store_of, table, text_slices, with_columns_of
 
 ORDER, MIDDLE, DISCOUNT, STRETCH = 8, 4, 0.75, 256
 HALF_Z, HALF_RATIO = 4.0, 1.5
@@ -225,6 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
     Labels other than 0 and 1, null ids and the held-out fold are left out; an id with several labels counts as toxic
     if any of them is.
     """
+    with scratch(docs.sparkSession) as folders:
+        return _train(docs, labels, most_labelled, text, key, folders)
+
+
+def _train(docs: DataFrame, labels: DataFrame, most_labelled: int, text: str, key: str, folders: list[str]):
     spark = docs.sparkSession
     usable, chosen = learning_rows(labels, most_labelled)
     if chosen.select("fold", "toxic").distinct().count() < 4:
@@ -235,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
     triples = stash(_count_triples(docs, text))
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = _write_model(_ratios(counted.filter("fold = 0").drop("fold"), triples), files)
+    folders.append(first)
     marked = _features(labelled.filter("fold = 2").select("text", "toxic"), first).toPandas()  # at most 2 * most_labelled rows of numbers
     if marked["toxic"].nunique() < 2:
         return None

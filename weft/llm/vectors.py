@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, table
+from weft.llm.common import settled, stash, table
 from weft.llm.graph import components, join_counted
 
 #: Rows of a block of owners and of a chunk of visitors, and pivots at most (a default).
@@ -185,7 +185,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     fits = F.col("embedding").isNotNull() & (F.size("embedding") == (lengths[0]["n"] if lengths else 0))
     grouped = rows.filter(fits).groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
     classes = stash(grouped.withColumn("id", F.monotonically_increasing_id()))
-    met = stash(range_join(classes.select("id", F.col("h1").alias("h"), "copies", "embedding"), cosine, vectors_per_pivot))
+    met = settled(vectors.sparkSession, lambda: range_join(classes.select("id", F.col("h1").alias("h"), "copies", "embedding"), cosine, vectors_per_pivot))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(met.select(F.col("id").alias("a"), F.col("peer").alias("b")))
     placed = classes.drop("embedding").join(links, "id", "left").join(named, F.col("id") == F.col("node"), "left")
