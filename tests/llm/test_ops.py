@@ -488,6 +488,61 @@ def test_quotations_build_trees(spark):
     assert chat.reply_order(df.limit(0)).count() == 0
 
 
+def plain_replies(turns):
+    """reply_to of each (conv, turn), by plain loops over all earlier messages."""
+    import re
+
+    def parts(text):
+        own, quoted = [], []
+        for line in (text or "").split("\n"):
+            m = re.match(r"((?:[ \t]{0,3}>)+)", line)
+            if not m:
+                own.append(line)
+                continue
+            level, words = m[1].count(">"), line[m.end() :].lower().split()
+            if quoted and quoted[-1][0] == level:
+                quoted[-1][1].extend(words)
+            else:
+                quoted.append((level, words))
+        return own, [q for q in quoted if q[1]]
+
+    said = {(c, t): parts(x) for c, t, _, x in turns}
+    out = {}
+    for (c, t), (_, quoted) in said.items():
+        votes = Counter()
+        for level, words in quoted:
+            for o in sorted(u for k, u in said if k == c):
+                own = said[c, o][0]
+                whole = " ".join(own).lower().split()
+                n = len(words)
+                if any(whole[i : i + n] == words for i in range(len(whole) - n + 1)) if n >= 5 else any(line.lower().split() == words for line in own):
+                    if o < t:
+                        votes[level, o] += len(" ".join(words))
+                    break
+        out[c, t] = max(((-level, size, o) for (level, o), size in votes.items()), default=(0, 0, None))[2]
+    return out
+
+
+def test_random_quotations_equal_plain_loops(spark):
+    rng = random.Random(51)
+    turns = []
+    for c in range(6):
+        texts = []
+        for t in range(25):
+            lines = [" ".join(rng.choice(["Alpha", "beta", "gamma", "delta", "eps"]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 3))]
+            for _ in range(rng.randint(0, 2) if texts else 0):
+                words = " ".join(x for x in rng.choice(texts).split("\n") if not x.startswith(">")).split() or ["none"]
+                a = rng.randrange(len(words))
+                part = words[a : a + rng.randint(1, 12)]
+                half = rng.randint(1, len(part))
+                mark = "> " * rng.randint(1, 2)
+                lines = [mark + " ".join(part[:half]).upper(), *([mark + "  ".join(part[half:])] if part[half:] else []), *lines]
+            texts.append("\n".join(lines))
+            turns.append((c, t, "user", texts[-1]))
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.reply_order(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == plain_replies(turns) and sum(v is not None for v in got.values()) > 30
+
+
 def test_long_reply_chain(spark):
     turns = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
     got = chat.reply_order(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()

@@ -1,26 +1,41 @@
 """Chat formatting by quotation linking.
 
-Messages quote others with ``>`` at the start of a line, one more for each level. Quoted lines are taken out, normalised
-and hashed, and joined to the messages of the same conversation that wrote them: the first message whose own lines
-have that hash. Only minima per (conversation, hash) are kept of the originals, so a line that everybody writes is one
-row, and only hashes that someone quotes are looked up. A message replies to the original that its quotes of the
-shallowest linked level name most (by characters; ties: the latest). Replies form trees; a message's root is found by
-doubling, and conversations are read root by root, in order of turns, without the quotes.
+Messages quote others with ``>`` at the start of a line, one more for each level. Quoted lines of one level that follow
+each other are a passage; passages are normalised (lower case, single blanks, so wrapping doesn't matter) and hashed, and
+joined to the messages of the same conversation that wrote them, any run of words of theirs: the first ANCHOR words find
+places, and at each place the hash of as many words as the passage has decides. Shorter passages must be whole lines.
+Among messages only the first that wrote a passage counts; joins are on hashes that someone quotes, and what they return
+follows from the places of these, not from how often a passage is quoted. A message replies to the original that its
+quotes of the shallowest linked level name most (by characters; ties: the latest). Replies form trees; a message's root
+is found by doubling, and conversations are read root by root, in order of turns, without the quotes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import stash, table
 
+ANCHOR = 5
 QUOTE = r"^[ \t]{0,3}>"
 MARKS = r"^((?:[ \t]{0,3}>)+)"
 
 
-def normal(line):
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+def words_of(text: Column) -> Column:
+    """The lower-case words of a text, as an array."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def hash_of(words: Column) -> Column:
+    return F.xxhash64(F.array_join(words, " "))
+
+
+def passages(lines: Column) -> Column:
+    """(level, words) of the runs of quoted lines of one level, in order; blank quoted lines go on with a passage."""
+    one = F.transform(F.filter(lines, lambda x: x.rlike(QUOTE)), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), words_of(F.regexp_replace(x, MARKS, "")).alias("words")))
+    grown = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["level"] == x["level"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.element_at(done, -1)["words"], x["words"]).alias("words"))))).otherwise(F.concat(done, F.array(x)))
+    return F.filter(F.aggregate(one, F.slice(one, 1, 0), grown), lambda x: F.size(x["words"]) > 0)
 
 
 def reply_order(turns: DataFrame) -> DataFrame:
@@ -33,15 +48,22 @@ def reply_order(turns: DataFrame) -> DataFrame:
     conversations in reply order: a reply always comes after what it replies to.
     """
     lines = F.split(F.col("text"), r"\r?\n")
-    cut = turns.select("conv_id", "turn", "role", F.array_join(F.filter(lines, lambda x: ~x.rlike(QUOTE)), "\n").alias("text"), F.filter(lines, lambda x: x.rlike(QUOTE)).alias("quotes"))
-    quoted = cut.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("line"))
-    marks = F.regexp_extract("line", MARKS, 1)
-    quoted = quoted.withColumns({"level": F.length(F.regexp_replace(marks, "[^>]", "")), "passage": normal(F.regexp_replace("line", MARKS, ""))}).filter("passage <> ''")
-    quoted = stash(quoted.select("conv_id", "turn", "level", F.xxhash64("passage").alias("h"), F.length("passage").alias("size")).groupBy("conv_id", "turn", "level", "h").agg(F.sum("size").alias("size")))
-    wanted = quoted.select("conv_id", "h").distinct()
-    # a conversation that quotes nothing has nothing to look up
-    written = cut.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line")).select("conv_id", "turn", F.xxhash64(normal(F.col("line"))).alias("h"))
-    origin = written.join(wanted, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
+    cut = turns.select("conv_id", "turn", "role", F.array_join(F.filter(lines, lambda x: ~x.rlike(QUOTE)), "\n").alias("text"), F.size(F.filter(lines, lambda x: x.rlike(QUOTE))).alias("n_quoted"), F.when(F.col("text").contains(">"), passages(lines)).alias("passages"))
+    quoted = cut.filter(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.words")
+    n = F.size("words")
+    anchor = F.when(n >= ANCHOR, hash_of(F.slice("words", 1, ANCHOR))).otherwise(hash_of(F.col("words")))
+    quoted = quoted.select("conv_id", "turn", "level", n.alias("n"), anchor.alias("anchor"), hash_of(F.col("words")).alias("h"), F.length(F.array_join("words", " ")).alias("size"))
+    quoted = stash(quoted.groupBy("conv_id", "turn", "level", "n", "anchor", "h").agg(F.sum("size").alias("size")))
+    wanted = quoted.select("conv_id", "n", "anchor", "h").distinct()
+    # places: every run of ANCHOR words of a message, and its short lines as they are
+    own = cut.select("conv_id", "turn", words_of(F.col("text")).alias("words"), F.filter(F.transform(F.split("text", "\n"), words_of), lambda w: F.size(w).between(1, ANCHOR - 1)).alias("short"))
+    runs = F.transform(F.when(F.size("words") >= ANCHOR, F.sequence(F.lit(1), F.size("words") - ANCHOR + 1)), lambda i: F.struct(i.alias("at"), hash_of(F.slice("words", i, ANCHOR)).alias("anchor")))
+    short = F.transform("short", lambda w: F.struct(F.lit(0).alias("at"), hash_of(w).alias("anchor")))
+    places = own.select("conv_id", "turn", F.explode(F.concat(F.coalesce(runs, F.slice(short, 1, 0)), F.coalesce(short, F.array().cast("array<struct<at:int,anchor:bigint>>")))).alias("x")).select("conv_id", "turn", "x.at", "x.anchor")
+    found = places.join(wanted, ["conv_id", "anchor"]).filter((F.col("at") > 0) == (F.col("n") >= ANCHOR))
+    lines_found = found.filter("at = 0").select("conv_id", "turn", "h")
+    runs_found = found.filter("at > 0").join(own.select("conv_id", "turn", "words"), ["conv_id", "turn"]).filter(hash_of(F.slice("words", F.col("at"), F.col("n"))) == F.col("h")).select("conv_id", "turn", "h")
+    origin = lines_found.unionByName(runs_found).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
     linked = quoted.join(origin, ["conv_id", "h"]).filter("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.sum("size").alias("size"))
     parent = stash(linked.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "size", "origin")).alias("reply_to")))
     # (ancestor, steps) of replies, doubled until every ancestor is a root
@@ -54,7 +76,7 @@ def reply_order(turns: DataFrame) -> DataFrame:
             break
     tree = parent.join(up, ["conv_id", "turn"])
     out = cut.join(tree, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "text", F.coalesce(F.size("quotes"), F.lit(0)).alias("n_quoted"), "reply_to", F.coalesce("ancestor", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).alias("depth"))
+    return out.select("conv_id", "turn", "role", "text", F.greatest("n_quoted", F.lit(0)).alias("n_quoted"), "reply_to", F.coalesce("ancestor", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).alias("depth"))
 
 
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
