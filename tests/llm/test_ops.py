@@ -86,6 +86,31 @@ def test_reputation_blocks_bad_hosts_only(spark):
     assert len(got) == len(rows)
 
 
+def test_hosts_of_a_crawl_are_blocked_by_their_pages(spark):
+    """Hosts as in the tables, many with a page or two; those of one domain serve mostly bad pages."""
+    rng = random.Random(61)
+    rows, outcomes, bad_share = [], [], {}
+    for h in range(400):
+        domain, tld = f"d{h % 60}", ["org", "net", "co.uk"][h % 3]
+        bad_share[f"h{h}.{domain}.{tld}"] = 0.95 if domain == "d7" else 0.03
+    for host, share in bad_share.items():
+        for _ in range(rng.choice([1, 1, 2, 5, 30])):
+            rows.append((len(rows), f"https://{host}/de/{len(rows)}"))
+            if rng.random() < 0.6:
+                outcomes.append((rows[-1][0], int(rng.random() < share)))
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")).collect()
+    blocked = {r["host"] for r in got if r["verdict"] == "block"}
+    seen = Counter(r["host"] for r in got)
+    assert all(r["rule"] is None for r in got) and blocked and all(".d7." in h for h in blocked)
+    assert sum(h in blocked for h in seen if ".d7." in h) >= 0.8 * sum(".d7." in h for h in seen)
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("u@x.y.org:8080",), ("localhost",), ("",)], "h string")
+    got = [tuple(r) for r in hosts.select(urls.suffix_of(F.col("h")), urls.domain_of(F.col("h"))).collect()]
+    assert got == [("co.uk", "b.co.uk"), ("org", "y.org"), ("localhost", "localhost"), ("", "")]
+
+
 # sharding
 
 
@@ -316,6 +341,30 @@ def test_quality_equals_brute_force(spark):
     assert {r["doc_id"] for r in kept} == {i for i, r in got.items() if r["kept"]} and quality.keep_good(docs_of(spark, [])).count() == 0
 
 
+def plain_coverage(text):
+    """(excess of n-gram coverage, line coverage) by loops over word tuples and lines."""
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    chars, excess = sum(map(len, words)), 0.0
+    for n, limit in quality.COVERAGE.items():
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + n)}
+        excess = max(excess, sum(len(words[j]) for j in inside) / max(1, chars) / limit)
+    lines = [x for x in (text or "").split("\n")]
+    again = sum(len(x) for i, x in enumerate(lines) if x in lines[:i] and re.search(r"[^\x20\x09-\x0D]", x))
+    return excess, again / max(1, len(text or ""))
+
+
+def test_coverage_equals_brute_force():
+    rng = random.Random(71)
+    for _ in range(150):
+        words = [rng.choice(["ab", "c", "déf", "ghij", "k"]) for _ in range(rng.randint(0, 60))]
+        at = rng.randrange(len(words) + 1)
+        text = "".join(w + rng.choice([" ", " ", "\n", "\t"]) for w in words + words[at : at + rng.randint(0, 14)])
+        assert quality.measure(text)[1:] == pytest.approx(plain_coverage(text))
+
+
 def test_repeated_lines_and_grams_are_rejected():
     clean = " ".join(f"w{i}" for i in range(400))
     assert quality.measure(clean)[1:] == (0.0, 0.0)

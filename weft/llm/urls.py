@@ -17,7 +17,8 @@ from weft.llm.common import stash, table
 from weft.llm.graph import join_counted
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-#: Suffixes of two labels under which names are registered (fixed values); any other suffix is the last label.
+#: Suffixes of two labels under which names are registered (fixed values), a default: a caller with the whole public
+#: list gives it as ``suffixes``. Any other suffix is the last label.
 TWO_LABELS = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "co.in", "co.za", "com.mx", "com.tr", "co.kr"]
 Z, LIMIT, STRONGEST = 1.645, 0.5, 1e6
 
@@ -31,13 +32,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+def _registrable(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def suffix_of(host: Column, suffixes: list[str] = TWO_LABELS) -> Column:
+    two = F.substring_index(_registrable(host), ".", -2)
+    return F.when(two.isin(suffixes), two).otherwise(F.substring_index(two, ".", -1))
+
+
+def domain_of(host: Column, suffixes: list[str] = TWO_LABELS) -> Column:
+    bare = _registrable(host)
+    return F.when(F.substring_index(bare, ".", -2).isin(suffixes), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) -> tuple[Column, Column]:
@@ -60,12 +67,12 @@ def _strength(groups: DataFrame, mean: Column) -> DataFrame:
     return sums.select(F.coalesce(F.greatest(1 / rho - 1, F.lit(1.0)), F.lit(STRONGEST)).alias("strength"))
 
 
-def host_reputation(pages: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, suffixes: list[str] = TWO_LABELS) -> DataFrame:
     """host, pages, n and bad (labelled, labelled bad), rate, spread and bound for every host of ``pages``.
 
     ``pages`` has host and bad (1, 0 or null for unlabelled). Without any label every rate is 0.5 and no bound passes.
     """
-    hosts = stash(pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = stash(pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))
     # the parent of all suffixes is one row; a parent's table has what its posterior is made of
     parent = hosts.agg(F.lit(0.5).alias("prior"), F.lit(1.0).alias("strength"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
     above: list[str] = []
@@ -86,7 +93,7 @@ def host_reputation(pages: DataFrame) -> DataFrame:
     return groups.select("host", "pages", "n", "bad", "rate", "spread", (F.col("rate") - Z * F.col("spread")).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", rules: list[tuple[str, str]] = RULES, suffixes: list[str] = TWO_LABELS) -> DataFrame:
     """page_id, host, path, rule, verdict and bound of every row of ``pages``.
 
     ``outcomes`` has page_id and bad (0 or 1); a page with several is bad if any is. A null url, or one without
@@ -96,14 +103,15 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: st
     known = outcomes.filter(F.col("bad").isin(0, 1) & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
     own = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     seen = stash(own.join(known, "page_id", "left"))
-    hosts = stash(host_reputation(seen).select("host", "pages", "bound"))
+    hosts = stash(host_reputation(seen, suffixes).select("host", "pages", "bound"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     judged = join_counted(seen, hosts, ["host"], "pages", seen.count()).withColumn("rule", rule).withColumn("by_rule", verdict)
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bound") > LIMIT, "block").otherwise("allow")).alias("verdict"), "bound")
 
 
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled as documents are, by id: low quality or toxic is bad."""
+    """The tables label no pages. Labels stand in for crawl outcomes here: that of an id is the outcome of the page with
+    this id, bad if low in quality or toxic. They say nothing of a host, so hosts hardly differ and none is blocked."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -118,8 +126,8 @@ with known as (
          coalesce(regexp_extract(p.url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, k.bad
   from pages p left join known k using (page_id)
 ), h as (
-  select host, count(*) as pages, count(bad) as n, coalesce(sum(bad), 0) as bad, string_split(host, '.')[-1] as suffix,
-         array_to_string(string_split(host, '.')[-2:], '.') as domain from seen group by host
+  select host, count(*) as pages, count(bad) as n, coalesce(sum(bad), 0) as bad, string_split(bare, '.')[-1] as suffix,
+         array_to_string(string_split(bare, '.')[-2:], '.') as domain from (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as bare from seen) group by host, bare
 ), g0 as (select 0.5 as pp, 1.0 as ps, sum(n) as pn, sum(bad) as pb from h
 ), g1 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(ps + pn) - sum(n) as known, (any_value(pp * ps + pb) - sum(bad)) / (any_value(ps + pn) - sum(n)) as prior from h, g0 group by suffix
 ), k1 as (select coalesce(greatest(1 / r - 1, 1.0), 1e6) as kappa from (select case when sum(prior * (1 - prior) * n) > sum(prior * (1 - prior))
