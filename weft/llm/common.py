@@ -104,7 +104,7 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{re.sub(r'(^|, )(\w+) ', r'\1\2: ', schema)}>>")))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Consecutive slices of Arrow batches whose texts have about ``most`` bytes in all, and the texts of each.
 
     Spark bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so what a worker holds doesn't
@@ -120,54 +120,63 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
             start = end
 
 
-_kept: dict = {}
+#: What a worker keeps from task to task, of the kind of task it did last (the pieces a tokenizer was asked about).
+held: dict = {}
 
 
-def kept_in_worker(key=None, make: Callable[[], object] | None = None):
-    """What ``make`` gives, kept by a Python worker for its next tasks until some task asks for another thing.
+def task_of(run: Callable, holds: bool = False) -> Callable:
+    """``run`` (batches to batches) that gives memory back when its task ends, and begins without what other tasks held.
 
-    Workers outlive stages. A task that needs nothing kept says so by a call without arguments, and what an earlier
-    stage left (a model, a tokenizer's pieces) is freed.
+    Python workers wait for later tasks, and more of them wait than work; what the allocators of one hold on to, an
+    executor lacks.
     """
-    if key not in _kept:
-        _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        _kept[key] = make() if make else None
-    return _kept[key]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        if not holds:
+            held.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library than glibc
+                pass
+
+    return whole
 
 
-def with_columns_of(docs: DataFrame, fields: str, compute: Callable[[list[str | None]], list], text: str = "text", keep=None) -> DataFrame:
+def with_columns_of(docs: DataFrame, fields: str, compute: Callable[..., list], text: str = "text", start: Callable[[], object] | None = None) -> DataFrame:
     """``docs`` without ``text``, and the columns ``fields`` that ``compute`` gives for a list of texts.
 
     The other columns stay what they are: they pass as Arrow data and never become Python or pandas values, which
-    would turn whole numbers beside a null into floating-point ones. ``keep`` is the key of what ``compute`` keeps in
-    the worker.
+    would turn whole numbers beside a null into floating-point ones. What ``start`` gives at the beginning of a task
+    (a model) is handed to ``compute`` behind the texts and freed at its end.
     """
     kept, added = StructType([f for f in docs.schema.fields if f.name != text]), StructType.fromDDL(fields)
     schema = StructType([*kept.fields, *added.fields])
     names, carried, kinds = schema.names, kept.names, [f.type for f in to_arrow_schema(added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if keep is None:
-            kept_in_worker()
+        more = (start(),) if start else ()
         for part, texts in text_slices(batches, text):
-            got = [pa.array(values, kind) for values, kind in zip(compute(texts), kinds, strict=True)]
+            got = [pa.array(values, kind) for values, kind in zip(compute(texts, *more), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *got], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task_of(run), schema)
 
 
-def rows_whose(docs: DataFrame, good: Callable[[list[str | None]], list[bool]], text: str = "text", keep=None) -> DataFrame:
-    """The rows of ``docs`` for whose texts ``good`` says so; all columns pass as Arrow data."""
+def rows_whose(docs: DataFrame, good: Callable[..., list[bool]], text: str = "text", start: Callable[[], object] | None = None) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``good`` says so; all columns pass as Arrow data. ``start``: as above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if keep is None:
-            kept_in_worker()
+        more = (start(),) if start else ()
         for part, texts in text_slices(batches, text):
-            yield part.filter(pa.array(good(texts), pa.bool_()))
+            yield part.filter(pa.array(good(texts, *more), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task_of(run), docs.schema)
 
 
 def as_one(docs: DataFrame, name: str = "row") -> Column:

@@ -15,8 +15,6 @@ from itertools import chain
 
 import numpy as np
 
-from weft.llm.common import kept_in_worker
-
 #: White space of Unicode, as the tokenizers' patterns know it (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pattern never joins what these pieces separate: white space before a word keeps its last blank.
@@ -54,7 +52,7 @@ CUT = re.compile(rf"(?<=[^{SPACE}])(?= [^{SPACE}])")
 
 
 class PieceEncoder:
-    def __init__(self, path: str, by_words: bool, most: int = 600_000, chunk: int = 1 << 20):
+    def __init__(self, path: str, by_words: bool, most: int = 400_000, chunk: int = 1 << 20):
         """by_words: the tokenizer drops white space, so words are independent; else ``BYTE_PIECES`` are.
         most: pieces remembered before all are forgotten. chunk: characters handled at once."""
         from tokenizers import Tokenizer
@@ -171,5 +169,10 @@ class PieceEncoder:
 
 
 def encoder(path: str, by_words: bool) -> PieceEncoder:
-    """The encoder of a vocabulary, kept by the worker process."""
-    return kept_in_worker((path, by_words), lambda: PieceEncoder(path, by_words))
+    """One encoder for each worker process, of the vocabulary asked for last; tasks of other kinds drop it."""
+    from weft.llm.common import held
+
+    if (path, by_words) not in held:
+        held.clear()
+        held[path, by_words] = PieceEncoder(path, by_words)
+    return held[path, by_words]

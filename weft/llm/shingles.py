@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept_in_worker, settled, stash, text_slices, with_columns_of
+from weft.llm.common import settled, stash, task_of, text_slices, with_columns_of
 from weft.llm.graph import components
 from weft.llm.simhash import majority, mih_pairs, star_pairs
 
@@ -43,12 +43,11 @@ def _common(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_in_worker()
         for _, texts in text_slices(batches):
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles, texts)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([found[n > 1], n[n > 1]], ["shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(task_of(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     tops = counted.groupBy(F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.max("n").alias("n")).toArrow()  # at most BUCKETS rows
     levels = np.zeros(BUCKETS, np.uint8)
     levels[tops["bucket"].to_numpy()] = 4 * np.log2(tops["n"].to_numpy())

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import shared_dir, small_table, stash, store_of, table, text_slices
+from weft.llm.common import shared_dir, small_table, stash, store_of, table, task_of, text_slices
 
 MAGIC, BLOCK, FIT, NO_ID = b"WPFOR001", 1024, 95, -(2**63)
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -199,7 +199,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
     rows = own.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
-    return stash(rows.mapInArrow(run, "part int, file string, n_docs long, n_tokens long"))
+    return stash(rows.mapInArrow(task_of(run, holds=True), "part int, file string, n_docs long, n_tokens long"))
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -228,7 +228,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, READ)
 
     listed = small_table(spark, rows, "part int, file string, start long")
-    return listed.repartitionByRange(max(1, len(rows)), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartitionByRange(max(1, len(rows)), "part").mapInArrow(task_of(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

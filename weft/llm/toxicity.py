@@ -19,8 +19,8 @@ Labelled rows outside the held-out fold teach both: counts of checksum remainder
 calibrated on remainder 2; the models that score count both. For each class and remainder at most ``most_labelled``
 rows are taken, those of the smallest hash of the id. The counts of three characters cover all documents.
 
-A model is a table of n-grams in the shared folder, ordered by a one-to-one mix of their bits; every Python worker
-reads it once. It has all n-grams of the learning texts, so its size follows from ``most_labelled``.
+A model is a table of n-grams in the shared folder, ordered by a one-to-one mix of their bits; every task that
+scores reads it. It has all n-grams of the learning texts, so its size follows from ``most_labelled``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept_in_worker, rows_whose, scratch, shared_dir, stash, store_of, table, text_slices, with_columns_of
+from weft.llm.common import rows_whose, scratch, shared_dir, stash, store_of, table, task_of, text_slices, with_columns_of
 
 ORDER, MIDDLE, DISCOUNT, STRETCH = 8, 4, 0.75, 256
 HALF_Z, HALF_RATIO = 4.0, 1.5
@@ -70,7 +70,6 @@ def _count_grams(docs: DataFrame) -> DataFrame:
     """gram, fold, and in how many documents of each class it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_in_worker()
         for part, texts in text_slices(batches):
             folds, toxic = (part.column(c).to_numpy() for c in ("fold", "toxic"))
             for f, k in sorted(set(zip(folds.tolist(), toxic.tolist(), strict=True))):
@@ -78,14 +77,13 @@ def _count_grams(docs: DataFrame) -> DataFrame:
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([gram.view(np.int64), np.full(len(gram), f, np.int32), n * (k == 0), n * (k == 1)], ["gram", "fold", "c0", "c1"])
 
-    return docs.mapInArrow(run, "gram long, fold int, c0 long, c1 long").groupBy("gram", "fold").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return docs.mapInArrow(task_of(run), "gram long, fold int, c0 long, c1 long").groupBy("gram", "fold").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def _count_triples(docs: DataFrame, text: str) -> DataFrame:
     """triple, n over all documents; a task sends each triple of bytes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_in_worker()
         known, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, texts in text_slices(batches):
             found = [np.unique(grams(characters(t), 3).astype(np.int64), return_counts=True) for t in texts if t]
@@ -95,7 +93,7 @@ def _count_triples(docs: DataFrame, text: str) -> DataFrame:
                 total = np.bincount(place, weights=n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([known, total], ["triple", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(task_of(run), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
 def _ratios(counted: DataFrame, triples: DataFrame) -> DataFrame:
@@ -146,7 +144,7 @@ def _write_model(ratios: DataFrame, files: int) -> str:
             yield pa.RecordBatch.from_arrays([mixed, batch.column("ratio")], ["mixed", "ratio"])
 
     folder = shared_dir(ratios.sparkSession)
-    ratios.mapInArrow(run, "mixed long, ratio float").repartitionByRange(files, "mixed").sortWithinPartitions("mixed").write.parquet(folder)
+    ratios.mapInArrow(task_of(run), "mixed long, ratio float").repartitionByRange(files, "mixed").sortWithinPartitions("mixed").write.parquet(folder)
     return folder
 
 
@@ -167,11 +165,6 @@ def _read_model(folder: str) -> Model:
     return _table(mixed, ratios)
 
 
-def _model(folder: str) -> Model:
-    """The model of a folder, kept by the Python worker."""
-    return kept_in_worker(folder, lambda: _read_model(folder))
-
-
 def _ratios_of(gram: np.ndarray, model: Model) -> np.ndarray:
     """The ratio of each n-gram, 0 of those that the model hasn't."""
     mixed, ratios, starts = model
@@ -256,18 +249,17 @@ def _train(docs: DataFrame, labels: DataFrame, most_labelled: int, text: str, ke
 
 
 def _features(docs: DataFrame, folder: str) -> DataFrame:
-    def compute(texts: list[str | None]) -> list:
-        got = [features(t, _model(folder)) for t in texts]
+    def compute(texts: list[str | None], model: Model) -> list:
+        got = [features(t, model) for t in texts]
         return [[g[i] for g in got] for i in (0, 1)]
 
-    return with_columns_of(docs, "whole double, stretch double", compute, keep=folder)
+    return with_columns_of(docs, "whole double, stretch double", compute, start=lambda: _read_model(folder))
 
 
-def _scores(texts: list[str | None], model) -> np.ndarray:
+def _scores(texts: list[str | None], model, known: Model | None) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
-    folder, mean, spread, weights = model
-    known = _model(folder)
+    _, mean, spread, weights = model
     x = (np.array([features(t, known) for t in texts]).reshape(-1, 2) - mean) / spread
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
@@ -279,13 +271,13 @@ def score(docs: DataFrame, model, text: str = "text", key: str = "doc_id") -> Da
     score is 0.5. Repeated rows score alike; an empty table gives an empty result. A null id is not held out.
     """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scored = with_columns_of(own, "score double", lambda texts: [_scores(texts, model)], keep=model and model[0])
+    scored = with_columns_of(own, "score double", lambda texts, known: [_scores(texts, model, known)], start=lambda: model and _read_model(model[0]))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their columns unchanged."""
-    return rows_whose(docs, lambda texts: (_scores(texts, model) < THRESHOLD).tolist(), text, keep=model and model[0])
+    return rows_whose(docs, lambda texts, known: (_scores(texts, model, known) < THRESHOLD).tolist(), text, start=lambda: model and _read_model(model[0]))
 
 
 def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
