@@ -131,7 +131,7 @@ def test_recordings(spark, tmp_path):
     assert got[1]["tool_calls"][0]["name"] == "Bash" and got[1]["usage"]["output"] == 7 and got[2]["is_error"]
     with pytest.raises(ValueError):
         recordings.read_recordings(spark, str(tmp_path), "other")
-    lines = [{"timestamp": "2025-01-01T00:00:00Z", "type": "response_item", "payload": {"type": "function_call", "name": "shell", "call_id": "c", "arguments": "{}"}}, {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "c", "output": "Exit code: 2"}}]
+    lines = [{"timestamp": "2025-01-01T00:00:00Z", "type": "response_item", "payload": {"type": "function_call", "name": "shell", "call_id": "c", "arguments": "{}"}}, {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "c", "output": "Process exited with code 2\nboom"}}]
     (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)))
     got = recordings.read_recordings(spark, str(tmp_path / "c.jsonl"), "codex").orderBy("seq").collect()
     assert [(r["type"], r["is_error"]) for r in got] == [("assistant", None), ("tool_result", True)]

@@ -1,12 +1,19 @@
 """Every registered query of the operators against its SQL in DuckDB."""
 
+import json
+import math
 import numbers
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from weft.functions import redact
+from weft.functions.text import TOKEN_SPLIT
 from weft.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +45,194 @@ def test_query_equals_sql(spark, db, name):
     assert canonical(registry.queries()[name](spark, SF).toPandas()) == canonical(db.sql(registry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+# the queries without SQL, by plain loops over the rows of the tables
+
+
+def rows(db, sql):
+    return db.sql(sql).fetchall()
+
+
+def entropy(text):
+    n = Counter(text)
+    return -sum(v / len(text) * math.log2(v / len(text)) for v in n.values())
+
+
+def found_secrets(text):
+    """(rule, secret) by the rules of the package, in Python's own regular expressions."""
+    for name, keyword, pattern, least in redact.RULES:
+        if keyword in text.lower():
+            for s in dict.fromkeys(m[1] for m in re.finditer(pattern, text)):
+                if entropy(s) >= least and not re.search("(?i)example|placeholder", s):
+                    yield name, s
+
+
+def clean(text):
+    out = re.sub(redact.SHAPES[0][0], redact.MARK, text)
+    for s in sorted({s for _, s in found_secrets(out)}, key=lambda s: (len(s), s), reverse=True):
+        out = out.replace(s, redact.MARK)
+    for pattern, by in redact.SHAPES:
+        out = re.sub(pattern, by.replace("$1", r"\1").replace("$2", r"\2"), out)
+    return out
+
+
+def test_every_query_without_sql_is_tested_here():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"chapter_retry_groups", "fuzzy_search", "json_export", "redacted_texts", "reranked_search", "secret_findings", "workflow_chains"}
+
+
+PLANTED = ["token: " + "0123456789abcdef" * 2, "SECRET_KEY=abcdefghijk secret: Zx9Qw8Er7Ty6Ui5Op4", "plain words", "Bearer abcdefghijklmnopqrst", "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----", "gh ghp_" + "Ab1Cd2Ef3G" * 4, "secret: exampleexampleexample1", None, ""]
+
+
+def test_secrets_and_redaction(spark, db):
+    texts = [r[0] for r in rows(db, "select text from documents")] + PLANTED
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["rule_id"], r["secret"]) for r in redact.findings(df, "doc_id", "text").collect()}
+    assert got == {(i, n, s) for i, t in enumerate(texts) if t for n, s in found_secrets(t)} and len(got) >= 3
+    done = {r["doc_id"]: r["clean"] for r in df.select("doc_id", redact.fully_redacted(F.col("text")).alias("clean")).collect()}
+    assert all(done[i] == (None if t is None else clean(t)) for i, t in enumerate(texts))
+    assert sum(redact.MARK in (done[i] or "") for i in range(len(texts) - len(PLANTED), len(texts))) == 5
+    assert {(r["doc_id"], r["rule_id"], r["secret"]) for r in registry.queries()["secret_findings"](spark, SF).collect()} == {(i, n, s) for i, t in rows(db, "select doc_id, text from documents where text is not null") for n, s in found_secrets(t)}
+    assert {r["doc_id"]: r["n_marks"] for r in registry.queries()["redacted_texts"](spark, SF).collect()} == {i: clean(t).count(redact.MARK) for i, t in rows(db, "select doc_id, text from documents where text is not null") if clean(t) != t}
+
+
+def test_json_export(spark, db):
+    want = {}
+    for conv, role, text in rows(db, "select conv_id, role, text from conversations order by conv_id, turn"):
+        messages = want.setdefault(conv, [])
+        if messages and messages[-1]["role"] == role:
+            messages[-1]["content"] += "\n\n" + (text or "")
+        else:
+            messages.append({"role": role, "content": text or ""})
+    assert {r["conv_id"]: json.loads(r["messages"]) for r in registry.queries()["json_export"](spark, SF).collect()} == want
+
+
+def plain_tokens(text):
+    return [t.lower() for t in re.split(TOKEN_SPLIT, text or "") if 2 <= len(t) <= 32]
+
+
+def grams(word):
+    p = f"  {word}  "
+    return {p[i : i + 3] for i in range(len(p) - 2)}
+
+
+def plain_search(db, words):
+    docs = {i: Counter(plain_tokens(t)) for i, t in rows(db, "select doc_id, text from documents")}
+    df = Counter(t for c in docs.values() for t in c)
+    n, avgdl = len(docs), sum(sum(c.values()) for c in docs.values()) / len(docs)
+    weight, sets = {}, []
+    for k, w in enumerate(words):
+        terms = {w: 1.0} if w in df else {}
+        if not terms:
+            near = sorted(((len(grams(w) & grams(t)) / len(grams(w) | grams(t)), t) for t in df), key=lambda x: (-x[0], x[1]))[:3]
+            terms = {t: s for s, t in near if s >= 0.4}
+        if k == len(words) - 1:
+            terms |= {t: 1.0 for t in df if t.startswith(w)}
+        sets.append(terms)
+        for t, s in terms.items():
+            weight[t] = max(weight.get(t, 0), s)
+    score = {}
+    for i, c in docs.items():
+        if all(any(t in c for t in terms) for terms in sets):
+            dl = sum(c.values())
+            score[i] = sum(math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * dl / avgdl)) * s for t, s in weight.items() if t in c)
+    return score
+
+
+def test_fuzzy_search(spark, db):
+    want = sorted(plain_search(db, ["worthles", "idi"]).items(), key=lambda x: (-x[1], x[0]))[:20]
+    got = [(r["doc_id"], r["score"]) for r in registry.queries()["fuzzy_search"](spark, SF).collect()]
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_reranked_search(spark, db):
+    """With no more candidates than the pool takes, the order is that of all texts' near words."""
+    texts = dict(rows(db, "select doc_id, text from documents"))
+    source = dict(rows(db, "select doc_id, source from documents"))
+    words = ["the", "worthless", "with"]
+    df = Counter(t for x in texts.values() for t in set(plain_tokens(x)) if t in words)
+    weight = {w: math.log((len(texts) - df[w] + 0.5) / (df[w] + 0.5) + 1) for w in words}
+
+    def near(text):
+        hits = sorted((m.start(), m.end(), w) for w in words for v in {w, w.title(), w.upper()} for m in re.finditer(v, text))
+        edge = lambda i: i <= 0 or i >= len(text) or not (text[i - 1].isascii() and text[i - 1].isalnum() and text[i].isascii() and text[i].isalnum()) or text[i].isupper() and not text[i - 1].isupper()
+        hits = [(a, e, w) for a, e, w in hits if edge(a) and (edge(e) or w == "with")]
+        runs = []
+        for a, e, w in hits:
+            if not runs or a - runs[-1][1] > 24:
+                runs.append([a, e, []])
+            runs[-1][1] = max(runs[-1][1], e)
+            runs[-1][2].append(w)
+        runs = [set(r[2]) for r in runs if len(set(r[2])) > 1]
+        return max((sum(weight[w] for w in r) for r in runs), default=0) / sum(weight.values()) * math.sqrt(len(runs))
+
+    got = registry.queries()["reranked_search"](spark, SF).collect()
+    assert len(got) == 20 and all(r["near"] == pytest.approx(near(texts[r["doc_id"]]) * (1.25 if source[r["doc_id"]] == "src1" else 1)) for r in got)
+    order = [(-r["near"], not r["in_project"], -r["score"]) for r in got]
+    assert order == sorted(order)
+    scores = [near(t or "") * (1.25 if source[i] == "src1" else 1) for i, t in texts.items() if set(plain_tokens(t)) & set(words)]
+    assert sorted(scores, reverse=True)[0] == pytest.approx(got[0]["near"])
+
+
+def test_near_words():
+    from weft.operators import search
+
+    assert search.query_segments("""a "b c" 'd e' f"g """) == [("term", "a"), ("phrase", "b c"), ("phrase", "d e"), ("term", 'f"g')]
+    assert search.query_segments('  "  " x "open end') == [("term", "x"), ("phrase", "open end")]
+
+
+def test_near_words_scores(spark):
+    from weft.operators import search
+
+    texts = ["red fox and the red fox", "red " + "x" * 40 + " fox", "searching: search red fox", "Red\nFOX jumps; fox redder redFox", "reds fox", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["near"] for r in search.near_words(df, ["red", "fox"], [1.0, 3.0]).collect()}
+    assert got[0] == 1.0 and got[1] == 0.0 and got[2] == 0.5 and got[3] == 1.0 and got[4] == 0.0 and got[5] == 0.0
+
+
+def test_workflow_chains(spark, db):
+    links = {}
+    for path, idx, prev, fixes, continues in registry.queries()["chapter_links"](spark, SF).select("path", "idx", "prev_idx", "fixes", "continues").collect():
+        links.setdefault(path, {}).setdefault(idx, []).append((prev, fixes, continues))
+    want = {}
+    for path, by in links.items():
+        chain = {}
+        for idx in sorted(by):
+            wanted = [p for p, _, c in sorted(by[idx]) if c] + [p for p, f, _ in sorted(by[idx]) if f]
+            if wanted:
+                known = [chain[p] for p in wanted if p in chain]
+                chain[idx] = known[0] if known else chain.setdefault(wanted[0], len(set(chain.values())))
+        want |= {(path, i): c for i, c in chain.items()}
+    assert {(r["path"], r["idx"]): r["chain"] for r in registry.queries()["workflow_chains"](spark, SF).collect()} == want
+
+
+def test_chapter_retry_groups(spark, db):
+    chapters = {}
+    for user, type_, props in rows(db, "select user_id, event_type, props from events order by user_id, event_id"):
+        c = chapters.setdefault(user, [[]])
+        if type_ == "click":
+            c.append([])
+        c[-1].append((type_, props[:7], type_ == "error"))
+    want = set()
+    for user, parts in chapters.items():
+        for n, calls in enumerate(parts):
+            i = 0
+            while i < len(calls):
+                group = [i]
+                if calls[i][2]:
+                    for j in range(i + 1, min(i + 8, len(calls))):
+                        if calls[j][:2] == calls[i][:2]:
+                            group.append(j)
+                            if not calls[j][2]:
+                                break
+                if len(group) > 1:
+                    want.add((user, n, i + 1, len(group), not calls[group[-1]][2]))
+                    i = group[-1]
+                i += 1
+    assert {tuple(r) for r in registry.queries()["chapter_retry_groups"](spark, SF).select("path", "chapter", "start_ord", "attempts", "resolved").collect()} == want and want
+
+
+def test_retry_groups_resolve(spark):
+    from weft.operators import chapters
+
+    calls = [("Bash", "make", True), ("Read", "/a/b.py", False), ("Bash", "make", True), ("Bash", "make", False), ("Bash", "make", True), ("Grep", "foo bar baz", True), ("Grep", "foo  bar other", False)]
+    df = spark.createDataFrame([(1, 0, i, *c) for i, c in enumerate(calls)], "path long, chapter long, ord long, tool string, target string, failed boolean")
+    assert sorted(tuple(r)[2:] for r in chapters.retry_groups(df).collect()) == [(0, 3, True), (5, 2, True)]

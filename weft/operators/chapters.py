@@ -31,11 +31,14 @@ def outcome(errors: Column, retries: Column, fixes: Column, corrected: Column, t
 def shared_files(chapters: DataFrame, key: str = "path", back: int = 10) -> DataFrame:
     """(key, idx, prev_idx, shared, continues, fixes) of chapters (idx, files, errors, outcome) and earlier ones nearby.
 
-    A file is joined to its chapters at most ``back`` apart, so a pair costs a row only where something is shared.
+    Chapters meet by file and tenth (``back``) of chapters, their own and the one before, so however often a session
+    touches a file, a chapter only meets those nearby.
     """
-    touched = chapters.select(key, "idx", F.size("files").alias("n_files"), F.explode(F.array_distinct("files")).alias("file"))
-    earlier = chapters.select(key, F.col("idx").alias("prev_idx"), ((F.col("outcome") == "struggling") | (F.col("errors") >= 2)).alias("bad"), F.explode(F.array_distinct("files")).alias("file"))
-    pairs = touched.join(earlier, [key, "file"]).filter((F.col("prev_idx") < F.col("idx")) & (F.col("prev_idx") >= F.col("idx") - back))
+    tenth = F.expr(f"idx div {back}")
+    touched = chapters.select(key, "idx", tenth.alias("tenth"), F.size("files").alias("n_files"), F.explode(F.array_distinct("files")).alias("file"))
+    earlier = chapters.select(key, F.col("idx").alias("prev_idx"), F.explode(F.array(tenth, tenth + 1)).alias("tenth"), ((F.col("outcome") == "struggling") | (F.col("errors") >= 2)).alias("bad"), "files")
+    earlier = earlier.select(key, "prev_idx", "tenth", "bad", F.explode(F.array_distinct("files")).alias("file"))
+    pairs = touched.join(earlier, [key, "file", "tenth"]).filter((F.col("prev_idx") < F.col("idx")) & (F.col("prev_idx") >= F.col("idx") - back))
     links = pairs.groupBy(key, "idx", "prev_idx").agg(F.count("*").alias("shared"), F.first("n_files").alias("n_files"), F.first("bad").alias("fixes"))
     near = (F.col("shared") >= F.least(F.lit(2), F.col("n_files"))) | (F.col("shared") >= F.col("n_files") * 0.5)
     return links.withColumn("continues", near & ~F.col("fixes")).drop("n_files")
@@ -60,18 +63,34 @@ def chains(links: DataFrame, key: str = "path") -> DataFrame:
     return links.groupBy(key).applyInPandas(fold, f"{key} {kind}, idx long, chain long")
 
 
-def retry_groups(calls: DataFrame, key: str = "path", ahead: int = 8) -> DataFrame:
-    """(key, start_ord, attempts, resolved): greedy groups of a failed call and what tries the same again."""
+def similar_target(tool: Column, target: Column) -> Column:
+    """What two calls of a tool must share to try the same: the path, a shell command as it is, else the first two words."""
+    words = F.split(F.trim(target), r"\s+")
+    return F.when(tool.isin("Edit", "Write", "Read"), F.substring_index(target, "/", -2)).when(tool == "Bash", target).otherwise(F.concat_ws(" ", F.slice(words, 1, 2)))
+
+
+def retry_groups(calls: DataFrame, keys: tuple[str, ...] = ("path", "chapter"), ahead: int = 8) -> DataFrame:
+    """(keys, start_ord, attempts, resolved): greedy groups of a failed call and what tries the same again.
+
+    A group ends with its first success, and the scan goes on behind it, so which call begins a group depends on all
+    groups before: calls are folded. Only chapters with a failure and a similar call soon after it are, and one prompt's
+    calls are few. ``calls`` has ord without gaps in a chapter, tool, target and failed.
+    """
+    known = calls.withColumn("same", F.concat_ws("\n", "tool", similar_target(F.col("tool"), F.col("target"))))
+    following = F.lead("ord").over(Window.partitionBy(*keys, "same").orderBy("ord"))
+    tried = known.withColumn("tried", F.col("failed") & (following - F.col("ord") < ahead))
+    # a greedy group only skips calls that some failure nearby could reach, so chapters without one have no group
+    wanted = tried.filter("tried").select(*keys).distinct()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
-        tool, target, failed, order = (rows[c].tolist() for c in ("tool", "target", "failed", "ord"))
+        same, failed, order = (rows[c].tolist() for c in ("same", "failed", "ord"))
         out, i = [], 0
         while i < len(rows):
             attempts, resolved, end = 1, False, i
             if failed[i]:
                 for j in range(i + 1, min(i + ahead, len(rows))):
-                    if tool[j] == tool[i] and target[j] == target[i]:
+                    if same[j] == same[i]:
                         attempts, end = attempts + 1, j
                         if not failed[j]:
                             resolved = True
@@ -79,10 +98,11 @@ def retry_groups(calls: DataFrame, key: str = "path", ahead: int = 8) -> DataFra
             if attempts > 1:
                 out.append((order[i], attempts, resolved))
             i = end + 1
-        return pd.DataFrame(out, columns=["start_ord", "attempts", "resolved"]).assign(**{key: rows[key].iloc[0]})[[key, "start_ord", "attempts", "resolved"]]
+        found = pd.DataFrame(out, columns=["start_ord", "attempts", "resolved"])
+        return found.assign(**{k: rows[k].iloc[0] for k in keys})[[*keys, "start_ord", "attempts", "resolved"]]
 
-    kind = calls.schema[key].dataType.simpleString()
-    return calls.groupBy(key).applyInPandas(fold, f"{key} {kind}, start_ord long, attempts long, resolved boolean")
+    kinds = ", ".join(f"{k} {calls.schema[k].dataType.simpleString()}" for k in keys)
+    return known.select(*keys, "ord", "same", "failed").join(wanted, list(keys), "left_semi").groupBy(*keys).applyInPandas(fold, f"{kinds}, start_ord long, attempts long, resolved boolean")
 
 
 def merged_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.functions import redact, text
+from weft.functions import money, records, redact, text
 from weft.operators import calls as call_ops
 from weft.operators import events, filters, insights, search
 from weft.plans.base import EVENTS_SQL, query, read, timed_events
@@ -110,12 +110,53 @@ def masked_names(spark, d):
     return read(spark, d, "customer").filter(F.length("c_name") > 8).select("c_custkey", redact.masked(F.col("c_name")).alias("masked"))
 
 
-@query("select c_custkey, least(c_custkey * 900000, 7200000) as wait_ms, case when c_custkey >= 3600 then printf('%dh %dm', c_custkey // 3600, c_custkey % 3600 // 60) when c_custkey >= 60 then printf('%dm %ds', c_custkey // 60, c_custkey % 60) else printf('%ds', c_custkey) end as shown from customer")
+@query("select c_custkey, cast(least(900000 * pow(2.0, least(c_custkey, 9)), 7200000) as bigint) as wait_ms, case when c_custkey >= 3600 then printf('%dh %dm', c_custkey // 3600, c_custkey % 3600 // 60) when c_custkey >= 60 then printf('%dm %ds', c_custkey // 60, c_custkey % 60) else printf('%ds', c_custkey) end as shown from customer")
 def durations(spark, d):
     k = F.col("c_custkey")
-    return read(spark, d, "customer").select("c_custkey", F.least(k * 900_000, F.lit(7_200_000)).alias("wait_ms"), text.duration_text(k * 1000).alias("shown"))
+    return read(spark, d, "customer").select("c_custkey", records.backoff_ms(k + 1).alias("wait_ms"), text.duration_text(k * 1000).alias("shown"))
 
 
 @query("with t as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) select doc_id, count(*) filter (trim(line) <> '') as lines from t group by doc_id")
 def non_empty_lines(spark, d):
     return read(spark, d, "documents").select("doc_id", text.non_empty_lines(F.col("text")).cast("long").alias("lines"))
+
+
+@query("select cast(c_custkey as varchar) as path from customer where c_mktsegment = 'BUILDING' and contains('claude-' || c_nationkey, 'claude-1') and c_custkey % 5 = 0 and c_custkey % 2 = 0")
+def filtered_models(spark, d):
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select(k.cast("string").alias("path"), F.col("c_mktsegment").alias("source"), F.concat(F.lit("claude-"), "c_nationkey").alias("model"), F.when(k % 5 == 0, "A").otherwise("B").alias("grade_letter"), F.when(k % 2 == 0, True).alias("live"))
+    return rows.filter(filters.source("building") & filters.model("Claude-1") & filters.grade("a") & filters.live()).select("path")
+
+
+@query("select p_partkey, round(list_aggregate(list_filter(string_split(p_name, ''), lambda x: x <> ''), 'entropy'), 9) as bits, case when p_size % 2 = 0 then p_brand else p_brand || '-20250' end as model from part")
+def entropies_and_models(spark, d):
+    name = F.concat(F.lit("claude-"), "p_brand", F.when(F.col("p_size") % 2 == 0, "-20250101").otherwise("-20250"))
+    return read(spark, d, "part").select("p_partkey", F.round(text.entropy(F.col("p_name")), 9).alias("bits"), text.short_model(name).alias("model"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 and o_totalprice > 272000 then 2.0 else 1.0 end as weight_in, case when o_orderkey % 2 = 0 and o_totalprice > 272000 then 1.5 else 1.0 end as weight_out from orders")
+def long_context_weights(spark, d):
+    model = F.when(F.col("o_orderkey") % 2 == 0, "gpt-5.6-sol-x").otherwise("gpt-5.6")
+    tokens = F.col("o_totalprice")
+    return read(spark, d, "orders").select("o_orderkey", money.long_context_weight(model, tokens, False).cast("double").alias("weight_in"), money.long_context_weight(model, tokens, True).cast("double").alias("weight_out"))
+
+
+@query("select c_custkey, c_name from customer order by c_acctbal desc, c_custkey limit 20 offset 40")
+def third_page(spark, d):
+    rows = read(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return insights.page(rows, 3, 20).select("c_custkey", "c_name")
+
+
+@query("select event_id from (select event_id, case when event_id % 5 <> 0 then ts end as t from events) order by t nulls last, event_id limit 50")
+def merged_order(spark, d):
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("at"))
+    return events.merge_order(e, "at", "event_id").limit(50).select("event_id")
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'clean' when o_orderkey % 3 = 1 then case when o_custkey % 4 >= 3 then 'struggling' when o_custkey % 4 = 2 then 'struggling' when o_custkey % 4 = 1 then 'corrected' else 'clean' end else 'corrected' end as outcome from orders")
+def chapter_outcomes(spark, d):
+    from weft.operators import chapters
+
+    k, e = F.col("o_orderkey") % 3, (F.col("o_custkey") % 4).cast("int")
+    zero = F.lit(0)
+    return read(spark, d, "orders").select("o_orderkey", F.when(k == 0, chapters.outcome(zero, zero, zero, F.lit(False), zero)).when(k == 1, chapters.outcome(e, zero, zero, F.lit(False), F.lit(2))).otherwise(chapters.outcome(F.lit(2), F.lit(1), F.lit(1), F.lit(False), F.lit(2))).alias("outcome"))

@@ -54,9 +54,9 @@ def rel_asof_join(spark, d):
     return e.withColumn("c", F.max(click).over(w)).filter("event_type = 'purchase' and c is not null").select("event_id", F.col("c.event_id").alias("clicked"))
 
 
-@query("""select coalesce(p_brand, 'all') as brand, coalesce(cast(p_size as varchar), 'all') as size, count(*) as n, round(sum(p_retailprice), 2) as price from part where p_size <= 5 group by cube (p_brand, p_size)""")
+@query("""select coalesce(p_brand, 'all') as brand, coalesce(cast(p_size as varchar), 'all') as size, count(*) as n, round(sum(p_retailprice), 2) as price from part group by cube (p_brand, p_size)""")
 def rel_cube(spark, d):
-    p = read(spark, d, "part").filter("p_size <= 5")
+    p = read(spark, d, "part")
     return p.cube("p_brand", "p_size").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("price")).select(F.coalesce("p_brand", F.lit("all")).alias("brand"), F.coalesce(F.col("p_size").cast("string"), F.lit("all")).alias("size"), "n", "price")
 
 
@@ -80,9 +80,9 @@ def rel_except_all(spark, d):
     return li.filter("l_returnflag = 'R'").select("l_suppkey").exceptAll(li.filter("l_returnflag = 'A'").select("l_suppkey"))
 
 
-@query("select s_suppkey as k from supplier union select c_custkey from customer where c_custkey < 200")
+@query("select s_suppkey as k from supplier union select c_custkey from customer")
 def rel_union_distinct(spark, d):
-    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).union(read(spark, d, "customer").filter("c_custkey < 200").select("c_custkey")).distinct()
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).union(read(spark, d, "customer").select("c_custkey")).distinct()
 
 
 @query("""select p_brand, count(*) filter (p_size <= 10) as small, count(*) filter (p_size > 10 and p_size <= 30) as medium, count(*) filter (p_size > 30) as large from part group by p_brand""")

@@ -80,7 +80,10 @@ def self_corrections(spark, d):
 
 @query()
 def chapter_retry_groups(spark, d):
-    return chapters.retry_groups(calls(spark, d).withColumn("target", F.lit("all")))
+    """Clicks begin chapters; what an event is about is the tens of its property."""
+    c = chapters.with_chapters(calls(spark, d), "path", "ord", F.col("tool") == "click")
+    c = c.withColumns({"target": F.substring("target", 1, 7), "ord": F.row_number().over(Window.partitionBy("path", "chapter").orderBy("seq"))})
+    return chapters.retry_groups(c)
 
 
 @query("""with t as (select event_type as facet_type, cast(extract(hour from ts) as bigint) as hour from events), p as (select 'event_type' as facet, facet_type as value from t union all select 'hour', cast(hour as varchar) from t),
@@ -140,17 +143,22 @@ def model_costs(spark, d):
     return read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("model")).agg(F.count("*").alias("n"), F.round(F.sum(money.cost(F.col("c_mktsegment"), k * 10, k * 2, k * 4, k, F.lit(0))), 6).alias("cost"))
 
 
-ERROR_TEXTS = [
-    "Error: ENOENT: no such file or directory, open '/tmp/x'", "Exit code 124", "fatal: not a git repository", "Traceback (most recent call last)\nValueError: 3", "bash: foo: command not found",
-    "3 failed, 2 passed", "HTTP 503 from upstream", "Exit code 2", "all good", "ModuleNotFoundError: No module named 'x'", "Permission denied", "SyntaxError: invalid syntax",
-]
+@query("with t as (select 'documents' as kind, coalesce(text, '') as text from documents union all select 'conversations', coalesce(text, '') from conversations union all select 'pages', coalesce(html, '') from pages) select kind, " + errors.first_class_sql("text") + " as class, count(*) as n from t group by all")
+def error_classes(spark, d):
+    """All texts of the tables, as if each were what a failed call returned."""
+    texts = [read(spark, d, t).select(F.lit(t).alias("kind"), F.col(c).alias("text")) for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2]).groupBy("kind", errors.error_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("with t as (select event_id, [" + ", ".join("'" + t.replace("'", "''") + "'" for t in ERROR_TEXTS) + "][event_id % 12 + 1] as text from events where event_type = 'error') select " + errors.first_class_sql("text") + " as class, count(*) as n from t group by 1")
-def error_classes(spark, d):
-    texts = F.array(*(F.lit(t) for t in ERROR_TEXTS))
-    e = read(spark, d, "events").filter("event_type = 'error'").withColumn("text", F.get(texts, F.col("event_id") % 12))
-    return e.groupBy(errors.error_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
+MADE = ["Error: ENOENT: no such file, open '/", "Exit code 124 ", "fatal: not a git repository ", "ValueError: 3\nTraceback (most recent call last)", "bash: foo: command not found ", "3 failed, 2 passed in ", "HTTP 503 from ", "Exit code 2 after ", "all good with ", "No module named ", "Permission denied ", "SyntaxError: invalid ", "0→ a line of ", "Exit code 0 "]
+MADE_CLASSES = ["missing-path", "timeout", "git", "python-exception", "command-not-found", "test-failure", "network-auth", "nonzero-exit", "other", "missing-dep", "permission", "syntax", "other", "nonzero-exit"]
+
+
+@query("with k as (select o_orderkey, o_orderkey % 14 as k from orders) select o_orderkey, [" + ", ".join(f"'{c}'" for c in MADE_CLASSES) + "][k + 1] as class, k >= 12 as suspect from k")
+def made_errors(spark, d):
+    """Results made from orders: what each is, is known."""
+    made = F.concat(F.get(F.array(*map(F.lit, MADE)), (F.col("o_orderkey") % 14).cast("int")), "o_orderpriority")
+    return read(spark, d, "orders").select("o_orderkey", errors.error_class(made).alias("class"), errors.is_suspect(made).alias("suspect"))
 
 
 @query("select c_custkey, substring(sha256(c_name), 1, 8) as hash from customer")
