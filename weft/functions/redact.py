@@ -60,11 +60,12 @@ def leaf_paths(text: Column) -> Column:
 
 def rule_secrets(text: Column, allowed: str = r"(?i)example|placeholder", rules: list[tuple] = RULES) -> Column:
     """The distinct secrets that the rules find in a text, longest first."""
-    found = []
-    for _, keyword, pattern, least in rules:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        good = F.filter(hits, lambda s, least=least: (entropy(s) >= least) & ~s.rlike(allowed))
-        found.append(F.when(F.lower(text).contains(keyword), good).otherwise(F.array().cast("array<string>")))
+
+    def hits(keyword: str, pattern: str, least: float) -> Column:
+        good = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: (entropy(s) >= least) & ~s.rlike(allowed))
+        return F.when(F.lower(text).contains(keyword), good).otherwise(F.array().cast("array<string>"))
+
+    found = [hits(keyword, pattern, least) for _, keyword, pattern, least in rules]
     return F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(F.concat(*found)), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), lambda x: x["s"])
 
 

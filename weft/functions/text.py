@@ -77,6 +77,20 @@ def snippet(text: Column, term: str, before: int = 40, after: int = 60) -> Colum
     return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), one_line(cut), F.when(end < F.length(text), "…").otherwise("")))
 
 
+def snippets(text: Column, words: list[str], most: int = 3) -> Column:
+    """The snippets of the first ``most`` words that occur, in the order of the words, equal ones once."""
+    return F.slice(F.array_distinct(F.array_compact(F.array(*(snippet(text, w) for w in words)))), 1, most)
+
+
+def percent(share: Column) -> Column:
+    return F.when(share.isNotNull() & ~F.isnan(share), F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))).otherwise("")
+
+
+def dollars(cost: Column) -> Column:
+    """Two decimals from a dollar on, four below, none for nothing."""
+    return F.when(F.coalesce(cost, F.lit(0.0)) <= 0, "").when(cost >= 1, F.format_string("$%.2f", cost)).otherwise(F.format_string("$%.4f", cost))
+
+
 def compact_number(n: Column) -> Column:
     """1234 as 1.2K, 2500000 as 2.5M."""
     return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(F.format_string("%.1f", n / 1e3), F.lit("K"))).otherwise(n.cast("string"))

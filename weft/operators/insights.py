@@ -66,3 +66,20 @@ def page(rows: DataFrame, number: int, size: int = 50) -> DataFrame:
     size = max(1, min(200, size))
     pages = max(1, -(-rows.count() // size))
     return rows.offset((max(1, min(pages, number)) - 1) * size).limit(size)
+
+
+def global_stats(rows: DataFrame, sums: list[str], facets_of: list[str], lists: list[str] = ()) -> DataFrame:
+    """(name, value, n): sums over all rows, sessions with errors, and how many rows have each value of the facets.
+
+    ``lists`` are array columns, each of whose values counts. One pass: rows become (name, value, n) and add up.
+    """
+    entry = lambda name, value, n: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), n.cast("double").alias("n"))
+    none, one = F.lit(None), F.lit(1)
+    fixed = F.array(
+        entry("sessions", none, one), entry("error_sessions", none, (F.coalesce(F.col("errors"), F.lit(0)) > 0).cast("int")), *(entry(c, none, F.coalesce(F.col(c), F.lit(0))) for c in sums), *(entry(c, F.col(c), one) for c in facets_of),
+    )
+    each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: entry(c, v, one))
+    more = [each(c) for c in lists]
+    long = rows.select(F.explode(F.concat(fixed, *more) if more else fixed).alias("e")).select("e.*")
+    counted = long.filter(~F.col("name").isin(*facets_of) | F.col("value").isNotNull()).groupBy("name", "value").agg(F.sum("n").alias("n"))
+    return counted

@@ -152,6 +152,12 @@ def stale(sessions: DataFrame, index: DataFrame, key: str = "path", version: str
     return sessions.join(index.select(key, version), [key, version], "left_anti")
 
 
+def unindexed(sessions: DataFrame, index: DataFrame, lengths: DataFrame, key: str = "path", version: str = "mtime") -> DataFrame:
+    """Sessions whose version isn't in the metadata index, or that the search index lacks."""
+    missing = sessions.join(lengths.select(key), key, "left_anti")
+    return stale(sessions, index, key, version).unionByName(missing).distinct()
+
+
 def rerank_pool(candidates: DataFrame, tfs: DataFrame, weights: DataFrame, key: str = "doc_id", best: int = 150, all_words: int = 50, project: int = 200) -> DataFrame:
     """key of the candidates (key, score, in_project) worth reading for words that stand together: the best by score,
     those whose weakest word is strongest, and those of the project with most of the words.

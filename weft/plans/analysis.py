@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import analysis
+from weft.operators import analysis, insights, search
 from weft.plans.base import EVENTS_SQL, query, read, timed_events
 
 
@@ -134,3 +134,33 @@ def active_durations(spark, d):
     t = _steps(spark, d).groupBy("path").agg(F.count("ms").alias("timed"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.sum(F.when(F.col("gap") >= 3_600_000, F.col("gap"))).alias("idle"))
     end = F.when(F.col("path") % 2 == 0, F.col("first_ms") + 86_400_000)
     return t.select("path", analysis.active_ms(F.col("first_ms"), F.col("last_ms"), F.col("timed"), F.lit(None).cast("long"), end, F.col("idle")).alias("active"))
+
+
+@query(f"""with {FACTS}, f as (select *, case when errors * 10 < calls then 'A' when errors * 4 < calls then 'B' end as grade from facts), e as (select 'sessions' as name, null as value, 1.0 as n from f union all select 'error_sessions', null, cast(errors > 0 as int) from f union all select 'tokens', null, tokens from f union all select 'errors', null, errors from f
+  union all select 'source', source, 1 from f union all select 'host', coalesce(host, 'local'), 1 from f union all select 'grade', grade, 1 from f where grade is not null union all select 'tools', unnest(['Bash', source]), 1 from f) select name, value, cast(sum(n) as double) as n from e group by all""")
+def global_stats(spark, d):
+    rows = _facts(spark, d).withColumns({"host": F.coalesce("host", F.lit("local")), "grade": F.when(F.col("errors") * 10 < F.col("calls"), "A").when(F.col("errors") * 4 < F.col("calls"), "B"), "tools": F.array(F.lit("Bash"), "source")})
+    return insights.global_stats(rows, ["tokens", "errors"], ["source", "host", "grade"], ["tools"])
+
+
+@query("select c_custkey as path, c_custkey % 10 as mtime from customer where c_custkey % 4 = 1 or c_custkey % 3 = 2")
+def sessions_to_index(spark, d):
+    """A fourth has changed since it was indexed, a third isn't in the search index."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 10).alias("mtime"))
+    index = c.withColumn("mtime", F.when(F.col("path") % 4 == 1, -1).otherwise(F.col("mtime")))
+    return search.unindexed(c, index, c.filter("path % 3 <> 2"))
+
+
+@query("""with h as (select n_name as host from nation where n_nationkey < 15 union select n_name from nation where n_nationkey % 2 = 0 union select n_name from customer join nation on n_nationkey = c_nationkey where c_custkey % 3 = 0), c as (select n_name as host, count(*) as sessions from customer join nation on n_nationkey = c_nationkey group by 1)
+  select h.host, coalesce(sessions, 0) as sessions, n_nationkey < 15 as configured, case when n_nationkey % 2 = 0 then n_nationkey % 4 end as failures from h left join c using (host) join nation on n_name = h.host""")
+def known_hosts(spark, d):
+    """Hosts that are configured, were pulled or have imported sessions, with their sessions and failures."""
+    n, c = read(spark, d, "nation"), read(spark, d, "customer")
+    name = n.select(F.col("n_name").alias("host"), "n_nationkey")
+    sessions = c.join(F.broadcast(name), F.col("c_nationkey") == F.col("n_nationkey"))
+    configured = name.filter("n_nationkey < 15").select("host", F.lit(True).alias("configured"))
+    pulled = name.filter("n_nationkey % 2 = 0").select("host", (F.col("n_nationkey") % 4).alias("failures"))
+    imported = sessions.filter("c_custkey % 3 = 0").select("host")
+    hosts = configured.select("host").union(pulled.select("host")).union(imported).distinct()
+    counts = sessions.groupBy("host").agg(F.count("*").alias("sessions"))
+    return hosts.join(counts, "host", "left").join(configured, "host", "left").join(pulled, "host", "left").select("host", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("configured", F.lit(False)).alias("configured"), "failures")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions import text
 from weft.operators import search
 from weft.plans.base import query, read, shared_folder, stored_index
 from weft.plans.texts import POSTINGS
@@ -94,3 +95,24 @@ def palette_ranking(spark, d):
     docs = read(spark, d, "documents")
     scored = docs.select("doc_id", search.field_score(["12", "src1", "the"], id=F.col("doc_id").cast("string"), source=F.col("source"), prompt=F.lower(F.coalesce("text", F.lit(""))), project=F.col("lang")).alias("score"))
     return scored.filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(8)
+
+
+def _snippet_sql(word: str) -> str:
+    at = f"position('{word}' in lower(text))"
+    start, end = f"greatest({at} - 40, 1)", f"({at} + {len(word) - 1 + 60})"
+    return f"case when {at} > 0 then (case when {start} > 1 then '…' else '' end) || trim(regexp_replace(substring(text, {start}, {end} - {start} + 1), '\\s+', ' ', 'g')) || (case when {end} < length(text) then '…' else '' end) end".replace("\\\\", "\\")
+
+
+@query("with s as (select doc_id, list_filter([" + ", ".join(map(_snippet_sql, ["the", "of", "with", "worthless"])) + "], lambda x: x is not null) as l from documents) select doc_id, l[1] as first, l[2] as second, cast(least(len(list_distinct(l)), 3) as integer) as n from s where len(l) > 0 and len(list_distinct(l)) = len(l)")
+def three_snippets(spark, d):
+    """Snippets of the first three words that occur, where no two are equal."""
+    found = read(spark, d, "documents").select("doc_id", text.snippets(F.col("text"), ["the", "of", "with", "worthless"]).alias("l"), F.size(F.array_compact(F.array(*(text.snippet(F.col("text"), w) for w in ("the", "of", "with", "worthless"))))).alias("all"))
+    return found.filter((F.size("l") > 0) & (F.size("l") == F.least("all", F.lit(3)))).select("doc_id", F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(1)).alias("second"), F.size("l").alias("n"))
+
+
+@query("select p_partkey, case when p_size = 0 then '' else p_size * 2 || '%' end as share, case when p_retailprice >= 1000 then printf('$%.2f', p_retailprice / 1000) else printf('$%.4f', p_retailprice / 1000) end as cost, case when p_retailprice >= 1000 then printf('%.1fK', p_retailprice / 1000) else cast(cast(floor(p_retailprice) as bigint) as varchar) end as n from part")
+def shown_numbers(spark, d):
+    p = read(spark, d, "part")
+    price = F.col("p_retailprice")
+    whole = F.when(price >= 1000, text.compact_number(price)).otherwise(text.compact_number(F.floor(price)))
+    return p.select("p_partkey", text.percent(F.when(F.col("p_size") != 0, F.col("p_size") / 50)).alias("share"), text.dollars(price / 1000).alias("cost"), whole.alias("n"))
