@@ -79,7 +79,11 @@ def host_reputation(pages: DataFrame, suffixes: list[str] = TWO_LABELS) -> DataF
     for level in ("suffix", "domain", "host"):
         keys = [*above, level]
         groups = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages"))
-        groups = groups.join(parent, above) if above else groups.crossJoin(F.broadcast(parent))
+        if above:  # a suffix such as com has a great part of all hosts
+            children = stash(parent.join(groups.groupBy(*above).agg(F.count("*").alias("children")), above))
+            groups = join_counted(groups, children, above, "children", groups.count()).drop("children")
+        else:
+            groups = groups.crossJoin(F.broadcast(parent))
         # a group is shrunk to the rest of its parent, and no more surely than the rest is known
         known = F.col("strength") + F.col("all_n") - F.col("n")
         rest = (F.col("prior") * F.col("strength") + F.col("all_bad") - F.col("bad")) / known
