@@ -434,9 +434,9 @@ def test_toxicity_table_is_exact(spark):
     keys = np.unique(rng.integers(-(2**63), 2**63, 20_000))
     known, unknown, ratios = keys[::2], keys[1::2], rng.normal(size=len(keys[::2])).astype(np.float32)
     rows = spark.createDataFrame(list(zip(known.tolist(), ratios.tolist())), "gram long, ratio float")
-    model = toxicity._read_model(toxicity._write_model(rows, 3))
+    model = toxicity._read_model(toxicity._write_model(rows))
     assert (toxicity._ratios_of(known, model) == ratios).all() and not toxicity._ratios_of(unknown, model).any()
-    empty = toxicity._read_model(toxicity._write_model(rows.limit(0), 3))
+    empty = toxicity._read_model(toxicity._write_model(rows.limit(0)))
     assert not toxicity._ratios_of(known, empty).any()
 
 

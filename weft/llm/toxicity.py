@@ -135,8 +135,9 @@ def _table(mixed: np.ndarray, ratios: np.ndarray) -> Model:
     return mixed, ratios, starts
 
 
-def _write_model(ratios: DataFrame, files: int) -> str:
-    """Write (gram, ratio) by ascending mixed key, file by file; the folder."""
+def _write_model(ratios: DataFrame) -> str:
+    """Write (gram, ratio) by ascending mixed key, file by file; the folder. Every scoring task opens all files, so
+    there are as few as adaptive execution makes of the sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +145,7 @@ def _write_model(ratios: DataFrame, files: int) -> str:
             yield pa.RecordBatch.from_arrays([mixed, batch.column("ratio")], ["mixed", "ratio"])
 
     folder = shared_dir(ratios.sparkSession)
-    ratios.mapInArrow(task_of(run), "mixed long, ratio float").repartitionByRange(files, "mixed").sortWithinPartitions("mixed").write.parquet(folder)
+    ratios.mapInArrow(task_of(run), "mixed long, ratio float").orderBy("mixed").write.parquet(folder)
     return folder
 
 
@@ -223,7 +224,6 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, text:
 
 
 def _train(docs: DataFrame, labels: DataFrame, most_labelled: int, text: str, key: str, folders: list[str]):
-    spark = docs.sparkSession
     usable, chosen = learning_rows(labels, most_labelled)
     if chosen.select("fold", "toxic").distinct().count() < 4:
         return None
@@ -231,13 +231,12 @@ def _train(docs: DataFrame, labels: DataFrame, most_labelled: int, text: str, ke
     labelled = own.join(F.broadcast(chosen), "doc_id").filter("text is not null").drop("doc_id")  # at most 4 * most_labelled ids
     counted = stash(_count_grams(labelled))
     triples = stash(_count_triples(docs, text))
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = _write_model(_ratios(counted.filter("fold = 0").drop("fold"), triples), files)
+    first = _write_model(_ratios(counted.filter("fold = 0").drop("fold"), triples))
     folders.append(first)
     marked = _features(labelled.filter("fold = 2").select("text", "toxic"), first).toPandas()  # at most 2 * most_labelled rows of numbers
     if marked["toxic"].nunique() < 2:
         return None
-    final = _write_model(_ratios(counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), triples), files)
+    final = _write_model(_ratios(counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), triples))
     x = marked[["whole", "stretch"]].to_numpy(np.float64)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     y = marked["toxic"].to_numpy(np.float64)
