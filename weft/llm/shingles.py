@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import settled, stash, task_of, text_slices, with_columns_of
+from weft.llm.common import dealt, settled, stash, task_of, text_slices, with_columns_of
 from weft.llm.graph import components
 from weft.llm.simhash import majority, mih_pairs, star_pairs
 
 SEED, SHINGLE, BUCKETS = 42, 5, 1 << 20
+#: Rounds of stars, and representatives that an entry is compared with in each.
+ROUNDS, RAYS = 3, 4
+MOST_IDS = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -47,7 +50,7 @@ def _common(docs: DataFrame) -> np.ndarray:
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles, texts)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([found[n > 1], n[n > 1]], ["shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(task_of(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = dealt(docs).select("text").mapInArrow(task_of(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     tops = counted.groupBy(F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.max("n").alias("n")).toArrow()  # at most BUCKETS rows
     levels = np.zeros(BUCKETS, np.uint8)
     levels[tops["bucket"].to_numpy()] = 4 * np.log2(tops["n"].to_numpy())
@@ -76,28 +79,45 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _verified_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    sets = stash(with_columns_of(rows.select("row_id", "text").join(ids, "row_id"), "set array<long>", lambda texts: [[shingles(t) for t in texts]]))
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
+    # counted first: up to MOST_IDS ids (8 MB) go to the texts, else texts and ids meet by an exchange
+    picked = rows.select("row_id", "text").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "row_id")
+    sets = stash(with_columns_of(picked, "set array<long>", lambda texts: [[shingles(t) for t in texts]]))
     both = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row_id").alias("b"), F.col("set").alias("y")), "b")
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _rays(shared: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each entry of (key, id, n, at, label) with the RAYS representatives of other labels that it meets at most keys."""
+    order = F.xxhash64("id", F.lit(turn))
+    chosen = shared.groupBy("key").agg(F.min_by(F.struct("id", "label", "n"), order).alias("low"), F.max_by(F.struct("id", "label", "n"), order).alias("high"))
+    # an entry meets two representatives for each of its keys
+    met = shared.join(chosen, "key").select("id", "n", "label", F.explode(F.array("low", "high")).alias("to")).filter("label <> to.label and 5 * least(n, to.n) >= 4 * greatest(n, to.n)")
+    counted = met.groupBy("id", F.col("to.id").alias("to")).agg(F.count("*").alias("c"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("c", "to")), asc=False), 1, RAYS)
+    return counted.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("a"), F.explode("best").alias("b")).select("a", "b.to").toDF("a", "b")
+
+
 def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, component) of the links among ``entries`` (id, n, f0, prefix): every entry is there.
 
-    Stars first: entries near a representative of a fingerprint's segment, or that share a good part of their prefix
-    with a representative of it. Then come the pairs of fingerprints and all pairs of a prefix shingle that the stars
-    leave apart, where rows of the label most frequent at the shingle don't meet each other.
+    Stars first, in ROUNDS: at each prefix shingle two of its entries represent it, other ones in each round, and every
+    entry is compared with the RAYS representatives that it shares most of its prefix with. So a large group of near
+    copies joins by a few comparisons for each of its members. Then come the pairs of fingerprints and the pairs of a
+    prefix shingle that the stars leave apart, where rows of the label most frequent at the shingle don't meet each other.
     """
-    stored = entries.select("id", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "key"))
+    stored = entries.select("id", "n", F.posexplode("prefix").alias("at", "key"))
     # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice
-    at_key = Window.partitionBy("key")
-    counted = stored.withColumns({"rows": F.count("*").over(at_key), "low": F.min("id").over(at_key), "any": F.min_by("id", F.xxhash64("id")).over(at_key)})
-    shared = stash(counted.filter("rows > 1").drop("rows"))
-    rays = shared.select("id", "p", F.explode(F.array_distinct(F.array("low", "any"))).alias("to")).filter("id <> to").groupBy("id", "p", "to").count().filter("4 * count >= p")
-    stars = components(_verified(rays.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(star_pairs(entries)), rows))
-
-    labels = stash(entries.join(stars, F.col("id") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "id").alias("label")))
+    shared = stash(stored.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1").drop("rows"))
+    labels = entries.select("id", "f0", F.col("id").alias("label"))
+    for turn in range(ROUNDS):
+        candidates = _rays(shared.join(labels.select("id", "label"), "id"), turn)
+        if not turn:
+            candidates = candidates.unionByName(star_pairs(entries))
+        links = _verified(candidates, rows)
+        names = labels.select("id", "label")
+        joined = components(links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        labels = stash(labels.join(joined, F.col("label") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "label").alias("label")))
     labelled = stash(shared.select("key", "id", "n", "at").join(labels.drop("f0"), "id"))
     mains = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
     mixed = stash(labelled.join(mains, "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main"))
