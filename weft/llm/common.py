@@ -148,6 +148,17 @@ def task_of(run: Callable, holds: bool = False) -> Callable:
     return whole
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs``, with Spark's default of 10,000 rows a batch set to 1000 unless the session has another setting.
+
+    Batches are bounded by bytes anyhow; but vectors of tens of MB for each task and direction lie outside the heap.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return docs
+
+
 def with_columns_of(docs: DataFrame, fields: str, compute: Callable[..., list], text: str = "text", start: Callable[[], object] | None = None) -> DataFrame:
     """``docs`` without ``text``, and the columns ``fields`` that ``compute`` gives for a list of texts.
 
@@ -165,7 +176,7 @@ def with_columns_of(docs: DataFrame, fields: str, compute: Callable[..., list],
             got = [pa.array(values, kind) for values, kind in zip(compute(texts, *more), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *got], names)
 
-    return docs.mapInArrow(task_of(run), schema)
+    return dealt(docs).mapInArrow(task_of(run), schema)
 
 
 def rows_whose(docs: DataFrame, good: Callable[..., list[bool]], text: str = "text", start: Callable[[], object] | None = None) -> DataFrame:
@@ -176,7 +187,7 @@ def rows_whose(docs: DataFrame, good: Callable[..., list[bool]], text: str = "te
         for part, texts in text_slices(batches, text):
             yield part.filter(pa.array(good(texts, *more), pa.bool_()))
 
-    return docs.mapInArrow(task_of(run), docs.schema)
+    return dealt(docs).mapInArrow(task_of(run), docs.schema)
 
 
 def as_one(docs: DataFrame, name: str = "row") -> Column:

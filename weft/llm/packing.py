@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import group_rank, small_table, stash, table, task_of, text_slices
+from weft.llm.common import dealt, group_rank, small_table, stash, table, task_of, text_slices
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -85,7 +85,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
             columns = [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(whole, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task_of(run, holds=True), schema)
+    return dealt(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task_of(run, holds=True), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, text: str = "text", key: str = "doc_id", by_words: bool = True, keep_ids: bool = False) -> DataFrame:

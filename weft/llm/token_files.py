@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import shared_dir, small_table, stash, store_of, table, task_of, text_slices
+from weft.llm.common import dealt, shared_dir, small_table, stash, store_of, table, task_of, text_slices
 
 MAGIC, BLOCK, FIT, NO_ID = b"WPFOR001", 1024, 95, -(2**63)
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -176,7 +176,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     again writes the same file again and moves it over the first.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = dealt(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not files:
         total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
         files = max(1, -(-total // bytes_per_file), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 20))))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import rows_whose, scratch, shared_dir, stash, store_of, table, task_of, text_slices, with_columns_of
+from weft.llm.common import dealt, rows_whose, scratch, shared_dir, stash, store_of, table, task_of, text_slices, with_columns_of
 
 ORDER, MIDDLE, DISCOUNT, STRETCH = 8, 4, 0.75, 256
 HALF_Z, HALF_RATIO = 4.0, 1.5
@@ -77,7 +77,7 @@ def _count_grams(docs: DataFrame) -> DataFrame:
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([gram.view(np.int64), np.full(len(gram), f, np.int32), n * (k == 0), n * (k == 1)], ["gram", "fold", "c0", "c1"])
 
-    return docs.mapInArrow(task_of(run), "gram long, fold int, c0 long, c1 long").groupBy("gram", "fold").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return dealt(docs).mapInArrow(task_of(run), "gram long, fold int, c0 long, c1 long").groupBy("gram", "fold").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def _count_triples(docs: DataFrame, text: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _count_triples(docs: DataFrame, text: str) -> DataFrame:
                 total = np.bincount(place, weights=n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([known, total], ["triple", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(task_of(run), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return dealt(docs).select(F.col(text).alias("text")).mapInArrow(task_of(run), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
 def _ratios(counted: DataFrame, triples: DataFrame) -> DataFrame:
