@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, mixing, packing, quality, sharding, simhash, token_files, toxicity, urls, vectors
+from weft.llm import chat, clusters, divergence, mixing, packing, quality, sharding, simhash, token_files, toxicity, urls, vectors, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_patched_blocks": token_files.op8_patched_blocks,
         "op9_metric_range_join": vectors.op9_metric_range_join,
         "op10_kneser_ney_toxicity": toxicity.op10_kneser_ney_toxicity,
+        "op11_salvage_warc": warc.op11_salvage_warc,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_annulus_clusters": clusters.op13_annulus_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_reputation": urls.ORACLE}
+    return {"op2_host_reputation": urls.ORACLE, "op11_salvage_warc": warc.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_annulus_clusters": clusters.ORACLE}
