@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import entropy
+from weft.functions.ragged import strings_of
+from weft.functions.secrets import Rule, Rules, scanned
 
 MARK = "[REDACTED]"
 # Shapes of secrets and what replaces them.
@@ -33,6 +34,12 @@ RULES = [
 ]
 
 
+def rules_of(rules: list[tuple] = RULES, allowed: str = r"(?i)example|placeholder") -> Rules:
+    """Rules given as (id, keyword, pattern with the secret in its first group, least entropy), compiled."""
+    shapes = [(p, by.replace("$1", r"\1").replace("$2", r"\2")) for p, by in SHAPES]
+    return Rules([Rule(name, pattern, (keyword,), 1, least, (allowed,)) for name, keyword, pattern, least in rules], MARK, shapes[:1], shapes[1:])
+
+
 def redacted(text: Column) -> Column:
     for pattern, by in SHAPES:
         text = F.regexp_replace(text, pattern, by)
@@ -43,14 +50,10 @@ def masked(secret: Column) -> Column:
     return F.when(F.length(secret) <= 8, "****").otherwise(F.concat(F.substring(secret, 1, 4), F.lit("…"), F.substring(secret, -4, 4)))
 
 
-def findings(texts: DataFrame, key: str, text: str, allowed: str = r"(?i)example|placeholder", rules: list[tuple] = RULES) -> DataFrame:
-    """(key, rule_id, secret, match) of every distinct secret of a text, keyword first, then pattern and entropy."""
-    out = None
-    for name, keyword, pattern, least in rules:
-        found = texts.filter(F.lower(F.col(text)).contains(keyword)).select(key, F.lit(name).alias("rule_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))).alias("secret"))
-        found = found.filter((entropy(F.col("secret")) >= least) & ~F.col("secret").rlike(allowed))
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("match", masked(F.col("secret")))
+def findings(texts: DataFrame, key: str, text: str, allowed: str = r"(?i)example|placeholder", rules: list[tuple] | Rules = RULES) -> DataFrame:
+    """(key, rule_id, secret, match) of every distinct secret of a text, by one pass however many rules there are."""
+    compiled = rules if isinstance(rules, Rules) else rules_of(rules, allowed)
+    return scanned(texts.select(key, text), text, compiled).withColumn("match", masked(F.col("secret")))
 
 
 def leaf_paths(text: Column) -> Column:
@@ -58,36 +61,34 @@ def leaf_paths(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<![\w/.])/(?:[\w.@+-]+/)+([\w.@+-]+)", "…/$1")
 
 
-def rule_secrets(text: Column, allowed: str = r"(?i)example|placeholder", rules: list[tuple] = RULES) -> Column:
-    """The distinct secrets that the rules find in a text, longest first."""
-
-    def hits(keyword: str, pattern: str, least: float) -> Column:
-        good = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: (entropy(s) >= least) & ~s.rlike(allowed))
-        return F.when(F.lower(text).contains(keyword), good).otherwise(F.array().cast("array<string>"))
-
-    found = [hits(keyword, pattern, least) for _, keyword, pattern, least in rules]
-    return F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(F.concat(*found)), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), lambda x: x["s"])
-
-
 def without(text: Column, secrets: Column) -> Column:
     """``text`` with each of the secrets replaced, in their order."""
     return F.aggregate(secrets, text, lambda t, s: F.replace(t, s, F.lit(MARK)))
 
 
-def fully_redacted(text: Column) -> Column:
+def fully_redacted(text: Column, rules: Rules | None = None) -> Column:
     """Key blocks, then what the rules find, then the shapes."""
-    blocks = F.regexp_replace(text, *SHAPES[0])
-    return redacted(without(blocks, rule_secrets(blocks)))
+    compiled = rules or rules_of()
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(compiled.redacted, na_action="ignore")
+
+    return clean(text)
 
 
-def session_findings(events: DataFrame) -> DataFrame:
-    """(path, seq, field, rule_id, secret, match) of the secrets in all texts of a session's events, in order."""
-    fields = F.array(
-        F.struct(F.lit("text").alias("field"), F.col("text").alias("value")),
-        F.struct(F.lit("calls").alias("field"), F.array_join(F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,name:string,input:string>>")), lambda c: F.coalesce(c["input"], F.lit(""))), "\n").alias("value")),
-    )
-    long = events.select("path", "seq", F.explode(fields).alias("f")).select(F.struct("path", "seq", "f.field").alias("key"), "f.value").filter("value <> ''")
-    return findings(long, "key", "value").select("key.*", "rule_id", "secret", "match")
+def session_findings(events: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """(path, seq, field, rule_id, secret, match) of the secrets in all texts of a session's events.
+
+    Fields are text, thinking (if ``events`` has it) and calls: each call's input, and the strings inside it as they are
+    without JSON's escapes, so patches, questions and MCP parameters are seen as they were written.
+    """
+    inputs = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,name:string,input:string>>")), lambda c: F.coalesce(c["input"], F.lit("")))
+    named = [("text", F.array("text"))] + ([("thinking", F.array("thinking"))] if "thinking" in events.columns else [])
+    long = events.select("path", "seq", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), v.alias("values")) for n, v in [*named, ("calls", inputs)]))).alias("f"))
+    whole = long.select(F.struct("path", "seq", "f.field").alias("key"), F.explode("f.values").alias("value")).filter("value <> ''")
+    escaped = whole.filter("key.field = 'calls' and (value like '{%' or value like '[%')").select("key", F.explode(strings_of(F.col("value"))).alias("value"))
+    return findings(whole.unionByName(escaped), "key", "value", rules=rules or rules_of()).select("key.*", "rule_id", "secret", "match").distinct()
 
 
 def redacted_session(events: DataFrame, found: DataFrame) -> DataFrame:
@@ -97,18 +98,16 @@ def redacted_session(events: DataFrame, found: DataFrame) -> DataFrame:
     return events.join(secrets, "path", "left").withColumn("text", clean).drop("secrets")
 
 
-def redacted_json(bodies: DataFrame, body: str, lines: bool = False) -> DataFrame:
+def redacted_json(bodies: DataFrame, body: str, lines: bool = False, rules: Rules | None = None) -> DataFrame:
     """``bodies`` whose JSON ``body`` keeps its structure: only the strings inside are redacted, names and numbers stay.
 
-    With ``lines`` a body is one document a line. What isn't JSON is redacted as text.
+    What the rules find goes as well as the shapes, as in ``fully_redacted``. With ``lines`` a body is one document a line. What isn't JSON is redacted as text.
     """
-    shapes = [(re.compile(p), by.replace("$1", r"\1").replace("$2", r"\2")) for p, by in SHAPES]
+    rules = rules or rules_of()
 
     def clean(value):
         if isinstance(value, str):
-            for pattern, by in shapes:
-                value = pattern.sub(by, value)
-            return value
+            return rules.redacted(value)
         if isinstance(value, list):
             return [clean(v) for v in value]
         return {k: clean(v) for k, v in value.items()} if isinstance(value, dict) else value

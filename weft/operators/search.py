@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import jaccard, tokens, trigrams
+from weft.functions.text import TOKEN_SPLIT, tokens, trigrams
 
 K1, B = 1.2, 0.75
 
@@ -26,7 +27,7 @@ def doc_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 class Index:
     """A stored index: postings (key, term, tf) sorted by term, so that a read of some terms skips row groups by their
-    statistics; lengths (key, dl); and the vocabulary (term, df)."""
+    statistics; lengths (key, dl); the vocabulary (term, df); and its trigrams (trigram, term, n) sorted by trigram."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -43,42 +44,103 @@ class Index:
     def vocabulary(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/vocabulary")
 
+    @property
+    def trigrams(self) -> DataFrame:
+        """Cut from the vocabulary by the first search that needs them, and kept."""
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/trigrams/_SUCCESS")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            terms = self.vocabulary.select("term", trigrams(F.col("term")).alias("g"))
+            cut = terms.select(F.explode("g").alias("trigram"), "term", F.size("g").alias("n"))
+            # as many rows as the vocabulary has characters: by hash, so that no sample of it is cut first
+            cut.repartition("trigram").sortWithinPartitions("trigram", "n", "term").write.mode("overwrite").parquet(f"{self.folder}/trigrams")
+        return self.spark.read.parquet(f"{self.folder}/trigrams")
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, tf) of all terms, and a null term with tf 0 for every document."""
+    parts = docs.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), TOKEN_SPLIT)).alias("part"))
+    # terms are lower-cased and counted as rows, in compiled code; each document's own parts meet before the exchange
+    terms = parts.select(key, F.when(F.length("part").between(2, 32), F.lower("part")).alias("term"))
+    return terms.groupBy(key, "term").agg(F.count("term").alias("tf"))
+
+
+def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out anew if it has fewer partitions than there are cores: a small table in one large row group
+    would be tokenised by one of them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
 
 def build_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Index:
     """Tokenise ``docs`` once and write the index below ``folder``.
 
-    A document's terms are counted where the document is, as an array, so only (key, term, tf) rows are exchanged, once,
-    by ranges of term; a term that a third of all documents have is spread over ranges of keys.
+    Terms are counted by document in one pass and kept as a table; lengths are sums over it, and postings are it sorted
+    by ranges of (term, key), so a term that a third of all documents have is spread over ranges of keys.
     """
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("terms"))
-    words.select(key, F.size("terms").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths")
-    # sorted terms: equal ones are neighbours, so a count is the distance between the places where terms change
-    ordered = words.select(key, F.sort_array("terms").alias("terms"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
-    placed = ordered.filter(F.size("terms") > 0).withColumn("starts", starts)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("starts") - 1), lambda i: F.struct(F.get("terms", F.get("starts", i)).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("terms")) - F.get("starts", i)).cast("long").alias("tf")))
-    placed.select(key, F.inline(pairs)).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
-    index = Index(docs.sparkSession, folder)
-    index.postings.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange(F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    spark = docs.sparkSession
+    counted(spread(docs.select(key, text)), key, text).write.mode("overwrite").parquet(f"{folder}/counted")
+    rows = spark.read.parquet(f"{folder}/counted")
+    rows.groupBy(key).agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    sorted_by(rows.filter("term is not null"), "term", key).write.mode("overwrite").parquet(f"{folder}/postings")
+    index = Index(spark, folder)
+    vocabulary = rows.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    counts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/counted")
+    counts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(counts, True)
     return index
 
 
-def resolve(vocabulary: DataFrame, words: list[str], prefix_last: bool = True, most: int = 3, least: float = 0.4) -> DataFrame:
+def one_of(column: Column, values: list[str], most: int = 500) -> Column:
+    """Whether ``column`` is one of ``values``, by tens up to ``most``: a Parquet scan looks for each of up to ten values in
+    its statistics, but only for the range of more."""
+    if not 10 < len(values) <= most:
+        return column.isin(values)
+    return reduce(lambda a, b: a | b, (column.isin(values[i : i + 10]) for i in range(0, len(values), 10)))
+
+
+def term_trigrams(term: str) -> list[str]:
+    padded = f"  {term}  "
+    return list(dict.fromkeys(padded[i : i + 3] for i in range(len(term) + 2)))
+
+
+def similar(stored: DataFrame, words: list[str], most: int = 3, least: float = 0.4) -> DataFrame:
+    """(word, term, weight): the ``most`` terms whose trigram sets are nearest to each word's, of at least ``least``.
+
+    ``stored`` has (trigram, term, n: the term's number of trigrams). Its scan is filtered by the words' trigrams and by
+    the lengths that can reach ``least``; shared trigrams are counted, so no term is cut again.
+    """
+    spark = stored.sparkSession
+    asked = [(w, g, len(grams)) for w in dict.fromkeys(words) for grams in [term_trigrams(w)] for g in grams]
+    if not asked:
+        return spark.createDataFrame([], "word string, term string, weight double")
+    sizes = [m for _, _, m in asked]
+    scan = stored.filter(one_of(F.col("trigram"), sorted({g for _, g, _ in asked})) & F.col("n").between(int(min(sizes) * least), int(max(sizes) / least) + 1))
+    both = scan.join(F.broadcast(spark.createDataFrame(asked, "word string, trigram string, m int")), "trigram")  # the trigrams of the words asked
+    shared = both.groupBy("word", "term", "n", "m").agg(F.count("*").alias("k"))
+    near = shared.withColumn("weight", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).filter(F.col("weight") >= least)
+    order = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "term"))
+    return near.withColumn("r", order).filter(F.col("r") <= most).select("word", "term", "weight")
+
+
+def resolve(vocabulary: DataFrame, words: list[str], prefix_last: bool = True, most: int = 3, least: float = 0.4, stored: DataFrame | None = None) -> DataFrame:
     """(word, term, weight): a known word stands for itself, an unknown one for similar terms.
 
-    Similarity is that of the terms' trigram sets; candidates come from an equi-join on trigrams, never from all pairs.
-    The last word also stands for every term it begins.
+    Similarity is that of the terms' trigram sets, from the trigrams ``stored`` with an index (and those are of the same
+    vocabulary) or cut from ``vocabulary`` here; candidates come from an equi-join on trigrams, never from all pairs. The
+    last word also stands for every term it begins.
     """
     spark = vocabulary.sparkSession
-    asked = spark.createDataFrame([(i, w) for i, w in enumerate(dict.fromkeys(words))], "q int, word string")
-    terms = vocabulary.select("term").distinct()
-    exact = asked.join(terms, asked["word"] == terms["term"]).select("word", "term", F.lit(1.0).alias("weight"))
-    unknown = asked.join(terms.withColumnRenamed("term", "word"), "word", "left_anti").withColumn("qg", trigrams(F.col("word")))
-    cut = terms.withColumn("g", F.explode(trigrams(F.col("term"))))
-    near = unknown.withColumn("g", F.explode("qg")).join(cut, "g").select("word", "term", "qg").distinct()
-    near = near.withColumn("weight", jaccard(F.col("qg"), trigrams(F.col("term")))).filter(F.col("weight") >= least)
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "term"))).filter(F.col("r") <= most).select("word", "term", "weight")
-    out = exact.unionByName(best)
+    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+    terms = vocabulary.select("term") if stored is not None else vocabulary.select("term").distinct()
+    exact = terms.filter(F.col("term").isin(words)).select(F.col("term").alias("word"), "term", F.lit(1.0).alias("weight"))
+    if stored is None:
+        stored = terms.withColumn("g", trigrams(F.col("term"))).select(F.explode("g").alias("trigram"), "term", F.size("g").alias("n"))
+    unknown = asked.join(exact, "word", "left_anti")
+    out = exact.unionByName(similar(stored, words, most, least).join(unknown, "word", "left_semi"))
     if prefix_last and words:
         begun = terms.filter(F.col("term").startswith(words[-1])).select(F.lit(words[-1]).alias("word"), "term", F.lit(1.0).alias("weight"))
         out = out.unionByName(begun)
@@ -90,22 +152,25 @@ def plain(words: list[str], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w, w, 1.0) for w in dict.fromkeys(words)], "word string, term string, weight double")
 
 
-def bm25(post: DataFrame, lengths: DataFrame, asked: DataFrame, n_words: int, key: str = "doc_id", most_terms: int = 10_000) -> DataFrame:
-    """(key, score) of documents that hold every one of the ``n_words`` words of ``asked`` (word, term, weight).
+def bm25(post: DataFrame, lengths: DataFrame, asked: DataFrame, n_words: int, key: str = "doc_id", most_terms: int = 10_000, every_word: bool = True) -> DataFrame:
+    """(key, score) of documents that hold every one of the ``n_words`` words of ``asked`` (word, term, weight), or any.
 
     Each term counts once, at its best weight; statistics are those of ``post`` and ``lengths``. Up to ``most_terms``
-    asked terms become a filter of the scan of ``post``, so a stored index gives only their rows; more (a prefix of a
-    letter) are joined instead.
+    asked terms are resolved once and become a filter of the scan of ``post``, so a stored index gives only their rows;
+    more (a prefix of a letter) are joined instead.
     """
     terms = asked.groupBy("term").agg(F.max("weight").alias("weight"), F.collect_set("word").alias("words"))
-    few = [r["term"] for r in terms.select("term").limit(most_terms + 1).collect()]
-    hits = post.filter(F.col("term").isin(few)).join(F.broadcast(terms), "term") if len(few) <= most_terms else post.join(terms, "term")
+    rows = terms.limit(most_terms + 1).collect()
+    few = len(rows) <= most_terms
+    if few:
+        terms = F.broadcast(post.sparkSession.createDataFrame([tuple(r) for r in rows], terms.schema))  # at most most_terms rows
+    hits = (post.filter(one_of(F.col("term"), sorted(r["term"] for r in rows))) if few else post).join(terms, "term")
     # one pass over the hits: the number of documents of a term is counted beside them
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df) if len(few) <= most_terms else df, "term").join(lengths, key).crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))
+    scored = hits.join(F.broadcast(df) if few else df, "term").join(lengths, key).crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))
     part = bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("weight")
     sums = scored.withColumn("part", part).groupBy(key).agg(F.sum("part").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("found"))
-    return sums.filter(F.col("found") == n_words).select(key, "score")
+    return (sums.filter(F.col("found") == n_words) if every_word else sums).select(key, "score")
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -125,7 +190,7 @@ def search(docs: DataFrame, query: list[str], limit: int = 20, key: str = "doc_i
     documents only.
     """
     post, lengths = (index.postings, index.lengths) if index else (postings(docs, key, text), doc_lengths(docs, key, text))
-    asked = resolve(index.vocabulary if index else post.select("term"), query)
+    asked = resolve(index.vocabulary, query, stored=index.trigrams) if index else resolve(post.select("term"), query)
     found = bm25(post, lengths, asked, len(dict.fromkeys(query)), key)
     if phrase:
         found = phrase_verified(found, docs, phrase, limit, key, text)

@@ -44,15 +44,22 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-_indexes: dict[tuple, Index] = {}
+_indexes: dict[tuple, tuple[tuple, Index]] = {}
+
+
+def files_of(df: DataFrame) -> tuple:
+    """What tells whether the files behind ``df`` are still the same: their number, and a sum over names, sizes and times."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(20,0)"))).first())
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of the documents: built by the first query of a session that searches, read by all others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        _indexes[key] = build_index(read(spark, sf_dir, "documents"), shared_folder(spark))
-    return _indexes[key]
+    """The index of the documents: built by the first query of a session that searches, read by all others until the files change."""
+    docs = read(spark, sf_dir, "documents")
+    key, now = (spark.sparkContext.applicationId, sf_dir), files_of(docs)
+    if key not in _indexes or _indexes[key][0] != now:
+        _indexes[key] = (now, build_index(docs, shared_folder(spark)))
+    return _indexes[key][1]
 
 
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +45,7 @@ def _candidates(spark, d) -> tuple[DataFrame, DataFrame]:
     """Documents with any of the words; those of source src1 belong to the project."""
     index = stored_index(spark, d)
     hits = index.postings.filter(F.col("term").isin(WORDS))
-    parts = (search.bm25(index.postings, index.lengths, search.plain([w], spark), 1) for w in WORDS)
-    scored = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score"))
+    scored = search.bm25(index.postings, index.lengths, search.plain(WORDS, spark), len(WORDS), every_word=False)
     own = read(spark, d, "documents").select("doc_id", F.coalesce(F.col("source") == "src1", F.lit(False)).alias("in_project"))
     return scored.join(own, "doc_id"), hits.select("doc_id", F.col("term").alias("word"), F.col("tf").cast("double").alias("tf"))
 

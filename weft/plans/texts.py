@@ -55,8 +55,9 @@ def search_snippets(spark, d):
   q as (select 'worthles' as word, list_distinct(list_transform(range(1, 11), lambda i: substring('  worthles  ', i, 3))) as qg), j as (select word, term, len(list_intersect(g, qg)) / len(list_distinct(list_concat(g, qg))) as w from g, q)
   select word, term, round(w, 9) as weight from j where w >= 0.4 order by w desc, term limit 3""")
 def similar_terms(spark, d):
-    terms = stored_index(spark, d).vocabulary.filter(F.length("term") >= 4)
-    return search.resolve(terms, ["worthles"], prefix_last=False).withColumn("weight", F.round("weight", 9))
+    index = stored_index(spark, d)
+    long_ = F.length("term") >= 4
+    return search.resolve(index.vocabulary.filter(long_), ["worthles"], prefix_last=False, stored=index.trigrams.filter(long_)).withColumn("weight", F.round("weight", 9))
 
 
 @query("""with r as (select doc_id, source, lang from documents), t(q) as (values ('src1'), ('en')), x as (select doc_id, q, greatest(case when source = q then 35 when starts_with(source, q) then 35 when contains(source, q) then 20 else 0 end,
