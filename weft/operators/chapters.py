@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.tables import kept, rounds
+
 
 def with_chapters(events: DataFrame, key: str = "path", order: str = "seq", prompt: Column | None = None) -> DataFrame:
     """``events`` with chapter: 0 before the first prompt, then counted up at each."""
@@ -47,20 +50,48 @@ def shared_files(chapters: DataFrame, key: str = "path", back: int = 10) -> Data
 def chains(links: DataFrame, key: str = "path") -> DataFrame:
     """(key, idx, chain): chapters join the chain of what they continue, else of what they fix, else found one.
 
-    Labels depend on earlier labels in order, so each session is folded on its own; a session's links are few.
+    In order, a chapter joins the first of its earlier chapters that has a chain by then; if none has, the first of them
+    founds one. An earlier chapter with links of its own has a chain for certain; one without has it if some chapter
+    before founded it. So only chapters all of whose earlier ones have no links decide anything: such a chapter founds
+    unless one before it founded one of its earlier ones. They are decided in rounds, all at once whose rivals before
+    them are decided; then every chapter points to what it joins, and pointers are doubled up to the founders. Chains
+    are numbered by when they were founded.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        chain: dict[int, int] = {}
-        for idx, group in rows.sort_values(["idx", "prev_idx"]).groupby("idx"):
-            wanted = [*group.loc[group["continues"], "prev_idx"], *group.loc[group["fixes"], "prev_idx"]]
-            if wanted:
-                known = [chain[p] for p in wanted if p in chain]
-                chain[idx] = known[0] if known else chain.setdefault(wanted[0], len(set(chain.values())))
-        return pd.DataFrame({key: rows[key].iloc[0], "idx": list(chain), "chain": list(chain.values())})
-
-    kind = links.schema[key].dataType.simpleString()
-    return links.groupBy(key).applyInPandas(fold, f"{key} {kind}, idx long, chain long")
+    wanted = links.filter("continues or fixes").select(key, "idx", "prev_idx", F.explode(F.array_compact(F.array(F.when(F.col("continues"), 0), F.when(F.col("fixes"), 1)))).alias("kind"))
+    order = Window.partitionBy(key, "idx").orderBy("kind", "prev_idx")
+    with rounds(links.sparkSession) as folder:
+        wanted = kept(wanted.withColumn("pos", F.row_number().over(order)).drop("kind"), folder)
+        linked = kept(wanted.select(key, "idx").distinct(), folder)
+        known = linked.select(key, F.col("idx").alias("prev_idx"), F.lit(True).alias("linked"))
+        wanted = kept(wanted.join(known, [key, "prev_idx"], "left"), folder)
+        deciding = wanted.groupBy(key, "idx").agg(F.max("linked").alias("any"), F.min_by("prev_idx", "pos").alias("first")).filter("any is null").drop("any")
+        open_ = kept(deciding, folder)
+        one = open_.select(key, F.col("idx").alias("rival"), F.col("first").alias("prev_idx"))
+        edges = kept(wanted.select(key, "idx", "prev_idx").join(open_.select(key, "idx"), [key, "idx"], "left_semi").join(one, [key, "prev_idx"]).filter("rival < idx").select(key, "idx", "rival").distinct(), folder)
+        founding = []
+        while True:
+            free = kept(open_.join(edges.select(key, "idx").distinct(), [key, "idx"], "left_anti"), folder)
+            founding.append(free)
+            held = edges.join(free.select(key, F.col("idx").alias("rival")), [key, "rival"], "left_semi").select(key, "idx").distinct()
+            rest = kept(open_.join(free, [key, "idx"], "left_anti").join(held, [key, "idx"], "left_anti"), folder)
+            if rest.isEmpty():
+                break
+            edges = kept(edges.join(rest.select(key, "idx"), [key, "idx"], "left_semi").join(rest.select(key, F.col("idx").alias("rival")), [key, "rival"], "left_semi"), folder)
+            open_ = rest
+        founded = reduce(DataFrame.unionByName, founding)
+        founded = kept(founded.select(key, F.col("first").alias("founder"), F.col("idx").alias("since"), (F.row_number().over(Window.partitionBy(key).orderBy("idx")) - 1).cast("long").alias("chain")), folder)
+        since = founded.select(key, F.col("founder").alias("prev_idx"), "since")
+        joins = wanted.join(since, [key, "prev_idx"], "left").filter("linked or since <= idx")
+        up = kept(joins.groupBy(key, "idx").agg(F.min_by("prev_idx", "pos").alias("to")), folder)
+        while True:
+            further = up.select(key, F.col("idx").alias("to"), F.col("to").alias("further"))
+            moved = kept(up.join(further, [key, "to"], "left").select(key, "idx", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), folder)
+            up = moved.drop("moved")
+            if moved.filter("moved").isEmpty():
+                break
+        named = founded.select(key, F.col("founder").alias("to"), "chain")
+        out = up.join(named, [key, "to"]).select(key, "idx", "chain").unionByName(founded.select(key, F.col("founder").alias("idx"), "chain"))
+        return kept(out.select(key, F.col("idx").cast("long").alias("idx"), "chain"))
 
 
 def similar_target(tool: Column, target: Column) -> Column:
@@ -72,37 +103,33 @@ def similar_target(tool: Column, target: Column) -> Column:
 def retry_groups(calls: DataFrame, keys: tuple[str, ...] = ("path", "chapter"), ahead: int = 8) -> DataFrame:
     """(keys, start_ord, attempts, resolved): greedy groups of a failed call and what tries the same again.
 
-    A group ends with its first success, and the scan goes on behind it, so which call begins a group depends on all
-    groups before: calls are folded. Only chapters with a failure and a similar call soon after it are, and one prompt's
-    calls are few. ``calls`` has ord without gaps in a chapter, tool, target and failed.
+    A group ends with its first success, and the scan goes on behind it. ``calls`` has ord without gaps in a chapter,
+    tool, target and failed. What a call's group would be shows in the ``ahead - 1`` calls behind it. Such groups may
+    overlap, and which of them count depends on those before; but a group that none before reaches counts for certain,
+    and from there each group points to the first that begins behind its end. Pointers are followed by doubling, between
+    certain groups only.
     """
+    keys_ = list(keys)
     known = calls.withColumn("same", F.concat_ws("\n", "tool", similar_target(F.col("tool"), F.col("target"))))
-    following = F.lead("ord").over(Window.partitionBy(*keys, "same").orderBy("ord"))
-    tried = known.withColumn("tried", F.col("failed") & (following - F.col("ord") < ahead))
-    # a greedy group only skips calls that some failure nearby could reach, so chapters without one have no group
-    wanted = tried.filter("tried").select(*keys).distinct()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        same, failed, order = (rows[c].tolist() for c in ("same", "failed", "ord"))
-        out, i = [], 0
-        while i < len(rows):
-            attempts, resolved, end = 1, False, i
-            if failed[i]:
-                for j in range(i + 1, min(i + ahead, len(rows))):
-                    if same[j] == same[i]:
-                        attempts, end = attempts + 1, j
-                        if not failed[j]:
-                            resolved = True
-                            break
-            if attempts > 1:
-                out.append((order[i], attempts, resolved))
-            i = end + 1
-        found = pd.DataFrame(out, columns=["start_ord", "attempts", "resolved"])
-        return found.assign(**{k: rows[k].iloc[0] for k in keys})[[*keys, "start_ord", "attempts", "resolved"]]
-
-    kinds = ", ".join(f"{k} {calls.schema[k].dataType.simpleString()}" for k in keys)
-    return known.select(*keys, "ord", "same", "failed").join(wanted, list(keys), "left_semi").groupBy(*keys).applyInPandas(fold, f"{kinds}, start_ord long, attempts long, resolved boolean")
+    order = Window.partitionBy(*keys_).orderBy("ord")
+    near = F.collect_list(F.struct("ord", "same", "failed")).over(order.rowsBetween(1, ahead - 1))
+    tried = known.select(*keys_, "ord", "same", "failed", near.alias("near")).filter("failed").withColumn("tries", F.expr("filter(near, x -> x.same = same)")).filter(F.size("tries") > 0)
+    success = F.array_position(F.transform("tries", lambda x: x["failed"]), False)
+    attempts = F.when(success > 0, success).otherwise(F.size("tries")).cast("int")
+    groups = tried.select(*keys_, "ord", (attempts + 1).cast("long").alias("attempts"), (success > 0).alias("resolved"), F.get("tries", attempts - 1)["ord"].alias("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.collect_list("ord").over(order.rowsBetween(1, ahead))
+    with rounds(calls.sparkSession) as folder:
+        groups = groups.withColumns({"counts": F.coalesce(reach < F.col("ord"), F.lit(True)), "behind": behind})
+        groups = kept(groups.withColumn("to", F.get(F.expr("filter(behind, x -> x > end)"), F.lit(0))).drop("behind"), folder)
+        certain = groups.filter("counts").select(*keys_, F.col("ord").alias("to"), F.lit(True).alias("sure"))
+        state = kept(groups.join(certain, [*keys_, "to"], "left").select(*keys_, "ord", "counts", F.when(F.col("sure").isNull(), F.col("to")).alias("to")), folder)
+        while not state.filter("to is not null").isEmpty():
+            reached = state.filter("counts and to is not null").select(*keys_, F.col("to").alias("ord"), F.lit(True).alias("reached")).distinct()
+            jumps = state.filter("to is not null").select(*keys_, F.col("ord").alias("to"), F.col("to").alias("further"))
+            state = kept(state.join(reached, [*keys_, "ord"], "left").join(jumps, [*keys_, "to"], "left").select(*keys_, "ord", (F.col("counts") | F.coalesce("reached", F.lit(False))).alias("counts"), F.col("further").alias("to")), folder)
+        taken = groups.drop("counts", "to", "end").join(state.filter("counts").select(*keys_, "ord"), [*keys_, "ord"], "left_semi")
+        return kept(taken.select(*keys_, F.col("ord").cast("long").alias("start_ord"), "attempts", "resolved"))
 
 
 def merged_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

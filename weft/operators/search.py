@@ -183,24 +183,27 @@ def query_segments(query: str) -> list[tuple[str, str]]:
     return [("phrase", (a or b).strip()) if a or b else ("term", c) for a, b, c in found if (a or b).strip() or c]
 
 
-def search(docs: DataFrame, query: list[str], limit: int = 20, key: str = "doc_id", text: str = "text", phrase: str | None = None, index: Index | None = None) -> DataFrame:
-    """The best ``limit`` documents; a phrase must also occur literally, in any case.
+def search(docs: DataFrame, query: list[str], limit: int = 20, key: str = "doc_id", text: str = "text", phrase: str | None = None, index: Index | None = None, newest: str | None = None, verify: int | None = 200) -> DataFrame:
+    """The best ``limit`` documents; a phrase must also occur literally, in any case. ``newest`` names a column of ``docs``
+    by which the latest documents lead, whatever their score.
 
-    With an ``index`` nothing is tokenised. Phrases are looked for in the texts of the best ``max(200, 10 * limit)``
-    documents only.
+    With an ``index`` nothing is tokenised. Phrases are looked for in the texts of the best ``max(verify, 10 * limit)``
+    documents only, or of all that hold the words if ``verify`` is None.
     """
     post, lengths = (index.postings, index.lengths) if index else (postings(docs, key, text), doc_lengths(docs, key, text))
     asked = resolve(index.vocabulary, query, stored=index.trigrams) if index else resolve(post.select("term"), query)
     found = bm25(post, lengths, asked, len(dict.fromkeys(query)), key)
     if phrase:
-        found = phrase_verified(found, docs, phrase, limit, key, text)
+        found = phrase_verified(found, docs, phrase, limit, key, text, verify)
+    if newest:
+        return found.join(docs.select(key, F.col(newest).alias("newest")), key).orderBy(F.desc("newest"), F.desc("score"), key).limit(limit)
     return found.orderBy(F.desc("score"), key).limit(limit)
 
 
-def phrase_verified(found: DataFrame, docs: DataFrame, phrase: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``found`` whose text holds ``phrase`` in any case, of the best ``max(200, 10 * limit)``."""
-    best = found.orderBy(F.desc("score"), key).limit(max(200, 10 * limit))
-    return docs.select(key, text).join(F.broadcast(best), key).filter(F.lower(F.col(text)).contains(phrase.lower())).select(key, "score")
+def phrase_verified(found: DataFrame, docs: DataFrame, phrase: str, limit: int, key: str = "doc_id", text: str = "text", most: int | None = 200) -> DataFrame:
+    """The rows of ``found`` whose text holds ``phrase`` in any case, of the best ``max(most, 10 * limit)`` (of all if None)."""
+    best = F.broadcast(found.orderBy(F.desc("score"), key).limit(max(most, 10 * limit))) if most is not None else found
+    return docs.select(key, text).join(best, key).filter(F.lower(F.col(text)).contains(phrase.lower())).select(key, "score")
 
 
 def upsert(index: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:

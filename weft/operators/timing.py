@@ -56,6 +56,20 @@ def segments(events: DataFrame, key: str = "path", idle: int = 120_000) -> DataF
     return cut.withColumn("segment", F.sum("cut").over(w)).groupBy(key, "segment").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count("*").alias("n"))
 
 
+def activity_segments(events: DataFrame, key: str = "path", idle: int = 120_000, least: int = 3, least_ms: int = 10_000) -> DataFrame:
+    """(key, start_ms, end_ms, active): a session's time line, active and idle stretches in turn.
+
+    Idle are gaps of ``idle`` or more. A stretch of one instant is none. Sessions of fewer than ``least`` timed events or
+    that last less than ``least_ms`` have no time line.
+    """
+    runs = segments(events, key, idle)
+    spans = runs.groupBy(key).agg(F.sum("n").alias("all"), (F.max("end_ms") - F.min("start_ms")).alias("span")).filter((F.col("all") >= least) & (F.col("span") >= least_ms))
+    runs = runs.join(spans.select(key), key, "left_semi")
+    last = F.lag("end_ms").over(Window.partitionBy(key).orderBy("segment"))
+    idle_ = runs.select(key, last.alias("start_ms"), F.col("start_ms").alias("end_ms"), F.lit(False).alias("active")).filter("start_ms is not null")
+    return runs.filter("end_ms > start_ms").select(key, "start_ms", "end_ms", F.lit(True).alias("active")).unionByName(idle_)
+
+
 def density(events: DataFrame, key: str = "path", buckets: int = 200) -> DataFrame:
     """(key, bucket, n): equal shares of a session's span, the last one closed; a session of one instant has one."""
     spans = events.filter("ms is not null").groupBy(key).agg(F.min("ms").alias("from_ms"), F.max("ms").alias("to_ms"))

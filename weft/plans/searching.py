@@ -100,11 +100,11 @@ def _snippet_sql(word: str) -> str:
     return f"case when {at} > 0 then (case when {start} > 1 then '…' else '' end) || trim(regexp_replace(substring(text, {start}, {end} - {start} + 1), '\\s+', ' ', 'g')) || (case when {end} < length(text) then '…' else '' end) end".replace("\\\\", "\\")
 
 
-@query("with s as (select doc_id, list_filter([" + ", ".join(map(_snippet_sql, ["the", "of", "with", "worthless"])) + "], lambda x: x is not null) as l from documents) select doc_id, l[1] as first, l[2] as second, cast(least(len(list_distinct(l)), 3) as integer) as n from s where len(l) > 0 and len(list_distinct(l)) = len(l)")
+@query("with s as (select doc_id, list_filter([" + ", ".join(map(_snippet_sql, ["the", "of", "with", "worthless"])) + "], lambda x: x is not null) as l from documents), u as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l from s) select doc_id, l[1] as first, l[2] as second, cast(least(len(l), 3) as integer) as n from u")
 def three_snippets(spark, d):
-    """Snippets of the first three words that occur, where no two are equal."""
-    found = read(spark, d, "documents").select("doc_id", text.snippets(F.col("text"), ["the", "of", "with", "worthless"]).alias("l"), F.size(F.array_compact(F.array(*(text.snippet(F.col("text"), w) for w in ("the", "of", "with", "worthless"))))).alias("all"))
-    return found.filter((F.size("l") > 0) & (F.size("l") == F.least("all", F.lit(3)))).select("doc_id", F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(1)).alias("second"), F.size("l").alias("n"))
+    """Snippets of the first three words that occur; of equal ones the first. Documents with none of the words have none."""
+    found = read(spark, d, "documents").select("doc_id", F.coalesce(text.snippets(F.col("text"), ["the", "of", "with", "worthless"]), F.array().cast("array<string>")).alias("l"))
+    return found.select("doc_id", F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(1)).alias("second"), F.size("l").alias("n"))
 
 
 @query("select p_partkey, case when p_size = 0 then '' else p_size * 2 || '%' end as share, case when p_retailprice >= 1000 then printf('$%.2f', p_retailprice / 1000) else printf('$%.4f', p_retailprice / 1000) end as cost, case when p_retailprice >= 1000 then printf('%.1fK', p_retailprice / 1000) else cast(cast(floor(p_retailprice) as bigint) as varchar) end as n from part")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.sources.recordings import lines, zstd_lines
+from weft.sources.recordings import first_lines
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -54,11 +54,9 @@ def cursor(spark: SparkSession, root: str, source: str = "cursor") -> DataFrame:
     return _row(found, source, F.get(p, F.lit(0)), F.element_at(p, -1), F.when(n == 5, id_))
 
 
-def _first_line(spark: SparkSession, found: DataFrame, pattern: str, schema: str, frames: bool = False) -> DataFrame:
-    """``found`` with first, the parsed first line of each file."""
-    rows = zstd_lines(spark, pattern, frames=1) if frames else lines(spark, pattern)
-    first = rows.filter("seq = 0").select(F.substring_index("path", "://", -1).alias("at"), F.from_json("line", schema).alias("first"))
-    return found.withColumn("at", F.regexp_replace("path", "^[a-z0-9]+:/+", "/")).join(first.withColumn("at", F.regexp_replace("at", "^([a-z0-9]+:)?/+", "/")), "at", "left").drop("at")
+def _first_line(found: DataFrame, schema: str) -> DataFrame:
+    """``found`` with first, the parsed first line of each file; nothing else of it is read."""
+    return first_lines(found).withColumn("first", F.from_json("line", schema)).drop("line")
 
 
 def codex(spark: SparkSession, root: str, source: str = "codex", depth: int = 8) -> DataFrame:
@@ -67,7 +65,7 @@ def codex(spark: SparkSession, root: str, source: str = "codex", depth: int = 8)
     ``root`` is resolved before: the listing follows no links.
     """
     found = files(spark, root).filter(F.element_at("parts", -1).rlike(r"^rollout-.*\.jsonl$") & (F.size("parts") <= depth + 1))
-    known = _first_line(spark, found, f"{root}/{{*,*/*,*/*/*,*/*/*/*}}/rollout-*.jsonl" if depth > 1 else f"{root}/rollout-*.jsonl", "payload struct<cwd:string>")
+    known = _first_line(found, "payload struct<cwd:string>")
     return _row(known, source, folder_name(F.col("first.payload.cwd"), "codex"), F.element_at("parts", -1))
 
 
@@ -104,7 +102,7 @@ def dsh(spark: SparkSession, root: str, source: str = "dsh") -> DataFrame:
     """slug/dir/session.v<N>.jsonl.zstd, of which the last by name counts; its first row names the folder."""
     found = files(spark, root).filter((F.size("parts") == 3) & F.element_at("parts", -1).rlike(r"^session\.v\d+\.jsonl(\.zstd)?$"))
     newest = F.row_number().over(Window.partitionBy(F.slice("parts", 1, 2)).orderBy(F.desc(F.element_at("parts", -1))))
-    known = _first_line(spark, found.withColumn("r", newest).filter("r = 1").drop("r"), f"{root}/*/*/session.v*.jsonl.zstd", "type string, cwd string", frames=True)
+    known = _first_line(found.withColumn("r", newest).filter("r = 1").drop("r"), "type string, cwd string")
     return _row(known, source, folder_name(F.when(F.col("first.type") == "session", F.col("first.cwd")), "dsh"), F.get("parts", F.lit(1)))
 
 

@@ -6,6 +6,7 @@ is_error, model and usage. ``seq`` orders the events of a path. Lines that aren'
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,6 +48,43 @@ def lines(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.mapInArrow(number, "path string, seq long, line string")
 
 
+def first_lines(paths: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``paths`` (path and others) with line: the first line of each file, read from its beginning and no further than
+    ``most`` bytes; of files of zstd frames what they hold. A longer first line is cut, an empty file's is empty."""
+
+    def one(path: str) -> str:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        with store.open_input_stream(at, compression=None) as raw:
+            read = raw.read
+            if path.endswith((".zstd", ".zst")):
+                import zstandard
+
+                read = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read1  # what is decoded at once
+            data = b""
+            while b"\n" not in data and len(data) < most:
+                try:
+                    more = read(65536)
+                except Exception as error:  # a damaged frame: what came before it counts
+                    if type(error).__name__ != "ZstdError":
+                        raise
+                    break
+                if not more:
+                    break
+                data += more
+        return data.split(b"\n", 1)[0][:most].decode("utf-8", "replace")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(p) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "line"])
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    return paths.mapInArrow(run, StructType([*paths.schema.fields, StructField("line", StringType())]))
+
+
 def indexed(source: str, line: Column) -> Column:
     """Whether a line can matter to a reader, told from its text before any JSON is parsed."""
     starts = lambda *kinds: reduce(lambda a, b: a | b, (line.startswith('{"type":"' + k + '"') | line.startswith('{"type": "' + k + '"') for k in kinds))
@@ -139,6 +177,7 @@ def codex_failed(output: Column) -> Column:
     status = "exit_code int, is_error boolean, isError boolean, success boolean, error string"
     says = lambda o: F.coalesce((o["exit_code"] != 0) | o["is_error"] | o["isError"] | ~o["success"] | ((o["error"] != "") & (o["error"] != "false")), F.coalesce(o["exit_code"] != 0, o["is_error"], o["isError"], ~o["success"], (o["error"] != "") & (o["error"] != "false"), F.lit(False)))
     whole = F.from_json(output, status)
+    # fixed values: how a result's text says that its command ended or failed
     exited = F.nullif(F.regexp_extract(output, r"(?i)\A(?:Chunk ID:[^\n]*\n)?(?:Wall time:[^\n]*\n)?Process exited with code (-?\d+)\b", 1), F.lit(""))
     said = output.rlike(r"(?i)\A(?:Script failed\b|apply_patch verification failed:|Failed to (?:find expected lines|apply patch)|(?:command|execution|tool|js execution) timed out\b|Error (?:parsing function call|executing tool)\b)")
     envelopes = F.filter(F.split(output, "\n"), lambda x: F.ltrim(x).startswith('{"chunk_id"'))
@@ -262,20 +301,26 @@ class SqliteReader(DataSourceReader):
         self.parts = int(options.get("numpartitions", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.parts)]
+        import glob
+
+        named = re.sub(r"^file:/+", "/", self.path)
+        return [InputPartition((f, i)) for f in sorted(glob.glob(named)) or [named] for i in range(self.parts)]
 
     def read(self, partition: InputPartition):
         import sqlite3
+        from contextlib import closing
 
         names = ", ".join(f'"{f.name}"' for f in self.schema.fields)
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f'select {names} from "{self.table}" where rowid % ? = ?', (self.parts, partition.value))
+        file, part = partition.value
+        with closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as db:
+            yield from db.execute(f'select {names} from "{self.table}" where rowid % ? = ?', (self.parts, part))
 
 
 class SqliteSource(DataSource):
     """``spark.read.format("sqlite").schema(...).option("path", ...).option("dbtable", ...).load()``: one database table.
 
-    ``numpartitions`` readers share the rows. The file must be where executors see it.
+    ``numpartitions`` readers share the rows of a file; ``path`` may be a pattern of several files with the same table.
+    They must lie where executors see them.
     """
 
     @classmethod
@@ -317,3 +362,10 @@ def opencode(message: DataFrame, part: DataFrame) -> DataFrame:
     every = user.unionByName(assistant).unionByName(result)
     seq = F.row_number().over(Window.partitionBy("path").orderBy("at", "message_id", "part_id"))
     return _shape(every.withColumn("seq", seq), "opencode", **{c: F.col(c) for c in ("type", "ts", "text", "tool_calls", "tool_use_id", "is_error", "model")})
+
+
+def cursor_models(pairs: DataFrame) -> DataFrame:
+    """(id, model) from the (key, value) pairs of an editor's state database: what each composer was set to."""
+    composer = pairs.filter(F.col("key").startswith("composerData:"))
+    model = F.nullif(F.get_json_object(F.col("value").cast("string"), "$.modelConfig.modelName"), F.lit(""))
+    return composer.select(F.substring("key", 14, 1000).alias("id"), model.alias("model")).filter("model is not null")
