@@ -21,7 +21,7 @@ from weft.llm.simhash import majority, mih_pairs, star_pairs
 
 SEED, SHINGLE, BUCKETS = 42, 5, 1 << 20
 #: Rounds of stars, and representatives that an entry is compared with in each.
-ROUNDS, RAYS = 3, 4
+ROUNDS, RAYS = 3, 2
 MOST_IDS = 1_000_000
 
 
@@ -78,13 +78,26 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _verified_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts travel, not their sets, which are more than twice as large; a set that the next pair needs again is kept."""
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
     # counted first: up to MOST_IDS ids (8 MB) go to the texts, else texts and ids meet by an exchange
     picked = rows.select("row_id", "text").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "row_id")
-    sets = stash(with_columns_of(picked, "set array<long>", lambda texts: [[shingles(t) for t in texts]]))
-    both = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row_id").alias("b"), F.col("set").alias("y")), "b")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    both = pairs.join(picked.select(F.col("row_id").alias("a"), F.col("text").alias("x")), "a").join(picked.select(F.col("row_id").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for part, texts in text_slices(batches, "x"):
+            good = []
+            for b, x, y in zip(part.column("b").to_pylist(), texts, part.column("y"), strict=True):
+                if last[0] != b:
+                    last = b, shingles(y.as_py())
+                own, other = shingles(x), last[1]
+                common = len(np.intersect1d(own, other, assume_unique=True)) if 5 * min(len(own), len(other)) >= 4 * max(len(own), len(other)) else 0
+                good.append(9 * common >= 4 * (len(own) + len(other)))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return dealt(both).mapInArrow(task_of(run), "a long, b long")
 
 
 def _rays(shared: DataFrame, turn: int) -> DataFrame:
@@ -106,9 +119,11 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     copies joins by a few comparisons for each of its members. Then come the pairs of fingerprints and the pairs of a
     prefix shingle that the stars leave apart, where rows of the label most frequent at the shingle don't meet each other.
     """
-    stored = entries.select("id", "n", F.posexplode("prefix").alias("at", "key"))
-    # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice
-    shared = stash(stored.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1").drop("rows"))
+    # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice; two numbers go as one
+    stored = entries.select("id", "n", F.posexplode("prefix").alias("at", "key")).select("key", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("n_at"))
+    often = stored.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1")
+    parts = "key", "id", F.shiftright("n_at", 32).cast("int").alias("n"), F.col("n_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
+    shared = settled(entries.sparkSession, lambda: often.select(*parts))
     labels = entries.select("id", "f0", F.col("id").alias("label"))
     for turn in range(ROUNDS):
         candidates = _rays(shared.join(labels.select("id", "label"), "id"), turn)
@@ -141,8 +156,12 @@ def first_of_groups(rows: DataFrame) -> DataFrame:
     ``row_id`` is unique and not null. Texts of equal sets are one entry from the start, so a group of copies costs one
     row.
     """
-    marked = stash(_marked(rows))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
-    entries = stash(marked.groupBy("s0", "s1", "n").agg(F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("prefix").alias("prefix")).select(F.col("first.row_id").alias("id"), "first", "n", "f0", "prefix"))
+
+    def distinct_sets() -> DataFrame:
+        grouped = stash(_marked(rows)).groupBy("s0", "s1", "n").agg(F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("prefix").alias("prefix"))
+        return grouped.select(F.col("first.row_id").alias("id"), "first", "n", "f0", "prefix")
+
+    entries = settled(rows.sparkSession, distinct_sets)
     linked = similar_links(entries.select("id", "n", "f0", "prefix"), rows)
     return entries.select("id", "first").join(linked, "id").groupBy("component").agg(F.min("first").alias("first")).select("first.row_id")
