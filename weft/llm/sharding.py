@@ -30,8 +30,8 @@ def sort_key(text: Column, doc_id: Column) -> Column:
     return F.shiftleft(group, GROUP_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(doc_id), 64 - GROUP_BITS))
 
 
-def histogram_splitters(rows: DataFrame, shards: int, pieces: int | None, tolerance: float) -> tuple[list[int], list[int]]:
-    """(ascending start keys of all pieces, the shard of each piece).
+def histogram_splitters(rows: DataFrame, shards: int, pieces: int | None, tolerance: float) -> tuple[list[int], list[int], list[int]]:
+    """(ascending start keys of all pieces, the shard of each piece, single keys that a boundary falls inside of).
 
     ``rows`` has key and size. Piece boundaries at every ``total / (shards * pieces)`` bytes, where ``pieces`` follows
     from PIECE_BYTES and the parallelism of the session if it isn't given; those that are shard boundaries are refined to ``tolerance`` of a shard's bytes, the others to half a piece. An interval boundary
@@ -76,6 +76,7 @@ def histogram_splitters(rows: DataFrame, shards: int, pieces: int | None, tolera
             break
         width -= NEXT_BITS
         count(width, inside)
+    heavy = sorted({narrow[i][0] for i in sought if not width and min(abs(edges[k] - sought[i]) for k in narrow[i]) > slack[i]})
     starts, shard_of = [0], [0]
     for i in sorted(sought):
         pick = min(narrow[i], key=lambda k: abs(edges[k] - sought[i]))
@@ -87,15 +88,16 @@ def histogram_splitters(rows: DataFrame, shards: int, pieces: int | None, tolera
         else:
             starts.append(pick)
             shard_of.append(i // pieces)
-    return starts, shard_of
+    return starts, shard_of, heavy
 
 
 def histogram_shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, text: str = "text", key: str = "doc_id", pieces: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with size, text_crc32, shard and slot; shards hold nearly equal bytes.
 
     Size: UTF-8 bytes of the text (null: none) plus 1. Null texts count as empty ones (crc32 0). Slots number the
-    rows of a shard from 0 without gaps, in key order. Rows that agree in id and text stay together; ties between
-    them are broken arbitrarily and their slots can be exchanged. An empty table gives an empty result. Added
+    rows of a shard from 0 without gaps, in key order. Rows that agree in id and text stay together as far as a shard
+    goes: if they are so many that a boundary falls among them, all rows are stored once with a number, and theirs
+    part them. Ties are broken arbitrarily and their slots can be exchanged. An empty table gives an empty result. Added
     columns replace columns of the same name. Only built-in DataFrame functions are used.
     """
     spark = docs.sparkSession
@@ -104,7 +106,13 @@ def histogram_shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
     size, crc = (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long"), F.crc32(F.coalesce(value, F.lit("")).cast("binary"))
     keyed = docs.select(as_one(docs), name.alias("id"), size.alias("size"), crc.alias("text_crc32"), sort_key(value, name).alias("key"))
     counted = stash(keyed.select("key", "size"))
-    starts, shard_of = histogram_splitters(counted, shards, pieces, tolerance)
+    starts, shard_of, heavy = histogram_splitters(counted, shards, pieces, tolerance)
+    if heavy:  # at most one key for each boundary
+        low = F.shiftrightunsigned(F.xxhash64("tie"), 64 - GROUP_BITS)
+        parted = F.shiftleft(F.shiftright("key", GROUP_BITS), GROUP_BITS).bitwiseOR(low)
+        keyed = stash(keyed.withColumn("tie", F.monotonically_increasing_id())).withColumn("key", F.when(F.col("key").isin(heavy), parted).otherwise(F.col("key"))).drop("tie")
+        counted = stash(keyed.select("key", "size"))
+        starts, shard_of, _ = histogram_splitters(counted, shards, pieces, tolerance)
 
     # splitters by the first bits of the key: at most 2**FIRST_BITS rows, each with the splitters inside its interval
     cut = KEY_BITS - FIRST_BITS
