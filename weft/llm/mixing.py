@@ -23,7 +23,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from weft.llm.common import as_one, computed_once, n_words, small_table, stash, table, unpacked
 
@@ -33,6 +33,15 @@ UNIT = 20
 CLASSES = 4
 
 
+def ordered(kind: DataType) -> bool:
+    """Whether values of a type can be hashed: neither maps nor variants, nor anything that holds one."""
+    if isinstance(kind, ArrayType):
+        return ordered(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(ordered(f.dataType) for f in kind.fields)
+    return not isinstance(kind, MapType | VariantType)
+
+
 def water_fill(sizes: list[int], weights: list[int], share: Fraction, cap: int) -> list[float]:
     """Targets by weight for ``share`` of all sizes; none above ``cap`` times its size, the excess reshared."""
     left, weight, out = share * sum(sizes), sum(weights), [0.0] * len(sizes)
@@ -84,12 +93,12 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
 
     Sources in order of code points, null last, take ``weights`` in turn. Documents of size 0 (or null) hold
     nothing to take: rate and copies are 0. A null key or source is a value like any other; repeated rows are
-    separate documents, and rows are ordered by all their columns where size and key agree. An empty table gives an
+    separate documents, and rows are ordered by all their columns (but maps and variants) where size and key agree. An empty table gives an
     empty result. ``max_sources`` bounds what the driver and broadcasts hold, one entry for each source; more sources
     raise an error. Added columns replace columns of the same name.
     """
     spark = docs.sparkSession
-    rows = docs.select(as_one(docs), F.col(source).cast("string").alias("src"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("words"), F.xxhash64(F.col(key), *(F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType))).alias("h"))
+    rows = docs.select(as_one(docs), F.col(source).cast("string").alias("src"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("words"), F.xxhash64(F.col(key), *(F.col(f"`{c}`") for c in docs.columns if ordered(docs.schema[c].dataType))).alias("h"))
     hist = stash(rows.groupBy("src", F.col("words").alias("size")).agg(F.count("*").alias("n")))
     totals = hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("docs")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
