@@ -18,6 +18,7 @@ random dimensions) are near no border-free cell: any exact method then compares
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -174,18 +175,22 @@ def range_join(entries: DataFrame, cosine: float = 0.95, vectors_per_pivot: int
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", embedding: str = "embedding", vectors_per_pivot: int = 4096) -> DataFrame:
     """vec_id, n_links (other vectors at ``cosine`` or more), component_id and kept of every row of ``vectors``.
 
-    Vectors that are null, empty or zero, hold null or non-finite components, or are of another length than most of
-    the usable ones link with nothing and are their own component. Equal vectors link. Vectors are linked, not ids:
+    Vectors that are null, empty or zero, or hold null or non-finite components link with nothing and are their own
+    component. Vectors of different lengths have no cosine and don't link; those of each length are joined by a range
+    join of their own. Equal vectors link. Vectors are linked, not ids:
     a row without an id, or that repeats one, links by its own vector, and a component is named by the least id in it,
     null if it has none. An empty table gives an empty result.
     """
     v = F.col(embedding)
     rows = stash(vectors.select(F.col(key).cast("long").alias("vec_id"), F.when(usable(v), v).alias("embedding")).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")}))
-    lengths = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    fits = F.col("embedding").isNotNull() & (F.size("embedding") == (lengths[0]["n"] if lengths else 0))
+    fits = F.col("embedding").isNotNull()
     grouped = rows.filter(fits).groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
     classes = stash(grouped.withColumn("id", F.monotonically_increasing_id()))
-    met = settled(vectors.sparkSession, lambda: range_join(classes.select("id", F.col("h1").alias("h"), "copies", "embedding"), cosine, vectors_per_pivot))
+    n = F.size("embedding")
+    lengths = [r["n"] for r in classes.select(n.alias("n")).distinct().orderBy("n").collect()]  # mostly one
+    own = classes.select("id", F.col("h1").alias("h"), "copies", "embedding")
+    joined = [settled(vectors.sparkSession, lambda k=k: range_join(own.filter(n == k), cosine, vectors_per_pivot)) for k in lengths]
+    met = reduce(DataFrame.unionByName, joined or [vectors.sparkSession.createDataFrame([], "id long, links long, peer long")])
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(met.select(F.col("id").alias("a"), F.col("peer").alias("b")))
     placed = classes.drop("embedding").join(links, "id", "left").join(named, F.col("id") == F.col("node"), "left")
