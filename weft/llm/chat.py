@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import stash, table
+from weft.llm.common import computed_once, stash, table
 
 ANCHOR = 5
 QUOTE = r"^[ \t]{0,3}>"
@@ -31,11 +31,21 @@ def hash_of(words: Column) -> Column:
     return F.xxhash64(F.array_join(words, " "))
 
 
-def passages(lines: Column) -> Column:
-    """(level, words) of the runs of quoted lines of one level, in order; blank quoted lines go on with a passage."""
-    one = F.transform(F.filter(lines, lambda x: x.rlike(QUOTE)), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), words_of(F.regexp_replace(x, MARKS, "")).alias("words")))
-    grown = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["level"] == x["level"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.element_at(done, -1)["words"], x["words"]).alias("words"))))).otherwise(F.concat(done, F.array(x)))
-    return F.filter(F.aggregate(one, F.slice(one, 1, 0), grown), lambda x: F.size(x["words"]) > 0)
+def passages(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, level and words of the runs of quoted lines of one level in (conv_id, turn, text), in order; blank
+    quoted lines go on with a passage.
+
+    A line's words are taken once, and so are those of a run: the places where the level changes cut the list of lines.
+    """
+    quoted = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(QUOTE))
+    one = F.transform(quoted, lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), words_of(F.regexp_replace(x, MARKS, "")).alias("words")))
+    lines = computed_once(turns.filter(F.col("text").contains(">")), "one", one).filter(F.size("one") > 0)
+    changes = F.filter(F.sequence(F.lit(0), F.size("one") - 1), lambda i: (i == 0) | (F.get("one", i)["level"] != F.get("one", i - 1)["level"]))
+    cut = computed_once(lines, "starts", changes)
+    stop = lambda j: F.coalesce(F.get("starts", j + 1), F.size("one"))
+    run = lambda s, j: F.struct(F.get("one", s)["level"].alias("level"), F.flatten(F.transform(F.slice("one", s + 1, stop(j) - s), lambda x: x["words"])).alias("words"))
+    runs = cut.select("conv_id", "turn", F.explode(F.transform("starts", run)).alias("p")).select("conv_id", "turn", "p.level", "p.words")
+    return runs.filter(F.size("words") > 0)
 
 
 def reply_order(turns: DataFrame) -> DataFrame:
@@ -48,15 +58,15 @@ def reply_order(turns: DataFrame) -> DataFrame:
     conversations in reply order: a reply always comes after what it replies to.
     """
     lines = F.split(F.col("text"), r"\r?\n")
-    cut = turns.select("conv_id", "turn", "role", F.array_join(F.filter(lines, lambda x: ~x.rlike(QUOTE)), "\n").alias("text"), F.size(F.filter(lines, lambda x: x.rlike(QUOTE))).alias("n_quoted"), F.when(F.col("text").contains(">"), passages(lines)).alias("passages"))
-    quoted = cut.filter(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.words")
+    cut = turns.select("conv_id", "turn", "role", F.array_join(F.filter(lines, lambda x: ~x.rlike(QUOTE)), "\n").alias("text"), F.size(F.filter(lines, lambda x: x.rlike(QUOTE))).alias("n_quoted"))
+    quoted = passages(turns.select("conv_id", "turn", "text"))
     n = F.size("words")
     anchor = F.when(n >= ANCHOR, hash_of(F.slice("words", 1, ANCHOR))).otherwise(hash_of(F.col("words")))
     quoted = quoted.select("conv_id", "turn", "level", n.alias("n"), anchor.alias("anchor"), hash_of(F.col("words")).alias("h"), F.length(F.array_join("words", " ")).alias("size"))
     quoted = stash(quoted.groupBy("conv_id", "turn", "level", "n", "anchor", "h").agg(F.sum("size").alias("size")))
     wanted = quoted.select("conv_id", "n", "anchor", "h").distinct()
-    # places: every run of ANCHOR words of a message, and its short lines as they are
-    own = cut.select("conv_id", "turn", words_of(F.col("text")).alias("words"), F.filter(F.transform(F.split("text", "\n"), words_of), lambda w: F.size(w).between(1, ANCHOR - 1)).alias("short"))
+    # places: every run of ANCHOR words of a message, and its short lines as they are, in conversations that quote anything
+    own = cut.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", words_of(F.col("text")).alias("words"), F.filter(F.transform(F.split("text", "\n"), words_of), lambda w: F.size(w).between(1, ANCHOR - 1)).alias("short"))
     runs = F.transform(F.when(F.size("words") >= ANCHOR, F.sequence(F.lit(1), F.size("words") - ANCHOR + 1)), lambda i: F.struct(i.alias("at"), hash_of(F.slice("words", i, ANCHOR)).alias("anchor")))
     short = F.transform("short", lambda w: F.struct(F.lit(0).alias("at"), hash_of(w).alias("anchor")))
     places = own.select("conv_id", "turn", F.explode(F.concat(F.coalesce(runs, F.slice(short, 1, 0)), F.coalesce(short, F.array().cast("array<struct<at:int,anchor:bigint>>")))).alias("x")).select("conv_id", "turn", "x.at", "x.anchor")
