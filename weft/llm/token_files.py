@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import dealt, shared_dir, small_table, stash, store_of, table, task_of, text_slices
+from weft.llm.common import dealt, shared_dir, stash, store_of, table, task_of, text_slices
 
 MAGIC, BLOCK, FIT, NO_ID = b"WPFOR001", 1024, 95, -(2**63)
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -204,11 +204,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files."""
-    spark = manifest.sparkSession
-    rows, start = [], 0
-    for r in sorted(manifest.filter("n_docs > 0").collect(), key=lambda r: r["part"]):  # one row for each file
-        rows.append((r["part"], r["file"], start))
-        start += r["n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = store_of(folder)
@@ -227,8 +222,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                             out = []
                 yield pa.RecordBatch.from_pylist(out, READ)
 
-    listed = small_table(spark, rows, "part int, file string, start long")
-    return listed.repartitionByRange(max(1, len(rows)), "part").mapInArrow(task_of(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over the files, not the documents
+    listed = manifest.filter("n_docs > 0").select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
+    return listed.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(task_of(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
