@@ -1,6 +1,7 @@
 """Each operator against brute force on small inputs, and on awkward ones."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -664,3 +665,67 @@ def test_rows_without_an_id_link(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in found) == [(0, 2, 1), (1, 0, 1), (1, 2, 1), (4, 2, 1)]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone without an id"), (5, "another text under the same id"), (5, near)]
+
+
+# rows that repeat, columns that can't be hashed
+
+
+def test_shards_of_equal_rows_are_even(spark):
+    docs = spark.createDataFrame([(1, "the same text in every row")] * 3200, "doc_id long, text string").repartition(5)
+    rows = sharding.histogram_shard(docs).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 20 and sum(counts.values()) == 3200
+    assert {(r["shard"], r["slot"]) for r in rows} == {(s, i) for s, n in counts.items() for i in range(n)}
+
+
+def test_shards_of_equal_rows_among_others(spark):
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(2000)] + [(7, "w " * 30)] * 1500 + [(None, None)] * 300
+    got = sharding.histogram_shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and len(sizes) == 16 and max(sizes.values()) <= 1.02 * sum(sizes.values()) / 16 + 200
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+
+
+def test_mix_with_columns_that_have_no_order(spark):
+    docs = docs_of(spark, corpus(50)).withColumn("size", n_words(F.col("text")))
+    one = F.create_map(F.lit("a"), F.lit(1))
+    docs = docs.withColumns({"m": one, "am": F.array(one), "sm": F.struct(one.alias("x")), "v": F.parse_json(F.lit('{"a":1}')), "av": F.array(F.parse_json(F.lit("1")))})
+    rows = mixing.entropy_mix(docs).collect()
+    assert len(rows) == 50 and rows[0]["sm"]["x"] == {"a": 1}
+
+
+def test_rates_equal_a_bisection(spark):
+    docs = docs_of(spark, corpus(300, 5)).withColumn("size", n_words(F.col("text")))
+    by = defaultdict(list)
+    rows = mixing.entropy_mix(docs).collect()
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        sizes = [r["size"] for r in own if r["size"]]
+        target, mean = own[0]["target"], sum(sizes) / len(sizes)
+        low, high = -1e4, 1e4
+        for _ in range(300):
+            tilt = (low + high) / 2
+            words = sum(s * min(2.0, float(np.exp(min(50.0, tilt * s / mean)))) for s in sizes)
+            low, high = (tilt, high) if words < target else (low, tilt)
+        if target < 2 * sum(sizes) * (1 - 1e-9):
+            for r in own:
+                if r["size"]:
+                    assert r["rate"] == pytest.approx(min(2.0, float(np.exp(min(50.0, tilt * r["size"] / mean)))), rel=1e-4, abs=1e-6)
+
+
+def test_vectors_of_each_length_link(spark):
+    rows = [(i, [1.0, 0.0, float(i % 2)]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [1.0, -2.0]), (20, [3.0]), (21, [0.5]), (22, [-1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 2: (2, 0), 4: (2, 0), 1: (2, 1), 3: (2, 1), 5: (2, 1), 10: (1, 10), 11: (1, 10), 12: (0, 12), 20: (1, 20), 21: (1, 20), 22: (0, 22)}
+
+
+def test_a_message_of_very_many_quoted_lines(spark):
+    said = "\n".join(f"line number {i} of a long message" for i in range(100_000))
+    reply = "\n".join(f"> line number {i} of a long message" for i in range(50_000)) + "\n" + "\n".join(f"{'>' * (i % 2 + 2)} odd {i}" for i in range(50_000))
+    turns = spark.createDataFrame([(1, 1, "user", said), (1, 2, "assistant", reply), (1, 3, "user", None), (2, 1, "user", "no > quote")], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quoted"]) for r in chat.reply_order(turns).collect()}
+    assert got == {(1, 1): (None, 0), (1, 2): (1, 100_000), (1, 3): (None, 0), (2, 1): (None, 0)} and time.time() - began < 60
