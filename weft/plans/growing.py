@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import timing
+from weft.operators import live_state, timing
 from weft.plans.analysis import STEPS_SQL
 from weft.plans.base import EVENTS_SQL, SQL, query, read, shared_folder, timed_events
 from weft.plans.recordings import write_files
 from weft.plans.streams import GENERATING, _Streamed
+from weft.sources import ends
 from weft.sources.growing import GrowingLines
 from weft.streaming import live, spans
 
@@ -118,3 +119,21 @@ def stream_answered_calls(spark, d):
     joined = spans.answered_calls(side("view"), side("error", "purchase"), ["path", "id"], "1 day")
     found = _appended(spark, joined, shared_folder(spark))
     return found.select("path", "id", "seq", "result_seq", (F.unix_millis("result_ts") - F.unix_millis("ts")).alias("waited_ms"))
+
+
+@query(f"""with {EVENTS_SQL}, x as (select path, seq, event_type, sum(case event_type when 'click' then 1 when 'signup' then -1 else 0 end) over w as a, sum(case event_type when 'view' then 1 when 'click' then 0 when 'signup' then 0 else -1 end) over w as b from ev window w as (partition by path order by seq rows unbounded preceding)),
+  y as (select path, arg_max(a, seq) - least(0, min(a)) as tasks, arg_max(b, seq) - least(0, min(b)) as pending, arg_max(event_type, seq) filter (event_type in ('click', 'signup')) as last from x group by path)
+  select path, pending > 0 or coalesce(last, '') <> 'signup' or (path % 2 = 0 and tasks > 0) as generating, cast(pending as bigint) as pending from y""")
+def tail_states(spark, d):
+    """Sessions of two sources whose files are read from their ends: prompts begin turns, signups end them, views are calls."""
+    out, t = shared_folder(spark), F.col("event_type")
+    kinds = lambda a, b, c, e: F.when(t == "click", a).when(t == "signup", b).when(t == "view", c).otherwise(e)
+    codex = F.to_json(F.struct(kinds("event_msg", "event_msg", "response_item", "response_item").alias("type"), F.struct(kinds("task_started", "task_complete", "function_call", "function_call_output").alias("type")).alias("payload")))
+    line = F.when(F.col("path") % 2 == 0, codex).otherwise(F.to_json(F.struct(kinds("turn_started", "turn_ended", "tool_started", "tool_completed").alias("type"))))
+    whole = timed_events(spark, d).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    write_files(whole.select(F.concat_ws("/", F.when(F.col("path") % 2 == 0, "codex").otherwise("grok"), F.col("path").cast("string")).alias("path"), "content"), out)
+    found = []
+    for source in ("codex", "grok"):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select("path").filter(F.col("path").contains(f"/{source}/"))
+        found.append(live_state.generating(ends.tails(listed, most=1 << 30), source))
+    return found[0].unionByName(found[1]).withColumn("path", F.substring_index("path", "/", -1).cast("long"))
