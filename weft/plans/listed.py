@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import chapter_table, exports, search, timing
+from weft.operators import chapter_table, exports, filters, report, search, timing
+from weft.operators.tables import kept
 from weft.plans.analysis import STEPS_SQL
 from weft.plans.base import EVENTS_SQL, query, read, shared_folder, stored_index, timed_events
 from weft.plans.exports import _events
@@ -23,7 +24,8 @@ TOOL = "list_extract(['Bash', 'Write', 'Read'], {0} + 1)"
 
 
 def _recorded(spark, d) -> DataFrame:
-    return reduce(DataFrame.unionByName, (recordings.events_of(rows, s) for s, rows in _sources(spark, d).items()))
+    """The events of the recordings of all sources, parsed once."""
+    return kept(reduce(DataFrame.unionByName, (recordings.events_of(rows, s) for s, rows in _sources(spark, d).items())))
 
 
 def _pairs(column: str, value: Callable[[Column], Column]) -> Column:
@@ -172,3 +174,39 @@ def cursor_models(spark, d):
     spark.dataSource.register(recordings.SqliteSource)
     pairs = spark.read.format("sqlite").schema("key string, value string").option("path", f"{out}/db/*.db").option("dbtable", "cursorDiskKV").load()
     return recordings.cursor_models(pairs)
+
+
+NL = "chr(10)"
+
+
+@query(f"""with {CHAPTERS}, rs as (select path, id, arg_max(event_type, seq) as rt from f where event_type in ('error', 'purchase') group by all),
+  cm as (select f.path, f.chapter, f.seq, case when f.seq % 5 = 0 then 'git add . && git commit -m x' else 'ls' end as cmd, coalesce(rt = 'error', false) as bad, case when rt = 'error' then case when s = 1 then 'Process exited with code 1' || {NL} || 'Error: it failed' else 'Error: it failed' end when rt = 'purchase' then 'fine' else '' end as out from f left join rs using (path, id) where event_type = 'view' and t = 0),
+  cn as (select *, row_number() over (partition by path, chapter order by seq) as n, sum(bad::int) over (partition by path, chapter order by seq) as nb from cm),
+  ct as (select path, chapter, string_agg('**[' || case when bad then 'FAIL' else 'ok' end || ']** `' || cmd || '`' || case when out <> '' then {NL} || {NL} || '```' || {NL} || out || {NL} || '```' else '' end, {NL} || {NL} order by n) filter (n <= 12) || case when count(*) > 12 then {NL} || {NL} || '*...and ' || (count(*) - 12) || ' more commands*' else '' end as commands,
+    string_agg('- `' || cmd || '`' || {NL} || '  > ' || string_split(out, {NL})[1], {NL} order by n) filter (bad and nb <= 5) as errors from cn group by all),
+  fo as (select path, chapter, 'src/f' || seq % 7 || '.py' as file, case t when 1 then 'write' else 'read' end as op, count(*) as c, min(seq) as begun_at from f where event_type = 'view' and t <> 0 group by all), fp as (select path, chapter, file, string_agg(op || case when c > 1 then ' x' || c else '' end, ', ' order by begun_at) as ops from fo group by all),
+  fl as (select path, chapter, string_agg('- `' || file || '` — ' || ops, {NL} order by file) as files from fp group by all), z as (select path, chapter, any_value(s) as s, min(seq) filter (event_type = 'click') as asked, arg_min(ms, seq) filter (event_type in ('click', 'signup', 'view')) as started, arg_max(ms, seq) filter (event_type in ('signup', 'view')) as ended, count(*) filter (event_type in ('signup', 'view')) as turns, max(seq) filter (event_type = 'signup') as last from f group by all),
+  y as (select *, row_number() over (partition by path order by chapter) as number, case when s <> 3 and ended - started > 1000 then (ended - started) // 1000 end as span from z left join ct using (path, chapter) left join fl using (path, chapter)),
+  a as (select *, concat_ws(' | ', case when turns > 0 then turns || case when turns = 1 then ' turn' else ' turns' end end, case when span >= 3600 then span // 3600 || 'h ' || span % 3600 // 60 || 'm' when span >= 60 then span // 60 || 'm ' || span % 60 || 's' else span || 's' end) as about from y)
+  select path, chapter, '## Chapter ' || number || {NL} || {NL} || '> ' || coalesce('ask ' || asked, '(subagent session)') || {NL} || {NL} || case when about <> '' then '*' || about || '*' || {NL} || {NL} else '' end || coalesce('### Files' || {NL} || {NL} || files || {NL} || {NL}, '') || coalesce('### Commands' || {NL} || {NL} || commands || {NL} || {NL}, '')
+   || coalesce('### Errors' || {NL} || {NL} || errors || {NL} || {NL}, '') || coalesce('### Response' || {NL} || {NL} || 'said ' || last || {NL} || {NL}, '') || '---' || {NL} as markdown from a""")
+def report_chapters(spark, d):
+    """The chapters of the recordings of six sources as sections of a report."""
+    return report.chapter_sections(_recorded(spark, d)).select(user_id().alias("path"), "chapter", "markdown")
+
+
+@query("select conv_id, count(*) as messages, count(*) * 1024 as size from conversations group by conv_id having count(*) >= 3")
+def database_sessions(spark, d):
+    """Sessions of a database with enough messages, joined to them; a size is made of their number."""
+    c = read(spark, d, "conversations")
+    sessions = c.groupBy("conv_id").agg(F.max("turn").alias("time_updated")).select(F.col("conv_id").alias("id"), "time_updated")
+    found = recordings.opencode_sessions(sessions, c.select(F.col("conv_id").alias("session_id")), most=2**31 - 1)
+    return found.select(F.col("id").alias("conv_id"), "messages", "size")
+
+
+@query("with h as (select c_name, substring(sha256(c_name), 1, 8) as h, c_custkey from customer) select c_name, c_custkey % 9 = 0 or h = (select min(h) from h) as found from h")
+def named_or_found(spark, d):
+    """Rows that the first hash names, or that an index found."""
+    c = read(spark, d, "customer").select(F.col("c_name").alias("path"), "c_custkey")
+    named = c.agg(F.min(F.substring(F.sha2("path", 256), 1, 8))).first()[0]
+    return c.select(F.col("path").alias("c_name"), filters.free_text(named, F.when(F.col("c_custkey") % 9 == 0, True)).alias("found"))
