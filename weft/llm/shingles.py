@@ -9,6 +9,7 @@ candidates beside those of the prefixes. Every candidate is verified by the inte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from weft.llm.simhash import majority, mih_pairs, star_pairs
 SEED, SHINGLE, BUCKETS = 42, 5, 1 << 20
 #: Rounds of stars, and representatives that an entry is compared with in each.
 ROUNDS, RAYS = 3, 2
+#: Bits of a set's parities.
+PARITY = 256
 MOST_IDS = 1_000_000
 
 
@@ -57,8 +60,18 @@ def _common(docs: DataFrame) -> np.ndarray:
     return levels
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of PARITY intervals of hashes holds an odd number of a set's shingles, as bits of whole numbers.
+
+    What two sets share cancels out, so they differ by at least as many shingles as their parities differ by bits.
+    """
+    odd = np.bincount(own & PARITY - 1, minlength=PARITY).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _marked(rows: DataFrame) -> DataFrame:
-    """row_id, doc_id, s0 and s1 (a hash of the set), n (its size), f0 (its SimHash) and prefix of (row_id, doc_id, text)."""
+    """row_id, doc_id, s0 and s1 (a hash of the set), n (its size), f0 (its SimHash), odd (its parities) and prefix of
+    (row_id, doc_id, text)."""
     levels = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def compute(texts: list[str | None]) -> list:
@@ -67,9 +80,9 @@ def _marked(rows: DataFrame) -> DataFrame:
         sets = [shingles(t) for t in texts]
         sums = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         prefixes = [s[np.argsort(levels.value[s & BUCKETS - 1], kind="stable")[: len(s) // 5 + 1]] for s in sets]
-        return [sums[:, 0], sums[:, 1], [len(s) for s in sets], [majority(s.view(np.uint64)) for s in sets], prefixes]
+        return [sums[:, 0], sums[:, 1], [len(s) for s in sets], [majority(s.view(np.uint64)) for s in sets], [parities(s) for s in sets], prefixes]
 
-    return with_columns_of(rows, "s0 long, s1 long, n int, f0 long, prefix array<long>", compute)
+    return with_columns_of(rows, "s0 long, s1 long, n int, f0 long, odd array<long>, prefix array<long>", compute)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -112,12 +125,13 @@ def _rays(shared: DataFrame, turn: int) -> DataFrame:
 
 
 def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, component) of the links among ``entries`` (id, n, f0, prefix): every entry is there.
+    """(id, component) of the links among ``entries`` (id, n, f0, odd, prefix): every entry is there.
 
     Stars first, in ROUNDS: at each prefix shingle two of its entries represent it, other ones in each round, and every
     entry is compared with the RAYS representatives that it shares most of its prefix with. So a large group of near
     copies joins by a few comparisons for each of its members. Then come the pairs of fingerprints and the pairs of a
     prefix shingle that the stars leave apart, where rows of the label most frequent at the shingle don't meet each other.
+    Of these, pairs go on whose sizes and parities leave a similarity of 0.8 possible.
     """
     # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice; two numbers go as one
     stored = entries.select("id", "n", F.posexplode("prefix").alias("at", "key")).select("key", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("n_at"))
@@ -135,9 +149,11 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
         labels = stash(labels.join(joined, F.col("label") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "label").alias("label")))
     labelled = stash(shared.select("key", "id", "n", "at").join(labels.drop("f0"), "id"))
     mains = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    mixed = stash(labelled.join(mains, "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main"))
+    mixed = labelled.join(mains, "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main")
+    mixed = stash(mixed.join(entries.select("id", *(F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PARITY // 64))), "id"))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITY // 64)))
     x, y = mixed.filter("not is_main").alias("x"), mixed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id"))))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & (9 * apart <= F.col("x.n") + F.col("y.n")) & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id"))))
     one, two = (F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("id", "n", "at"))) for s in "xy")
     ordered = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
     # both prefixes have one order: beyond the last shared shingle of both, only what follows can be common
@@ -159,9 +175,9 @@ def first_of_groups(rows: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
 
     def distinct_sets() -> DataFrame:
-        grouped = stash(_marked(rows)).groupBy("s0", "s1", "n").agg(F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("prefix").alias("prefix"))
-        return grouped.select(F.col("first.row_id").alias("id"), "first", "n", "f0", "prefix")
+        grouped = stash(_marked(rows)).groupBy("s0", "s1", "n").agg(F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"))
+        return grouped.select(F.col("first.row_id").alias("id"), "first", "n", "f0", "odd", "prefix")
 
     entries = settled(rows.sparkSession, distinct_sets)
-    linked = similar_links(entries.select("id", "n", "f0", "prefix"), rows)
+    linked = similar_links(entries.select("id", "n", "f0", "odd", "prefix"), rows)
     return entries.select("id", "first").join(linked, "id").groupBy("component").agg(F.min("first").alias("first")).select("first.row_id")
