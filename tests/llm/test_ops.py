@@ -320,6 +320,32 @@ def test_near_copies_of_a_large_group_meet_few_times(spark):
     assert {r["row_id"] for r in shingles.first_of_groups(rows).collect()} == {i for i, r in roots(range(len(sets)), linked).items() if i == r}
 
 
+def test_few_pairs_of_a_large_group_are_verified(spark, monkeypatch):
+    """Copies of one text with one to nine own words each: those with four or less resemble the text, few each other."""
+    from weft.llm import shingles
+
+    rng = random.Random(82)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(250):
+        v = list(base)
+        for at in rng.sample(range(200), 1 + i % 9):
+            v[at] = f"x{i}.{at}"
+        texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    verified, verify = [], shingles._verified_of
+
+    def counting(pairs, rows):
+        verified.append(pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+        return verify(pairs, rows)
+
+    monkeypatch.setattr(shingles, "_verified_of", counting)
+    rows = docs_of(spark, texts).select(F.col("doc_id").alias("row_id"), "doc_id", "text")
+    assert {r["row_id"] for r in shingles.first_of_groups(rows).collect()} == {i for i, r in roots(range(len(sets)), linked).items() if i == r}
+    assert sum(verified) <= 2 * len(texts)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7000, 7000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,8 +1,9 @@
 """All pairs of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, exactly.
 
 Sets of similarity 0.8 share four fifths of the larger one. So if every set is sorted by one order, whichever it is, the
-first ``size // 5 + 1`` shingles of both have one in common: the join on these prefixes loses no pair. The order
-puts shingles seen often last, which keeps passages that many documents quote out of the prefixes. SimHash pairs are
+first ``size // 5 + 1`` shingles of both have one in common: the join on these prefixes loses no pair. Of two sizes known,
+both must share 4/9 of their sum, so the first they share has at least as many from it to either end (``_reaches``). The
+order puts shingles seen often last, which keeps passages that many documents quote out of the prefixes. SimHash pairs are
 candidates beside those of the prefixes. Every candidate is verified by the intersection of the complete sets.
 """
 
@@ -13,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import dealt, settled, stash, task_of, text_slices, with_columns_of
@@ -24,7 +25,7 @@ SEED, SHINGLE, BUCKETS = 42, 5, 1 << 20
 #: Rounds of stars, and representatives that an entry is compared with in each.
 ROUNDS, RAYS = 3, 2
 #: Bits of a set's parities.
-PARITY = 256
+PARITY = 1024
 MOST_IDS = 1_000_000
 
 
@@ -85,6 +86,31 @@ def _marked(rows: DataFrame) -> DataFrame:
     return with_columns_of(rows, "s0 long, s1 long, n int, f0 long, odd array<long>, prefix array<long>", compute)
 
 
+def _reaches(n: Column, at: Column, other: Column) -> Column:
+    """Whether a set of ``n`` has enough shingles from place ``at`` on for a similarity of 0.8 to a set of ``other``.
+
+    The first shingle that two such sets share passes in both, as what they share lies behind it.
+    """
+    return 9 * (n - at) >= 4 * (n + other)
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether sizes and parities (x.n, x.odd0, ... and y's) leave a similarity of 0.8 possible."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.odd{i}").bitwiseXOR(F.col(f"{y}.odd{i}"))) for i in range(PARITY // 64)))
+    return (5 * F.least(f"{x}.n", f"{y}.n") >= 4 * F.greatest(f"{x}.n", f"{y}.n")) & (9 * apart <= F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _with_parities(entries: DataFrame) -> DataFrame:
+    return entries.select("id", "n", *(F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PARITY // 64)))
+
+
+def _possible(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs (a, b), once each, whose sizes and parities leave a similarity of 0.8 possible."""
+    own = _with_parities(entries)
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), (F.col("b") == F.col("y.id")) & _near("x", "y")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more: an intersection of 4/9 of both sizes."""
     return settled(rows.sparkSession, lambda: _verified_of(pairs, rows))
@@ -114,11 +140,14 @@ def _verified_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _rays(shared: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each entry of (key, id, n, at, label) with the RAYS representatives of other labels that it meets at most keys."""
+    """(a, b): each entry of (key, id, n, at, label, central) with the RAYS representatives of other labels that it meets at
+    most keys. The first turn has the most central entry of each key among them."""
     order = F.xxhash64("id", F.lit(turn))
-    chosen = shared.groupBy("key").agg(F.min_by(F.struct("id", "label", "n"), order).alias("low"), F.max_by(F.struct("id", "label", "n"), order).alias("high"))
+    own = F.struct("id", "label", "n", "at")
+    chosen = shared.groupBy("key").agg(F.min_by(own, order).alias("low"), F.max_by(own, order if turn else F.struct("central", "id")).alias("high"))
     # an entry meets two representatives for each of its keys
-    met = shared.join(chosen, "key").select("id", "n", "label", F.explode(F.array("low", "high")).alias("to")).filter("label <> to.label and 5 * least(n, to.n) >= 4 * greatest(n, to.n)")
+    to = F.col("to.n"), F.col("to.at")
+    met = shared.join(chosen, "key").select("id", "n", "at", "label", F.explode(F.array("low", "high")).alias("to")).filter("label <> to.label").filter(_reaches(F.col("n"), F.col("at"), to[0]) & _reaches(*to, F.col("n")))
     counted = met.groupBy("id", F.col("to.id").alias("to")).agg(F.count("*").alias("c"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("c", "to")), asc=False), 1, RAYS)
     return counted.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("a"), F.explode("best").alias("b")).select("a", "b.to").toDF("a", "b")
@@ -128,38 +157,40 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, component) of the links among ``entries`` (id, n, f0, odd, prefix): every entry is there.
 
     Stars first, in ROUNDS: at each prefix shingle two of its entries represent it, other ones in each round, and every
-    entry is compared with the RAYS representatives that it shares most of its prefix with. So a large group of near
-    copies joins by a few comparisons for each of its members. Then come the pairs of fingerprints and the pairs of a
-    prefix shingle that the stars leave apart, where rows of the label most frequent at the shingle don't meet each other.
-    Of these, pairs go on whose sizes and parities leave a similarity of 0.8 possible.
+    entry is compared with the RAYS representatives that it shares most of its prefix with. In the first round one of the
+    two is the entry whose prefix others share most: copies with changes of their own resemble what they were made of more
+    than each other. So a large group of near copies joins by a few comparisons for each of its members. Then come the
+    pairs of fingerprints and the pairs of a prefix shingle that the stars leave apart, where rows of the label most
+    frequent at the shingle don't meet each other. Of all these, pairs go on whose places in the prefixes, sizes and
+    parities leave a similarity of 0.8 possible.
     """
     # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice; two numbers go as one
     stored = entries.select("id", "n", F.posexplode("prefix").alias("at", "key")).select("key", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("n_at"))
     often = stored.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1")
-    parts = "key", "id", F.shiftright("n_at", 32).cast("int").alias("n"), F.col("n_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
+    parts = "key", "id", F.shiftright("n_at", 32).cast("int").alias("n"), F.col("n_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "rows"
     shared = settled(entries.sparkSession, lambda: often.select(*parts))
+    central = stash(shared.groupBy("id").agg((F.sum(F.log2("rows")) / F.floor(F.first("n") / 5 + 1)).alias("central")))
     labels = entries.select("id", "f0", F.col("id").alias("label"))
     for turn in range(ROUNDS):
-        candidates = _rays(shared.join(labels.select("id", "label"), "id"), turn)
+        candidates = _rays(shared.join(labels.select("id", "label").join(central, "id"), "id"), turn)
         if not turn:
             candidates = candidates.unionByName(star_pairs(entries))
-        links = _verified(candidates, rows)
+        links = _verified(_possible(candidates, entries), rows)
         names = labels.select("id", "label")
         joined = components(links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
         labels = stash(labels.join(joined, F.col("label") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "label").alias("label")))
     labelled = stash(shared.select("key", "id", "n", "at").join(labels.drop("f0"), "id"))
     mains = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
     mixed = labelled.join(mains, "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main")
-    mixed = stash(mixed.join(entries.select("id", *(F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PARITY // 64))), "id"))
-    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITY // 64)))
+    mixed = stash(mixed.join(_with_parities(entries).drop("n"), "id"))
     x, y = mixed.filter("not is_main").alias("x"), mixed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & (9 * apart <= F.col("x.n") + F.col("y.n")) & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id"))))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id"))) & _reaches(*(F.col(c) for c in ("x.n", "x.at", "y.n"))) & _reaches(*(F.col(c) for c in ("y.n", "y.at", "x.n"))) & _near("x", "y"))
     one, two = (F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("id", "n", "at"))) for s in "xy")
     ordered = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-    # both prefixes have one order: beyond the last shared shingle of both, only what follows can be common
+    # both prefixes have one order: the shared shingles that met are the first ones, so beyond the last of them only what follows can be common
     counted = ordered.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
     possible = counted.filter("9 * (c + least(an - i - 1, bn - j - 1)) >= 4 * (an + bn)").select("a", "b")
-    links = _verified(possible.unionByName(mih_pairs(labels).select("a", "b")), rows)
+    links = _verified(possible.unionByName(_possible(mih_pairs(labels).select("a", "b"), entries)), rows)
     names = labels.drop("f0")
     crossing = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(crossing)
