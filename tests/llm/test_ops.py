@@ -193,6 +193,23 @@ def test_pieces_equal_whole_texts(name, by_words):
     assert [x.tolist() for x in e.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name, by_words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_new_pieces_cost_no_garbage_collections(name, by_words):
+    import gc
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeimnorst") for _ in range(12)) + rng.choice(["", ",", "."]) for _ in range(40000)]
+    e, seen = PieceEncoder(P.path(name), by_words), []
+    gc.collect()
+    gc.callbacks.append(look := lambda phase, info: seen.append(phase))
+    try:
+        got = next(e.encode([" ".join(words)]))
+    finally:
+        gc.callbacks.remove(look)
+    assert got.tolist() == Tokenizer.from_file(P.path(name)).encode(" ".join(words), add_special_tokens=False).ids
+    assert len(seen) <= 4
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)

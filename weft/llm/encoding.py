@@ -9,9 +9,11 @@ token such as ``<|endoftext|>`` literally goes to the library as it is, which gi
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
-from itertools import chain
+from contextlib import contextmanager
+from operator import attrgetter
 
 import numpy as np
 
@@ -47,10 +49,35 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 
 
+ID = attrgetter("id")
 #: A blank between two words: a place where either tokenizer's text can be cut.
 CUT = re.compile(rf"(?<=[^{SPACE}])(?= [^{SPACE}])")
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without garbage collections, which would walk all lists of pieces for cycles that there are none of."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Numbers(dict):
+    """Numbers pieces from 0 as they are first asked for; ``fresh`` lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = found = len(self)
+        self.fresh.append(piece)
+        return found
+
+
 class PieceEncoder:
     def __init__(self, path: str, by_words: bool, most: int = 600_000, chunk: int = 1 << 20):
         """by_words: the tokenizer drops white space, so words are independent; else ``BYTE_PIECES`` are.
@@ -64,7 +91,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict = {}
+        self.number = Numbers()
         self.n_pieces = self.n_ids = 0
         self.start, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
@@ -75,35 +102,54 @@ class PieceEncoder:
             at = cut.start()
         yield text[at:] if at else text
 
-    def _learn(self, pieces: list) -> None:
-        new = {p: p.decode() if self.by_words else " " + p[1:] if p[0] == "\x01" else p[1:] if p[0] == "\x02" else p for p in set(pieces).difference(self.number)}
-        if not new:
+    def _text(self, piece) -> str:
+        if self.by_words:
+            return piece.decode()
+        return " " + piece[1:] if piece[0] == "\x01" else piece[1:] if piece[0] == "\x02" else piece
+
+    def _plain(self, piece) -> str | None:
+        """``_letters`` of a piece that is one word of ASCII letters; None for others."""
+        if self.by_words:
+            return piece.decode().lower() if piece.isalpha() else None
+        word = piece[1:] if piece[0] == "\x01" else piece
+        return (word if word is piece else LETTERS[32] + word) if word.isascii() and word.isalpha() else None
+
+    def _learn(self) -> None:
+        """The ids of the pieces that got a number since the last call."""
+        fresh, number, tokenize = self.number.fresh, self.number, self.library.model.tokenize
+        if not fresh:
             return
-        # a comma or full stop after a letter is a token's end in both patterns: such words follow from their stems
-        ended = {p: p[:-1] for p, text in new.items() if text[-1] in ",." and text[-2:-1].lower()[-1:].isalpha()}
-        whole = {p: t for p, t in new.items() if p not in ended}
-        whole |= {stem: new[p][:-1] for p, stem in ended.items() if stem not in self.number and stem not in whole}
-        for mark in (b",", b".") if self.by_words else (",", "."):
-            if mark not in self.number:
-                whole[mark] = mark.decode() if self.by_words else mark
-        tokenize, got, others = self.library.model.tokenize, {}, []
-        for p, t in whole.items():
-            if (seen := self._letters(t)) is None:
-                others.append(p)
-            else:
-                got[p] = [x.id for x in tokenize(seen)]
-        got |= zip(others, (e.ids for e in self.library.encode_batch_fast([whole[p] for p in others], add_special_tokens=False)), strict=True)
-        length = np.fromiter(map(len, got.values()), np.int64, len(got))
-        self._add(list(got), np.fromiter(chain.from_iterable(got.values()), np.uint32, int(length.sum())), length)
-        number = self.number
-        stem = np.fromiter((number[x] for x in ended.values()), np.int64, len(ended))
-        mark = np.fromiter((number[x[-1:]] for x in ended), np.int64, len(ended))
+        ids, ends, plain = [], [], []  # no list for each piece, which the garbage collector would walk again and again
+        others, ended, stem, mark = [], [], [], []
+        comma, stop = (b",", b".") if self.by_words else (",", ".")
+        for k, p in enumerate(fresh):  # stems and marks that are new join at the end
+            if (seen := self._plain(p)) is None:
+                # a comma or full stop after a letter is a token's end in both patterns: such words follow from their stems
+                if (last := p[-1:]) == comma or last == stop:
+                    if self._text(p)[-2:-1].lower()[-1:].isalpha():
+                        ended.append(k)
+                        stem.append(number[p[:-1]])
+                        mark.append(number[last])
+                        continue
+                if (seen := self._letters(self._text(p))) is None:
+                    others.append(k)
+                    continue
+            ids.extend(map(ID, tokenize(seen)))
+            ends.append(len(ids))
+            plain.append(k)
+        for e in self.library.encode_batch_fast([self._text(fresh[k]) for k in others], add_special_tokens=False):
+            ids.extend(e.ids)
+            ends.append(len(ids))
+        first, n = self.n_pieces, len(fresh)
+        fresh.clear()
+        self._add(n, np.array(plain + others, np.int64), np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0))
+        stem, mark, ended = (np.array(x, np.int64) for x in (stem, mark, ended))
         length = self.length[stem].astype(np.int64) + 1
         ids, last = np.empty(int(length.sum()), np.uint32), np.cumsum(length) - 1
         inner = np.ones(len(ids), bool)
         inner[last] = False
         ids[inner], ids[last] = self._spread(stem), self.ids[self.start[mark]]
-        self._add(list(ended), ids, length)
+        self._put(first + ended, ids, length)
 
     def _letters(self, text: str) -> str | None:
         """What the library's model sees of a piece that is one word of letters (after a blank); None for others."""
@@ -119,16 +165,20 @@ class PieceEncoder:
             word = word.encode().decode("latin-1").translate(LETTERS)
         return LETTERS[32] + word if blank else word
 
-    def _add(self, pieces: list, ids: np.ndarray, length: np.ndarray) -> None:
-        n, m = self.n_pieces + len(pieces), self.n_ids + len(ids)
-        if n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(max(n, len(x)), np.int32)]) for x in (self.start, self.length))
+    def _add(self, n: int, at: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Make room for ``n`` pieces, of which those at ``at`` have these ids."""
+        first, self.n_pieces = self.n_pieces, self.n_pieces + n
+        if self.n_pieces > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(max(self.n_pieces, len(x)), np.int32)]) for x in (self.start, self.length))
+        self._put(first + at, ids, length)
+
+    def _put(self, number: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        m = self.n_ids + len(ids)
         if m > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(m, len(self.ids)), np.uint32)])
-        self.number.update(zip(pieces, range(self.n_pieces, n), strict=True))
-        self.start[self.n_pieces : n], self.length[self.n_pieces : n] = self.n_ids + np.cumsum(length) - length, length
         self.ids[self.n_ids : m] = ids
-        self.n_pieces, self.n_ids = n, m
+        self.start[number], self.length[number] = self.n_ids + np.cumsum(length) - length, length
+        self.n_ids = m
 
     def _spread(self, n: np.ndarray) -> np.ndarray:
         """The ids of the pieces numbered ``n``, one after the other."""
@@ -136,9 +186,6 @@ class PieceEncoder:
         ends = np.cumsum(length)
         return self.ids[np.repeat(self.start[n] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def _gather(self, pieces: list) -> np.ndarray:
-        return self._spread(np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)))
-
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order; None counts as empty."""
         waiting: list[list[list] | np.ndarray] = []
@@ -160,13 +207,20 @@ class PieceEncoder:
     def _flush(self, waiting: list[list[list] | np.ndarray]) -> Iterator[np.ndarray]:
         if len(self.number) > self.most:
             self._forget()
-        self._learn([p for parts in waiting if isinstance(parts, list) for pieces in parts for p in pieces])
-        for parts in waiting:
+        with _uncollected():
+            numbered = self._numbered(waiting)
+            waiting.clear()
+            self._learn()
+        for parts in numbered:
             if isinstance(parts, list):
-                yield self._gather(parts[0]) if len(parts) == 1 else np.concatenate([self._gather(p) for p in parts])
+                yield self._spread(parts[0]) if len(parts) == 1 else np.concatenate([self._spread(p) for p in parts])
             else:
                 yield parts
 
+    def _numbered(self, waiting: list[list[list] | np.ndarray]) -> list:
+        number = self.number.__getitem__
+        return [[np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in parts] if isinstance(parts, list) else parts for parts in waiting]
+
 
 def encoder(path: str, by_words: bool) -> PieceEncoder:
     """One encoder for each worker process, of the vocabulary asked for last; tasks of other kinds drop it."""
