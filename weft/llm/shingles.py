@@ -25,7 +25,7 @@ SEED, SHINGLE, BUCKETS = 42, 5, 1 << 20
 #: Rounds of stars, and representatives that an entry is compared with in each.
 ROUNDS, RAYS = 3, 2
 #: Bits of a set's parities.
-PARITY = 1024
+PARITY = 256
 MOST_IDS = 1_000_000
 
 
@@ -104,13 +104,6 @@ def _with_parities(entries: DataFrame) -> DataFrame:
     return entries.select("id", "n", *(F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PARITY // 64)))
 
 
-def _possible(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The pairs (a, b), once each, whose sizes and parities leave a similarity of 0.8 possible."""
-    own = _with_parities(entries)
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return ordered.join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), (F.col("b") == F.col("y.id")) & _near("x", "y")).select("a", "b")
-
-
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more: an intersection of 4/9 of both sizes."""
     return settled(rows.sparkSession, lambda: _verified_of(pairs, rows))
@@ -161,8 +154,8 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     two is the entry whose prefix others share most: copies with changes of their own resemble what they were made of more
     than each other. So a large group of near copies joins by a few comparisons for each of its members. Then come the
     pairs of fingerprints and the pairs of a prefix shingle that the stars leave apart, where rows of the label most
-    frequent at the shingle don't meet each other. Of all these, pairs go on whose places in the prefixes, sizes and
-    parities leave a similarity of 0.8 possible.
+    frequent at the shingle don't meet each other. Of these, pairs go on whose places in the prefixes, sizes and parities
+    leave a similarity of 0.8 possible.
     """
     # nearly all keys are of one row, so counting them apart would shuffle the prefixes twice; two numbers go as one
     stored = entries.select("id", "n", F.posexplode("prefix").alias("at", "key")).select("key", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("n_at"))
@@ -175,7 +168,7 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
         candidates = _rays(shared.join(labels.select("id", "label").join(central, "id"), "id"), turn)
         if not turn:
             candidates = candidates.unionByName(star_pairs(entries))
-        links = _verified(_possible(candidates, entries), rows)
+        links = _verified(candidates, rows)
         names = labels.select("id", "label")
         joined = components(links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
         labels = stash(labels.join(joined, F.col("label") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "label").alias("label")))
@@ -190,7 +183,7 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     # both prefixes have one order: the shared shingles that met are the first ones, so beyond the last of them only what follows can be common
     counted = ordered.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
     possible = counted.filter("9 * (c + least(an - i - 1, bn - j - 1)) >= 4 * (an + bn)").select("a", "b")
-    links = _verified(possible.unionByName(_possible(mih_pairs(labels).select("a", "b"), entries)), rows)
+    links = _verified(possible.unionByName(mih_pairs(labels).select("a", "b")), rows)
     names = labels.drop("f0")
     crossing = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(crossing)
