@@ -210,6 +210,26 @@ def test_new_pieces_cost_no_garbage_collections(name, by_words):
     assert len(seen) <= 4
 
 
+@pytest.mark.parametrize("name, by_words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_with_marks_follow_from_their_stems(name, by_words):
+    rng = random.Random(5)
+    marks = ["$$$", ".%%%", ",###", "!!", "***", "&&&", ")", "--", "_", "..\"", "<|", "=", "~/"]
+    words = ["".join(rng.choice("abcdeimnorstéöI") for _ in range(9)) + rng.choice(marks) for _ in range(4000)]
+    odd = ["don't$$$", "x'!", "x'", "$$$", "İ!!", "a1$$", "1.", "ẖ?!", "日本--", "ſ_", "a--b--", "\x01$", "\x02.", "s'.'", "é\u0301!!", "e!\u0301"]
+    e, asked = PieceEncoder(P.path(name), by_words), []
+
+    class Asked:
+        def __getattr__(self, attribute, library=e.library):
+            return (lambda x, **how: asked.extend(x) or library.encode_batch_fast(x, **how)) if attribute == "encode_batch_fast" else getattr(library, attribute)
+
+    e.library = Asked()
+    text, library = " ".join(words), Tokenizer.from_file(P.path(name))
+    assert next(e.encode([text])).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 2 * len(marks)
+    texts = [x for w in odd for x in (w, f"{w} {w}\n{w}", f"a {w}{w} b")]
+    assert [x.tolist() for x in e.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)

@@ -50,6 +50,8 @@ LETTERS = _byte_letters()
 
 
 ID = attrgetter("id")
+#: ASCII marks that join each other but no letter before them, in either pattern. An apostrophe is none: it may begin ``'s``.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A blank between two words: a place where either tokenizer's text can be cut.
 CUT = re.compile(rf"(?<=[^{SPACE}])(?= [^{SPACE}])")
 
@@ -121,16 +123,15 @@ class PieceEncoder:
             return
         ids, ends, plain = [], [], []  # no list for each piece, which the garbage collector would walk again and again
         others, ended, stem, mark = [], [], [], []
-        comma, stop = (b",", b".") if self.by_words else (",", ".")
+        marks = MARKS.encode() if self.by_words else MARKS
         for k, p in enumerate(fresh):  # stems and marks that are new join at the end
             if (seen := self._plain(p)) is None:
-                # a comma or full stop after a letter is a token's end in both patterns: such words follow from their stems
-                if (last := p[-1:]) == comma or last == stop:
-                    if self._text(p)[-2:-1].lower()[-1:].isalpha():
-                        ended.append(k)
-                        stem.append(number[p[:-1]])
-                        mark.append(number[last])
-                        continue
+                # marks after a letter are tokens of their own in both patterns: such words follow from stem and marks
+                if p[-1] in marks and (word := p.rstrip(marks)) and self._text(word)[-1:].lower()[-1:].isalpha():
+                    ended.append(k)
+                    stem.append(number[word])
+                    mark.append(number[p[len(word) :]])
+                    continue
                 if (seen := self._letters(self._text(p))) is None:
                     others.append(k)
                     continue
@@ -144,12 +145,7 @@ class PieceEncoder:
         fresh.clear()
         self._add(n, np.array(plain + others, np.int64), np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0))
         stem, mark, ended = (np.array(x, np.int64) for x in (stem, mark, ended))
-        length = self.length[stem].astype(np.int64) + 1
-        ids, last = np.empty(int(length.sum()), np.uint32), np.cumsum(length) - 1
-        inner = np.ones(len(ids), bool)
-        inner[last] = False
-        ids[inner], ids[last] = self._spread(stem), self.ids[self.start[mark]]
-        self._put(first + ended, ids, length)
+        self._put(first + ended, self._spread(np.column_stack([stem, mark]).ravel()), self.length[stem].astype(np.int64) + self.length[mark])
 
     def _letters(self, text: str) -> str | None:
         """What the library's model sees of a piece that is one word of letters (after a blank); None for others."""
