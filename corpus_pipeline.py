@@ -9,28 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import mixing, packing, quality, simhash, toxicity
-from weft.llm.common import stash, table
+from weft.llm.common import collected, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return quality.keep_good(docs)
 
 
 def civil_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return toxicity.keep_civil(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return simhash.keep_first(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return mixing.mixed_corpus(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    collected(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 

@@ -32,6 +32,17 @@ def tables(spark, tmp_path_factory):
     return folder, texts, toxic, clean
 
 
+def test_executors_collect_before_a_stage(spark, tables):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if "Young" not in b.getName()]
+    before = sum(b.getCollectionCount() for b in old)
+    corpus_pipeline.quality_rules(spark, docs, tables[0])  # in a local session the tasks run in the driver's JVM
+    assert sum(b.getCollectionCount() for b in old) > before
+
+
 def test_stages(spark, tables):
     import corpus_pipeline
 

@@ -97,6 +97,16 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
             _scratch.reset(token)
 
 
+def collected(spark: SparkSession) -> None:
+    """Have every executor collect its garbage and give memory back, between steps of a job that runs for long.
+
+    A heap stays as large as any step once made it, and buffers outside of it stay until what refers to them, which has
+    grown old by then, is collected. So without this a job takes the memory of all its steps, not of the largest one.
+    """
+    n = spark.sparkContext.defaultParallelism  # as many tasks as there are cores, so each executor gets one
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows that the driver holds, as one literal of the plan."""
     names = [c.split()[0] for c in schema.split(",")]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import dealt, settled, stash, task_of, text_slices, with_columns_of
+from weft.llm.common import collected, dealt, settled, stash, task_of, text_slices, with_columns_of
 from weft.llm.graph import components
 from weft.llm.simhash import majority, mih_pairs, star_pairs
 
@@ -162,6 +162,7 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     often = stored.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1")
     parts = "key", "id", F.shiftright("n_at", 32).cast("int").alias("n"), F.col("n_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "rows"
     shared = settled(entries.sparkSession, lambda: often.select(*parts))
+    collected(entries.sparkSession)
     central = stash(shared.groupBy("id").agg((F.sum(F.log2("rows")) / F.floor(F.first("n") / 5 + 1)).alias("central")))
     labels = entries.select("id", "f0", F.col("id").alias("label"))
     for turn in range(ROUNDS):
@@ -172,6 +173,7 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
         names = labels.select("id", "label")
         joined = components(links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
         labels = stash(labels.join(joined, F.col("label") == F.col("node"), "left").select("id", "f0", F.coalesce("component", "label").alias("label")))
+        collected(entries.sparkSession)
     labelled = stash(shared.select("key", "id", "n", "at").join(labels.drop("f0"), "id"))
     mains = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
     mixed = labelled.join(mains, "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main")
@@ -184,6 +186,7 @@ def similar_links(entries: DataFrame, rows: DataFrame) -> DataFrame:
     counted = ordered.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
     possible = counted.filter("9 * (c + least(an - i - 1, bn - j - 1)) >= 4 * (an + bn)").select("a", "b")
     links = _verified(possible.unionByName(mih_pairs(labels).select("a", "b")), rows)
+    collected(entries.sparkSession)
     names = labels.drop("f0")
     crossing = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(crossing)
@@ -203,5 +206,6 @@ def first_of_groups(rows: DataFrame) -> DataFrame:
         return grouped.select(F.col("first.row_id").alias("id"), "first", "n", "f0", "odd", "prefix")
 
     entries = settled(rows.sparkSession, distinct_sets)
+    collected(rows.sparkSession)
     linked = similar_links(entries.select("id", "n", "f0", "odd", "prefix"), rows)
     return entries.select("id", "first").join(linked, "id").groupBy("component").agg(F.min("first").alias("first")).select("first.row_id")
