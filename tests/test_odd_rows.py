@@ -1,0 +1,35 @@
+"""Queries against their SQL on rows that the given tables hardly have."""
+
+import duckdb
+import pytest
+
+from tests.test_queries import canonical
+from weft.plans import registry
+
+ODD_TEXTS = [
+    "noó", "ónoé", "ñno", "undoß", "node", "_no", "no_", "no5", "NO", "inſtead", "ıdiot", "İdiot", "not what", "not what", "wrong", "", None, "¿no?", "a\nno\nb", "actuallyé", "actuallye",
+]
+
+
+@pytest.fixture
+def equal(spark, tmp_path):
+    """Whether a query gives what its SQL gives on one table of ``rows``."""
+
+    def check(name, table, schema, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+        db = duckdb.connect()
+        db.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+        got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), db.sql(registry.oracle_sql()[name]).df()
+        assert canonical(got) == canonical(want)
+        return got
+
+    return check
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def test_corrections_have_ascii_edges(equal):
+    rows = [(i, turn, "user", text) for i, t in enumerate(ODD_TEXTS) for turn, text in enumerate(["do it", t])] + [(99, 1, "user", "a"), (99, None, "user", "no")]
+    got = equal("corrected_prompts", "conversations", CONVERSATIONS, rows)
+    assert got["corrected"].sum() == 12

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weft.functions.text import one_line
+from weft.functions.text import as_re2, one_line
 
 # Tool names of the different harnesses by their common name.
 TOOL_NAMES = {
@@ -70,6 +70,11 @@ def mcp_parts(name: Column) -> Column:
     return F.when(name.startswith("mcp__"), both)
 
 
+def corrects(prompt: Column) -> Column:
+    """Whether a prompt takes back what was done before it."""
+    return prompt.rlike(as_re2(CORRECTION))
+
+
 def first_field(json: Column, fields: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.get_json_object(json, f"$.{f}"), F.lit("")) for f in fields))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import errors as E
-from weft.functions.records import CORRECTION, git_op, tool_kind
+from weft.functions.records import corrects, git_op, tool_kind
 from weft.operators.insights import top
 
 
@@ -71,8 +71,8 @@ def errors_by_tool(calls: DataFrame, key: str = "path", most: int = 6) -> DataFr
 
 def corrected(prompts: DataFrame, key: str = "path", order: str = "chapter") -> DataFrame:
     """``prompts`` with corrected: the next prompt of the session takes this one's work back."""
-    following = F.lead("prompt").over(Window.partitionBy(key).orderBy(order))
-    return prompts.withColumn("corrected", F.coalesce(following.rlike(CORRECTION), F.lit(False)))
+    following = F.lead("prompt").over(Window.partitionBy(key).orderBy(F.asc_nulls_last(order)))
+    return prompts.withColumn("corrected", F.coalesce(corrects(following), F.lit(False)))
 
 
 def tool_groups(blocks: DataFrame, key: str = "path", order: str = "ord") -> DataFrame:
