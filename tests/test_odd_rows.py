@@ -33,3 +33,10 @@ def test_corrections_have_ascii_edges(equal):
     rows = [(i, turn, "user", text) for i, t in enumerate(ODD_TEXTS) for turn, text in enumerate(["do it", t])] + [(99, 1, "user", "a"), (99, None, "user", "no")]
     got = equal("corrected_prompts", "conversations", CONVERSATIONS, rows)
     assert got["corrected"].sum() == 12
+
+
+def test_corrections_and_lost_commands_by_role(equal):
+    lost = ["écd: x No such file or directory", "cd: \r No such file or directory", "cd: \u2028 no such file or directory", "cd: \n No such file or directory", "xcd: y No such file or directory", "Miſſing script:", "maKefile not found", "Makefile\nnot found", "package.json" + "😀" * 60 + "not found", "package.json" + "😀" * 61 + "not found", "ENOENT\r in go.mod"]
+    rows = [(i, 0, ["user", "assistant", None][i % 3], t) for i, t in enumerate(ODD_TEXTS + lost)] + [(100 + i, 0, t, t) for i, t in enumerate(lost)]
+    got = equal("corrections_and_lost_commands", "conversations", CONVERSATIONS, rows)
+    assert (got["corrections"].sum(), got["lost"].sum()) == (21, 14)  # "No such file" holds a correcting word too

@@ -151,7 +151,7 @@ def traps(rows: DataFrame, cwd: Column) -> DataFrame:
     hung = tests & ((stalled >= TEST_HANG) | (failed & (E.error_class(text) == "timeout")))
     ci_result = result & of_shell & E.any_match(of_given, E.CI_WAIT)
     found = F.array(
-        entry("wrong-folder", one(failed & (of_shell | F.col("of_tool").isNull()) & text.rlike(E.WRONG_FOLDER)), none, none, none, text),
+        entry("wrong-folder", one(failed & (of_shell | F.col("of_tool").isNull()) & E.in_wrong_folder(text)), none, none, none, text),
         entry("path-bleed", one(file_bleed) + dirs, none, one(file_bleed & tool.rlike(E.WRITE_TOOL)), none, F.when(file_bleed, F.concat_ws(" ", tool, given)).otherwise(given)),
         entry("test-hang", one(hung), F.when(hung, stalled).otherwise(0), none, none, of_given),
         entry("ci-wait", one(ci), F.when(ci_result, stalled).otherwise(0), none, F.when(ci, E.sleep_seconds(given)).otherwise(0.0), given),

@@ -146,7 +146,7 @@ def list_checksums(spark, d):
 @query("select role, count(*) filter (regexp_matches(text, '\\b(no|wrong|idiot|revert|undo|actually|instead)\\b|not what', 'i')) as corrections, count(*) filter (regexp_matches(text, '".replace("\\\\", "\\") + errors.WRONG_FOLDER.removeprefix("(?i)").replace("'", "''") + "', 'i')) as lost from conversations group by role")
 def corrections_and_lost_commands(spark, d):
     t = F.coalesce("text", F.lit(""))
-    return read(spark, d, "conversations").groupBy("role").agg(F.count_if(t.rlike(records.CORRECTION)).alias("corrections"), F.count_if(t.rlike(errors.WRONG_FOLDER)).alias("lost"))
+    return read(spark, d, "conversations").groupBy("role").agg(F.count_if(records.corrects(t)).alias("corrections"), F.count_if(errors.in_wrong_folder(t)).alias("lost"))
 
 
 @query("select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) as words, array_to_string(string_split(coalesce(text, ''), chr(10))[1:2], chr(10)) as head, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')[1:2], chr(10)) as full_head from documents".replace("\\\\", "\\"))
