@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from weft.functions.text import TOKEN_SPLIT, tokens, trigrams
 
@@ -64,6 +69,52 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return terms.groupBy(key, "term").agg(F.count("term").alias("tf"))
 
 
+#: Where a term begins inside a word, as in ``TOKEN_SPLIT``; and bytes as they stand in terms, others as spaces.
+INNER = re.compile(rb"[A-Z](?:(?<=[a-z0-9][A-Z])|(?<=[A-Z][A-Z])(?=[a-z0-9]))")
+IN_TERMS = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in bytes(range(256)).lower())
+
+
+def counted_rows(docs: DataFrame, key: str, text: str, *kept: str, most: int = 100_000) -> DataFrame:
+    """(key, row, term, tf, kept columns): the terms of each row of ``docs``, and a null term whose tf is the number of them.
+
+    ``row`` numbers the rows, which may share a key. Only the null terms have the kept columns. Texts are neither
+    exchanged nor looked at twice: a row is counted where it is read, and handed on by about ``most`` terms.
+    """
+    fields = [docs.schema[key], StructField("row", LongType()), StructField("term", StringType()), StructField("tf", LongType()), *(StructField(c, docs.schema[c].dataType) for c in kept)]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            at, sizes, terms, tfs = 0, [], [], []
+
+            def flush():
+                first = np.cumsum([0, *sizes[:-1]])
+                of = np.repeat(np.arange(at, at + len(sizes)), sizes)
+                inner = np.ones(len(of), bool)
+                inner[first] = False
+                own = pa.array(of, pa.int64(), mask=inner)
+                columns = [pc.take(batch.column(key), pa.array(of)), pa.array(done + of), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())]
+                return pa.RecordBatch.from_arrays([*columns, *(pc.take(batch.column(c), own) for c in kept)], names)
+
+            for body in batch.column(text).cast(pa.binary()):
+                body = body.as_py() or b""
+                words = Counter(INNER.sub(rb" \g<0>", body).translate(IN_TERMS).split())
+                for w in [w for w in words if len(w) == 1 or len(w) > 32]:
+                    del words[w]
+                sizes.append(len(words) + 1)
+                terms += [None, *words]
+                tfs += [sum(words.values()), *words.values()]
+                if len(terms) >= most:
+                    yield flush()
+                    at, sizes, terms, tfs = at + len(sizes), [], [], []
+            if sizes:
+                yield flush()
+            done += batch.num_rows
+
+    return docs.select(key, text, *kept).mapInArrow(run, StructType(fields))
+
+
 def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
