@@ -74,11 +74,12 @@ INNER = re.compile(rb"[A-Z](?:(?<=[a-z0-9][A-Z])|(?<=[A-Z][A-Z])(?=[a-z0-9]))")
 IN_TERMS = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in bytes(range(256)).lower())
 
 
-def counted_rows(docs: DataFrame, key: str, text: str, *kept: str, most: int = 100_000) -> DataFrame:
+def counted_rows(docs: DataFrame, key: str, text: str, *kept: str, most: int = 400_000) -> DataFrame:
     """(key, row, term, tf, kept columns): the terms of each row of ``docs``, and a null term whose tf is the number of them.
 
     ``row`` numbers the rows, which may share a key. Only the null terms have the kept columns. Texts are neither
-    exchanged nor looked at twice: a row is counted where it is read, and handed on by about ``most`` terms.
+    exchanged nor looked at twice: a row is counted where it is read, and handed on by about ``most`` terms, in their order,
+    so that equal ones take less room in what follows and are sorted in fewer steps.
     """
     fields = [docs.schema[key], StructField("row", LongType()), StructField("term", StringType()), StructField("tf", LongType()), *(StructField(c, docs.schema[c].dataType) for c in kept)]
     names = [f.name for f in fields]
@@ -95,7 +96,8 @@ def counted_rows(docs: DataFrame, key: str, text: str, *kept: str, most: int = 1
                 inner[first] = False
                 own = pa.array(of, pa.int64(), mask=inner)
                 columns = [pc.take(batch.column(key), pa.array(of)), pa.array(done + of), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())]
-                return pa.RecordBatch.from_arrays([*columns, *(pc.take(batch.column(c), own) for c in kept)], names)
+                rows = pa.RecordBatch.from_arrays([*columns, *(pc.take(batch.column(c), own) for c in kept)], names)
+                return rows.take(pc.sort_indices(columns[2]))
 
             for body in batch.column(text).cast(pa.binary()):
                 body = body.as_py() or b""

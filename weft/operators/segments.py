@@ -67,7 +67,7 @@ class Segments:
         alive = rows.withColumn(self.text, F.when(~F.col(self.gone), F.col(self.text)))
         name = f"b{number:012d}"
         # the batch is read once, texts stay where they are, and what is needed of a key's rows follows from their counts
-        counted_rows(alive, self.key, self.text, self.version, self.gone, "hash").write.mode("overwrite").parquet(f"{self.folder}/{name}/counted")
+        counted_rows(alive, self.key, self.text, self.version, self.gone, "hash").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/counted")
         counts = self.spark.read.parquet(f"{self.folder}/{name}/counted")
         states = counts.filter("hash is not null")
         newest = states.groupBy(self.key).agg(F.max(F.struct(self.version, "hash", self.gone, "row", F.col("tf").alias("dl"))).alias("n")).select(self.key, "n.*")

@@ -24,7 +24,7 @@ def stream_index_segments(spark, d):
     for i in range(9):  # a document comes with another text, in two batches of seven, then as it is, then gone
         part = docs.filter(k % 7 == i % 7) if i < 7 else docs if i == 7 else docs.filter(k % 5 == 2)
         text = F.concat(F.lit("an older text "), k.cast("string")) if i < 7 else F.col("text")
-        part.select("doc_id", text.alias("text"), F.lit(i).alias("mtime"), F.lit(i == 8).alias("gone")).write.parquet(f"{out}/in/batch_{i}")
+        part.select("doc_id", text.alias("text"), F.lit(i).alias("mtime"), F.lit(i == 8).alias("gone")).write.option("compression", "zstd").parquet(f"{out}/in/batch_{i}")
     index = Segments(spark, f"{out}/index", fan=3)
     for i in range(9):
         stream = spark.readStream.schema("doc_id long, text string, mtime int, gone boolean").parquet(f"{out}/in/batch_{i}")
